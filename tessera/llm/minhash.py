@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, discard, narrowed, stored
+from ._common import blocks, narrowed, stored
 from .components import connected_components
 from .shingles import mix, shared, shingle_sets
 
@@ -115,10 +115,8 @@ def matches(a: str, b: str) -> F.Column:
     return F.lit(HASHES) - differing
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stored(docs.join(ids, "doc_id", "left_semi"), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -138,9 +136,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    links = stored(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
-    discard(texts)
-    return links
+    return stored(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -164,13 +160,16 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     shared_rows = stored(member.join(bucket, "key"), "buckets")
     bits = reps.select("rep", "bits")
     least = least_matches(percent)
+    # Every text that may have to be compared goes through one shuffle, at any size of the table.
+    ids = shared_rows.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash")
+    texts = stored(docs.join(ids, "doc_id", "left_semi"), "texts")
 
     star = shared_rows.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     star = star.join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("pa")), "a")
     star = star.join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("pb")), "b")
     star = star.withColumn("m", matches("pa", "pb")).where(F.col("m") >= least)
     best = star.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
-    links = confirmed(stored(best, "stars"), docs, shingle, percent)
+    links = confirmed(stored(best, "stars"), texts, shingle, percent)
 
     comp = connected_components(links)
     rows = shared_rows.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
@@ -183,7 +182,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     right = rows.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("bits").alias("pb"), F.explode(F.sequence(F.lit(0), "chunk")).alias("i"), F.col("chunk").alias("j"))
     cross = left.join(right, ["key", "i", "j"]).where("ca <> cb and (i < j or a < b)")
     cross = cross.where(matches("pa", "pb") >= least).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = confirmed(stored(cross, "cross"), docs, shingle, percent)
+    more = confirmed(stored(cross, "cross"), texts, shingle, percent)
 
     comp = stored(connected_components(links.union(more)), "components")
     classes = reps.select("n", "h1", "h2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
