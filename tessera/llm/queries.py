@@ -7,8 +7,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import minhash, mixing, packing, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,6 +19,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Weights of the mixture: web source src0 at four shares, two curated ones at two, all others one.
+MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
+MIX_DEFAULT = 1.0
+MIX_SEED = 2024
+
+
+def tokenizer_path() -> str:
+    """The word-level BPE vocabulary that packing is registered with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(name: str, oracle: str | None = None):
     """Registers a function of (spark, sf_dir) and its SQL."""
 
@@ -30,6 +44,46 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+_WEIGHT = "CASE source " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in MIX_WEIGHTS.items()) + f" ELSE {MIX_DEFAULT} END"
+_UNIT = f"('0x' || substr(md5('{MIX_SEED}|' || doc_id || '|1'), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0"
+
+
+@query(
+    "op3_mixing_poisson",
+    f"""
+    WITH counts AS (SELECT source, count(*) AS n, {_WEIGHT} AS weight FROM documents GROUP BY source),
+    rates AS (SELECT source, weight / (SELECT sum(weight) FROM counts) * (SELECT sum(n) FROM counts) / n AS rate FROM counts),
+    mass AS (SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM rates, range(0, 200) t(k)),
+    cdf AS (SELECT source, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM mass),
+    drawn AS (SELECT *, {_UNIT} AS u FROM documents),
+    counted AS (SELECT d.doc_id, d.source, d.text, count(c.c) AS copies FROM drawn d JOIN cdf c ON d.source = c.source AND c.c <= d.u GROUP BY ALL)
+    SELECT doc_id, source, text, copy::INT AS copy, md5('{MIX_SEED}-order|' || doc_id || '|' || copy) AS shuffle_key
+    FROM (SELECT doc_id, source, text, unnest(range(0, copies)) AS copy FROM counted)
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.replicated(docs, MIX_WEIGHTS, default_weight=MIX_DEFAULT, seed=MIX_SEED)
+
+
+@query("op5_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 @query("op7_minhash_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
