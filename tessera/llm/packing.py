@@ -11,9 +11,14 @@ is bounded by the pool, and a task that runs again makes the same pieces."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,65 +26,161 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import blocks
+from .shingles import runs
 
 #: Tokens of a pool, as a number of sequences.
 POOL = 256
-#: Words whose ids a worker keeps.
-MOST_WORDS = 250_000
+#: Chunks, and pieces of chunks, whose ids a worker keeps.
+MOST_CHUNKS, MOST_PIECES = 2_500_000, 400_000
+#: Of a tokenizer's file, what allows the ids of chunks to be kept.
+LAYOUT = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(chr(i)) for i in range(0x250) if i != 0x130 and unicodedata.category(chr(i))[0] == kind)
+
+
+_LETTER, _NUMBER, _BLANK = _class("L"), _class("N"), r"\t\n\x0b\x0c\r \x85\xa0"
+_BLANKS = np.zeros(256, bool)
+_BLANKS[[0x20, 0x09, 0x0A, 0x0D]] = True
+#: Below U+0250, but for one capital that lower-cases to two code points.
+_PLAIN = re.compile("[\x00-\u012f\u0131-\u024f]*").fullmatch
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+").findall
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class Words:
-    """Token ids of white-space separated chunks, kept by chunk: the tokenizer drops white space
-    and merges only inside a chunk, so a text's ids are those of its chunks in turn."""
+    """Token ids of texts.
+
+    For a tokenizer that lower-cases, drops white space and splits runs of letters, digits and
+    other signs (LAYOUT), the ids of a text are those of its white-space separated chunks in turn.
+    Chunks are found and hashed (64 bits) in arrays; each worker keeps the ids of a bounded number
+    of them, and of the pieces that they consist of. Chunks below U+0250 are split here and their
+    pieces skip the normalisation they do not need; other chunks, and all texts for any other
+    tokenizer, go through the tokenizer as it is."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end_id
+        with open(path, encoding="utf-8") as f:
+            shape = json.load(f)
+        self.chunked = {k: shape.get(k) for k in LAYOUT} == LAYOUT
+        if self.chunked:
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = normalizers.Sequence([])
+            self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.reset()
+        self.pieces: dict[str, list[int]] = {}
 
     def reset(self) -> None:
-        self.place: dict[str, int] = {"": 0}
-        self.size, self.start, self.flat, self.n = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1024, np.uint32), 0
+        """Forgets all chunks. keys, place: sorted hashes and their chunks' numbers, older and
+        newer ones apart; start and size of each chunk's ids in flat."""
+        self.keys = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+        self.place = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.size, self.start, self.flat, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
+
+    def encoded(self, tokenizer, texts: list[str]) -> list[list[int]]:
+        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        return [e.ids for e in encode(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        ids = [e.ids for e in encode(words, add_special_tokens=False)]
-        size = np.array([len(i) for i in ids], np.int64)
+    def chunk_ids(self, chunks: list[str]) -> list[list[int]]:
+        if len(self.pieces) > MOST_PIECES:
+            self.pieces.clear()
+        have, odd = self.pieces, []
+        split: list = []
+        for i, c in enumerate(chunks):
+            if (c.isascii() or _PLAIN(c)) and "<|" not in c:
+                split.append(_PIECES(c.lower()))
+            else:
+                split.append(None)
+                odd.append(i)
+        new = list({p for s in split if s for p in s if p not in have})
+        have.update(zip(new, self.encoded(self.bare, new)))
+        out = [None if s is None else have[s[0]] if len(s) == 1 else [x for p in s for x in have[p]] for s in split]
+        for i, found in zip(odd, self.encoded(self.tokenizer, [chunks[i] for i in odd])):
+            out[i] = found
+        return out
+
+    def learn(self, keys: np.ndarray, chunks: list[str]) -> np.ndarray:
+        """Numbers of new chunks with these sorted hashes."""
+        ids = self.chunk_ids(chunks)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(size.sum())
         if self.n + total > len(self.flat):
-            self.flat = np.concatenate((self.flat[: self.n], np.zeros(2 * (self.n + total), np.uint32)))
-        self.flat[self.n : self.n + total] = [x for i in ids for x in i]
-        at = len(self.place)
-        self.place.update(zip(words, range(at, at + len(words))))
+            self.flat = np.concatenate((self.flat[: self.n], np.zeros(self.n + total, np.uint32)))
+        self.flat[self.n : self.n + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        place = np.arange(len(self.size), len(self.size) + len(ids))
         self.start = np.concatenate((self.start, self.n + np.cumsum(size) - size))
         self.size = np.concatenate((self.size, size))
         self.n += total
+        for level in (1, 0):
+            keys, at = np.concatenate((self.keys[level], keys)), np.concatenate((self.place[level], place if level else self.place[1]))
+            order = np.argsort(keys, kind="stable")
+            self.keys[level], self.place[level] = keys[order], at[order]
+            if level and len(keys) * 8 < len(self.keys[0]):
+                break
+            keys = self.keys[1]
+            if not level:
+                self.keys[1], self.place[1] = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return place
+
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the chunks with these hashes, -1 for unknown ones."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, place in zip(self.keys, self.place):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                out = np.where(known[at] == keys, place[at], out)
+        return out
 
-    def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text, the end id last."""
-        for a, b in blocks(texts):
-            parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[a:b]]
-            if len(self.place) > MOST_WORDS:
+    def ids(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, given as UTF-8, the end id last."""
+        if not self.chunked:
+            for a, b in blocks(texts):
+                for found in self.encoded(self.tokenizer, [(t or b"").decode() for t in texts[a:b]]):
+                    yield np.array([*found, self.end], np.uint32)
+            return
+        for a, b in blocks(texts, 2_000_000):
+            joined = b" ".join(t or b"" for t in texts[a:b])
+            bounds = np.cumsum([0] + [len(t or b"") + 1 for t in texts[a:b]])
+            start, stop, value = runs(np.frombuffer(joined, np.uint8), _BLANKS)
+            keys, one, back = np.unique(value, return_index=True, return_inverse=True)
+            if len(self.size) > MOST_CHUNKS:
                 self.reset()
-            have = self.place
-            new = {w for p in parts for w in p if w not in have}
-            if new:
-                self.learn(sorted(new))
-            get = have.__getitem__
-            for p in parts:
-                at = np.fromiter(map(get, p), np.int64, len(p))
-                size = self.size[at]
-                total = int(size.sum())
-                out = np.empty(total + 1, np.uint32)
-                shift = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
-                out[:total] = self.flat[shift + np.arange(total)]
-                out[total] = self.end
+            number = self.numbers(keys)
+            new = np.flatnonzero(number < 0)
+            if len(new):
+                s, e = start[one[new]].tolist(), stop[one[new]].tolist()
+                number[new] = self.learn(keys[new], [joined[i:j].decode() for i, j in zip(s, e)])
+            at = number[back]
+            size = self.size[at]
+            ends = np.concatenate(([0], np.cumsum(size)))
+            flat = self.flat[np.repeat(self.start[at] - ends[:-1], size) + np.arange(ends[-1])]
+            cut = ends[np.searchsorted(start, bounds)].tolist()
+            for i, j in zip(cut, cut[1:]):
+                out = np.empty(j - i + 1, np.uint32)
+                out[:-1] = flat[i:j]
+                out[-1] = self.end
                 yield out
 
 
+@lru_cache(1)
+def worker_words(path: str, end_id: int) -> Words:
+    """The worker's Words, kept for its later tasks."""
+    return Words(path, end_id)
+
+
 def assign(lengths: list[int], capacity: list[int], linear: float, quadratic: float) -> list[tuple[int, int, int, int]]:
     """(item, start in it, length, sequence) so that the sequences, whose capacities add up to the
     lengths, are all full. Order of the result: by sequence, as they were filled."""
@@ -120,7 +221,7 @@ def pack(df: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text",
 
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 40
-        words, pool, held, made = Words(tokenizer, end_id), [], 0, 0
+        words, pool, held, made = worker_words(tokenizer, end_id), [], 0, 0
 
         def packed(pool: list, sizes: list[int]) -> pa.RecordBatch:
             nonlocal made
@@ -137,7 +238,7 @@ def pack(df: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text",
 
         full = POOL * length
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             for doc, tokens in zip(ids, words.ids(texts)):
                 n, at = len(tokens), 0
                 while held + n - at >= full:

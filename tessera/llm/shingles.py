@@ -47,13 +47,11 @@ def _table(name: str, base: int, n: int) -> np.ndarray:
     return _cache[name][:n]
 
 
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word of the bytes `data`, and its 64-bit hash."""
-    data = _LOWER[data]
-    space = _SPACE[data]
+def runs(data: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each run of bytes for which the table `blank` is false."""
     inside = np.empty(len(data) + 2, np.int8)
     inside[0] = inside[-1] = 0
-    inside[1:-1] = ~space
+    inside[1:-1] = ~blank[data]
     edge = np.flatnonzero(np.diff(inside))
     start, end = edge[::2], edge[1::2]
     sums = np.empty(len(data) + 1, np.uint64)
@@ -63,6 +61,11 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, mix(value + (end - start).astype(np.uint64))
 
 
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word of the bytes `data`, and its 64-bit hash."""
+    return runs(_LOWER[data], _SPACE)
+
+
 def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its shingles; none without words."""
     joined = b" ".join(t or b"" for t in texts)
