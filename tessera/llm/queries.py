@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, mixing, packing, pii, toxicity
+from . import chroma, html_text, licenses, minhash, mixing, mtree, packing, pii, toxicity, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -92,3 +92,77 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(_table(spark, sf_dir, "documents"))
+
+
+@query("op8_html_consensus")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op1_mtree_topk",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i]))::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+    )
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 5
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_inner_products(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def _draw(at: int, n: int) -> str:
+    return f"(('0x' || substr(md5(host), {at}, 4))::BIGINT % {n})"
+
+
+_DAY = "TIMESTAMP '2024-01-01' + to_days(({})::INT)"
+_HOST = r"lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1), '\.+$', ''))"
+
+
+@query(
+    "op4_url_list_join",
+    rf"""
+    WITH captures AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(page_id * 7919 % 525600) AS fetched_at, {_HOST} AS host FROM pages),
+    hosts AS (SELECT DISTINCT host FROM captures WHERE host <> ''),
+    drawn AS (
+        SELECT host, {_draw(1, 180)} AS d1, d1 + 1 + {_draw(5, 120)} AS d2, d2 + 1 + {_draw(9, 90)} AS d3,
+            ['adult', 'malware', 'spam'][{_draw(13, 3)} + 1] AS kind, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS parent FROM hosts
+    ),
+    entries AS (
+        SELECT host AS key, kind AS category, 'add' AS action, {_DAY.format("d1")} AS effective FROM drawn
+        UNION SELECT host, kind, 'remove', {_DAY.format("d2")} FROM drawn
+        UNION SELECT host, kind, 'add', {_DAY.format("d3")} FROM drawn WHERE {_draw(17, 3)} = 0
+        UNION SELECT parent, 'parked', 'add', {_DAY.format("152")} FROM drawn
+        UNION SELECT parent, 'parked', 'remove', {_DAY.format("166")} FROM drawn
+        UNION SELECT host || '/en', 'allow', 'add', {_DAY.format("60")} FROM drawn WHERE {_draw(21, 2)} = 0
+    ),
+    once AS (SELECT key, category, effective, max(action) AS action FROM entries GROUP BY ALL),
+    spans AS (SELECT *, lead(effective) OVER (PARTITION BY key, category ORDER BY effective) AS until FROM once QUALIFY action = 'add'),
+    labelled AS (SELECT *, string_split(host, '.') AS l, string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/') AS p FROM captures),
+    met AS (
+        SELECT page_id, url, fetched_at, array_to_string(l[i:], '.') AS key FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM labelled WHERE host <> '')
+        UNION SELECT page_id, url, fetched_at, host || '/' || array_to_string(p[1:i], '/') AS key FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM labelled WHERE host <> '') WHERE key NOT LIKE '%/'
+    ),
+    found AS (
+        SELECT page_id, url, fetched_at, count(*) AS n, arg_min(category, (-len(m.key), category)) AS category
+        FROM met m JOIN spans s ON m.key = s.key AND s.effective <= fetched_at AND (until IS NULL OR fetched_at < until) GROUP BY ALL
+    )
+    SELECT c.page_id, c.url, c.fetched_at, coalesce(n, 0) AS n_active, category, coalesce(category <> 'allow', false) AS blocked
+    FROM captures c LEFT JOIN found f ON c.page_id = f.page_id AND c.url = f.url AND c.fetched_at = f.fetched_at
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    seconds = F.lit(1704067200) + F.col("page_id") * 7919 % 525600 * 60
+    captures = pages.withColumn("fetched_at", F.timestamp_seconds(seconds).cast("timestamp_ntz"))
+    return url_lists.judged(captures, url_lists.demo_entries(pages))
+
+
+@query("op6_chroma_alignment")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = _table(spark, sf_dir, "embeddings").select("vec_id", F.struct(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).alias("media"))
+    return chroma.aligned(chroma.fingerprints(media, "vec_id", "media", chroma.demo_recording), every=20)
