@@ -1,7 +1,8 @@
 """Hand-written licence signatures over words joined by single blanks.
 
-A line of RULES is: label | priority | gate word | regex; the gate word is a whole word that every
-text the regex matches holds. Higher priorities say more; they decide between detections of the
+A line of the text is: label | priority | gate word | regex; the gate word is a whole word that
+every text the regex matches holds. What all forms of "licence" and of "licensed under" hold is
+added to the gates of the rules that need them. Higher priorities say more; they decide between detections of the
 same words. Regexes match whole words: blanks stand around what they match."""
 
 from __future__ import annotations
@@ -189,9 +190,9 @@ artistic-1.0|80|artistic|artistic {_LIC}{_V} 1(?: 0)?
 artistic|60|artistic|artistic {_LIC}
 artistic|61|perl|same terms as perl itself
 wtfpl|85|wtfpl|wtfpl
-wtfpl|84|do|do what the fuck you want to public {_LIC}
+wtfpl|84|fuck|do what the fuck you want to public {_LIC}
 beerware|80|beerware|beerware(?: {_LIC})?
-beerware|79|beer|beer ware(?: {_LIC})?
+beerware|79|ware|beer ware(?: {_LIC})?
 eupl-1.2|80|eupl|eupl(?: v)? 1 2
 eupl-1.1|80|eupl|eupl(?: v)? 1 1
 eupl|60|eupl|eupl
@@ -260,7 +261,7 @@ editorial-use|55|editorial|for editorial use only
 fair-use|50|fair|fair use(?: notice)?
 royalty-free|50|royalty|royalty free
 crown-copyright|60|crown|crown copyright
-dual|58|dual|dual {_LIC}d?
+dual|58|dual|dual {_LIC}
 dual|58|dual|dual licensed
 no-derivatives|54|derivatives|no derivatives
 share-alike|54|alike|share alike
@@ -289,12 +290,22 @@ agpl|72|affero|{_UNDER} gnu affero general public {_LIC}
 """
 
 
-def rules() -> list[tuple[str, int, str, str]]:
-    """(label, priority, gate word, regex) of each rule."""
+#: Words of which a text must hold one, for rules that need "licence", or "licensed under" and such.
+_LIC_WORDS = ("license", "licence")
+_UNDER_WORDS = ("licensed", "released", "distributed", "available", "published", "provided", "covered", "used")
+
+
+def rules() -> list[tuple[str, int, tuple[tuple[str, ...], ...], str]]:
+    """(label, priority, gates, regex) of each rule; of each gate a text must hold one word."""
     out = []
     for line in _TEXT.strip().splitlines():
         label, priority, gate, regex = line.split("|", 3)
-        out.append((label, int(priority), gate, f"(?:{regex})"))
+        gates = [(gate,)]
+        if _LIC in regex.replace(f"(?: {_LIC})?", ""):
+            gates.append(_LIC_WORDS)
+        if _UNDER in regex:
+            gates.append(_UNDER_WORDS)
+        out.append((label, int(priority), tuple(gates), f"(?:{regex})"))
     return out
 
 

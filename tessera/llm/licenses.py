@@ -2,7 +2,7 @@
 
 A text's words, after A-Z are lower-cased, are runs of digits, a-z and everything beyond ASCII. One
 pass splits the text and intersects its words with the gate words of the rules. Only the rules
-whose gate word occurs run, on the words joined by blanks; each match becomes an interval of words.
+whose gates all open run, on the words joined by blanks; each match becomes an interval of words.
 Of two intervals one of which contains the other the longer stays, of equal ones that of higher
 priority (then the lesser label), so "creative commons attribution" silences "creative commons".
 The base phrases are counted apart and always stay."""
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .license_rules import RULES
 
 BASE = (("cc-by", ("cc", "by")), ("gpl", ("general", "public", "license")), ("reserved", ("all", "rights", "reserved")))
-_GATES = sorted({g for _, _, g, _ in RULES} | {words[-2] for _, words in BASE})
+_GATES = sorted({w for _, _, gates, _ in RULES for g in gates for w in g} | {words[-2] for _, words in BASE})
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The Kelvin sign, the only code point outside ASCII that lower() maps to one ASCII letter.
 _KELVIN = "K"
@@ -46,8 +46,9 @@ def _spaces(s: F.Column) -> F.Column:
 
 
 def _places(said: F.Column, rule: F.Column) -> F.Column:
-    """Intervals of words (from, to) that the rule's regex matches in the blank-joined words."""
-    regex = F.concat(F.lit("(?s)(.*?)(?<![^ ])("), rule["regex"], F.lit(")(?![^ ])"))
+    """Intervals of words (from, to) that the rule's regex matches in the blank-joined words. Each
+    match starts where the last one ended (\\G), so a text is passed once."""
+    regex = F.concat(F.lit(r"(?s)\G(.*?)(?<![^ ])("), rule["regex"], F.lit(")(?![^ ])"))
     pairs = F.arrays_zip(F.regexp_extract_all(said, regex, F.lit(1)).alias("b"), F.regexp_extract_all(said, regex, F.lit(2)).alias("h"))
     none = F.array().cast(DETECTIONS)
 
@@ -68,19 +69,27 @@ def _wins(y: F.Column, x: F.Column) -> F.Column:
     return (y["start"] <= x["start"]) & (y["stop"] >= x["stop"]) & (longer | (equal & first))
 
 
+def _bound(df: DataFrame, **columns: F.Column) -> DataFrame:
+    """df with columns that later expressions find evaluated: a projection would be merged into
+    them, and into each step of their lambdas; a generator of one row is not."""
+    for name, c in columns.items():
+        df = df.withColumn(name, F.explode(F.array(c)))
+    return df
+
+
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_words, base (array of word numbers for each base phrase) and detections
     (DETECTIONS that stand, by start). Null and empty texts have none. Other columns pass through;
     ones of these three names are replaced. No shuffle."""
     keep = [f"`{c}`" for c in df.columns if c not in ("n_words", "base", "detections")]
-    words = df.withColumn("__words", split_words(F.col(f"`{text}`")))
-    words = words.withColumn("__gates", F.array_intersect(F.array(*map(F.lit, _GATES)), "__words"))
-    words = words.withColumn("__said", F.when(F.size("__gates") > 0, F.array_join("__words", " ")))
-    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(p).alias("priority"), F.lit(g).alias("gate"), F.lit(r).alias("regex")) for a, p, g, r in RULES])
-    active = F.filter(table, lambda r: F.array_contains("__gates", r["gate"]))
+    words = _bound(df, __words=split_words(F.col(f"`{text}`")))
+    words = _bound(words, __gates=F.array_intersect(F.array(*map(F.lit, _GATES)), "__words"))
+    words = _bound(words, __said=F.when(F.size("__gates") > 0, F.array_join("__words", " ")))
+    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(p).alias("priority"), F.array(*[F.array(*map(F.lit, x)) for x in g]).alias("gates"), F.lit(r).alias("regex")) for a, p, g, r in RULES])
+    active = F.filter(table, lambda r: F.array_contains("__gates", r["gates"][0][0]) & F.forall(r["gates"], lambda g: F.arrays_overlap(g, "__gates")))
     none = F.array().cast(DETECTIONS)
     found = F.when(F.col("__said").isNotNull(), F.flatten(F.transform(active, lambda r: _places(F.col("__said"), r)))).otherwise(none)
-    words = words.withColumn("__found", found)
+    words = _bound(words, __found=found)
     stand = F.filter("__found", lambda x: ~F.exists("__found", lambda y: _wins(y, x)))
     base = F.struct(*[_starts(F.col("__words"), phrase).alias(label) for label, phrase in BASE])
     return words.select(*keep, F.size("__words").cast("long").alias("n_words"), base.alias("base"), F.array_sort(F.array_distinct(stand)).alias("detections"))
@@ -90,7 +99,8 @@ def report(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: word count, base phrases (number, first and last start, labels), all
     labels, and a score: the highest priority found, of 100 (a base phrase counts 50), 0 without."""
     s = scan(df.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
-    s = s.select("doc_id", "n_words", "base", "detections")
+    s = _bound(s.select("doc_id", "n_words", F.struct("base", "detections").alias("r")), __r=F.col("r"))
+    s = s.select("doc_id", "n_words", F.col("__r.base").alias("base"), F.col("__r.detections").alias("detections"))
     all_starts = F.concat(*[F.col("base")[label] for label, _ in BASE])
     base_labels = F.array_sort(F.filter(F.array(*[F.when(F.size(F.col("base")[label]) > 0, F.lit(label)) for label, _ in BASE]), lambda x: x.isNotNull()))
     found = F.transform("detections", lambda d: d["label"])
