@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES: tuple[str, ...] = ()
+_MODULES = ("relational", "geometric")
 
 
 def register(name: str, sql: str | None = None):
