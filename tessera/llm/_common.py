@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -38,6 +39,16 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """df, the session set to send Python workers batches of at most `most` bytes (or one row), as
+    whole texts make large ones; a smaller setting stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(name))
+    if not now or int(now[1]) > most:
+        conf.set(name, str(most))
+    return df
+
+
 def narrowed(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names; others, also ones with clashing names,
     never enter the plan. narrowed(df, doc_id="id") selects id as doc_id."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import small_batches, stored
 
 RATE, FRAME, HOP, WIDTH = 4000, 1024, 512, 16
 #: (shape, lowest pitch class, classes, frames): 0 whole, 1 upper-lower halves, 2 left-right halves,
@@ -121,7 +121,7 @@ def fingerprints(df: DataFrame, id: str, media: str, decode: Callable = wav) ->
                     codes.append([])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int32()))], ["id", "codes"])
 
-    return own.mapInArrow(run, "id long, codes array<int>")
+    return small_batches(own).mapInArrow(run, "id long, codes array<int>")
 
 
 def aligned(prints: DataFrame, every: int = 20, least_votes: int = 3, most_errors: float = 0.25, least_overlap: int = 12) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import maybe_broadcast, narrowed, stored
+from ._common import maybe_broadcast, narrowed, small_batches, stored
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -232,7 +232,7 @@ def winning_paths(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
                     scores.append(int(found[1]))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.int64())], ["host", "path", "score"])
 
-    votes = own.mapInArrow(run, "host string, path string, score long")
+    votes = small_batches(own).mapInArrow(run, "host string, path string, score long")
     votes = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
     order = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path")
     return votes.withColumn("r", F.row_number().over(order)).where("r = 1").select("host", "path", "votes")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, narrowed, stored
+from ._common import blocks, narrowed, small_batches, stored
 from .components import connected_components
 from .shingles import mix, shared, shingle_sets
 
@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     ["doc_id", "n", "h1", "h2", "bands", "bits"],
                 )
 
-    return docs.mapInArrow(run, SIGNATURE)
+    return small_batches(docs).mapInArrow(run, SIGNATURE)
 
 
 def least_matches(percent: int, sigmas: float = 5.5) -> int:
@@ -136,7 +136,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    return stored(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
+    return stored(small_batches(both.select("a", "b", "ta", "tb")).mapInArrow(run, "a long, b long"), "links")
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import narrowed, stored
+from ._common import narrowed, small_batches, stored
 
 #: Entries of a page.
 PAGE = 64
@@ -183,7 +183,7 @@ def top_inner_products(df: DataFrame, k: int = 5, every: int = 50, id: str = "ve
                 out = [(q, i, s) for q, x in zip(qi.tolist(), qv) for s, i in tree.search(x, k, q)]
                 yield _batch(out)
 
-    found = met.select("dim", "most", "rows", "queries").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = small_batches(met.select("dim", "most", "rows", "queries")).mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")

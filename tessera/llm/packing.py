@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks
+from ._common import blocks, small_batches
 from .shingles import runs
 
 #: Tokens of a pool, as a number of sequences.
 POOL = 256
 #: Chunks, and pieces of chunks, whose ids a worker keeps.
-MOST_CHUNKS, MOST_PIECES = 2_500_000, 400_000
+MOST_CHUNKS, MOST_PIECES = 1_000_000, 150_000
 #: Of a tokenizer's file, what allows the ids of chunks to be kept.
 LAYOUT = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -151,7 +151,7 @@ class Words:
                 for found in self.encoded(self.tokenizer, [(t or b"").decode() for t in texts[a:b]]):
                     yield np.array([*found, self.end], np.uint32)
             return
-        for a, b in blocks(texts, 2_000_000):
+        for a, b in blocks(texts, 1_000_000):
             joined = b" ".join(t or b"" for t in texts[a:b])
             bounds = np.cumsum([0] + [len(t or b"") + 1 for t in texts[a:b]])
             start, stop, value = runs(np.frombuffer(joined, np.uint8), _BLANKS)
@@ -254,5 +254,5 @@ def pack(df: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text",
             tail = [1 << b for b in reversed(range(length.bit_length() - 1)) if (held % length) >> b & 1]
             yield packed(pool, [length] * (held // length) + tail)
 
-    out = docs.mapInArrow(run, PIECES)
+    out = small_batches(docs).mapInArrow(run, PIECES)
     return out if with_ids else out.drop("ids")

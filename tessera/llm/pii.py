@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import small_batches
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "key", "secret", "iban", "account", "ssn", "address")
 _PLACE = {k: i for i, k in enumerate(KINDS)}
@@ -180,7 +182,7 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
         return pa.array(rows, pa.list_(kind))
 
-    return df.withColumn(out, run(F.col(f"`{text}`")))
+    return small_batches(df).withColumn(out, run(F.col(f"`{text}`")))
 
 
 def without_pii(df: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -191,7 +193,7 @@ def without_pii(df: DataFrame, text: str = "text", length: str | None = "n_chars
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([masked(t) for t in texts.to_pylist()], pa.string())
 
-    new = df.withColumn(text, run(F.col(f"`{text}`")))
+    new = small_batches(df).withColumn(text, run(F.col(f"`{text}`")))
     if length and length in df.columns:
         new = new.withColumn(length, F.char_length(text).cast(df.schema[length].dataType))
     return new.select(*[f"`{c}`" for c in df.columns])

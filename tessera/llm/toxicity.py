@@ -1,7 +1,8 @@
 """Toxicity: bags of subword embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A text is the bag of its character 3- to 6-grams inside words (a word's blanks belong to it), each
-hashed to a row of an embedding table; the mean of the rows goes through a linear layer and a
+hashed to a row of an embedding table; a word that occurs c times weighs sqrt(c), so that a line
+repeated a thousand times does not drown the rest. The weighted mean of the rows goes through a linear layer and a
 softmax. Table and layer are trained together, so a misspelling that was never seen still shares
 most of its n-grams, and their vectors, with the words that were. Because the layer is linear, a
 fitted model scores with one number for each row of the table: the scan of the corpus is a hash, a
@@ -9,6 +10,8 @@ gather and a sum for each character."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,27 +19,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, narrowed
+from ._common import blocks, narrowed, small_batches
 
 NGRAMS = (3, 4, 5, 6)
 ROW_BITS = 20
+#: Blank n-grams added to each bag, so that the mean of a short text is not that of few n-grams.
+DAMP = 60
+#: Code points whose n-grams are in memory at a time.
+CHARS = 500_000
 _BLANK = np.zeros(0x10000, bool)
 _BLANK[[i for i in range(0x10000) if chr(i).isspace()]] = True
 
 
-def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points of all texts, two blanks between them, and each text's start."""
-    low = [(t or "").lower() for t in texts]
-    starts = np.cumsum([1] + [len(t) + 2 for t in low])
-    data = ("  " + "  ".join(low) + "  ").encode("utf-32-le", "surrogatepass")
-    return np.frombuffer(data, np.uint32), starts
+def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of each text's distinct lower-cased words, a blank before each; each text's
+    start; and for each code point the root of how often its word occurs in the text."""
+    parts, starts, weights, sizes, at = [], [1], [], [], 1
+    for t in texts:
+        found = Counter((t or "").lower().split())
+        said = " ".join(found)
+        parts.append(said)
+        at += len(said) + 2
+        starts.append(at)
+        weights.append(np.sqrt(np.fromiter(found.values(), np.float32, len(found))))
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    data = ("  " + "  ".join(parts) + "  ").encode("utf-32-le", "surrogatepass")
+    codes = np.frombuffer(data, np.uint32)
+    weight = np.zeros(len(codes), np.float32)
+    for s, w, n in zip(starts, weights, sizes):
+        if len(w):
+            weight[s : s + int(n.sum())] = np.repeat(w, n)
+    return codes, np.array(starts), weight
 
 
 def ngrams(texts: list[str | None]):
-    """For each n: (rows, valid) of the n-grams that begin at each code point; and text starts.
+    """For each n: (rows, weights) of the n-grams that begin at each code point; and text starts.
 
-    An n-gram is valid if no blank lies inside it; it may begin or end with one."""
-    c, starts = _codes(texts)
+    An n-gram weighs what its word does, and nothing if a blank lies inside it; it may begin or end
+    with one."""
+    c, starts, weight = _codes(texts)
     blank = _BLANK[np.minimum(c, 0xFFFF)]
     before = np.concatenate(([0], np.cumsum(blank)))
     h, found = c * np.uint32(0x9E3779B1), []
@@ -49,21 +70,21 @@ def ngrams(texts: list[str | None]):
         if n in NGRAMS:
             row = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - ROW_BITS)
             valid = before[n - 1 : n - 1 + m] == before[1 : m + 1]
-            found.append((row, valid))
+            found.append((row, weight[:m] * valid))
     return found, starts
 
 
-def _bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+def _bags(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct rows and their shares of the bag, for each text."""
-    out = []
-    for a, b in blocks(texts):
+    for a, b in blocks(texts, CHARS):
         found, starts = ngrams(texts[a:b])
         for i in range(b - a):
             s, e = starts[i], starts[i + 1]
-            rows = np.concatenate([r[s:e][v[s:e]] for r, v in found]) if found else np.zeros(0, np.uint32)
-            rows, n = np.unique(rows, return_counts=True)
-            out.append((rows.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
-    return out
+            rows = np.concatenate([r[s:e] for r, _ in found]) if found else np.zeros(0, np.uint32)
+            w = np.concatenate([x[s:e] for _, x in found]) if found else np.zeros(0, np.float32)
+            rows, back = np.unique(rows[w > 0], return_inverse=True)
+            n = np.bincount(back, w[w > 0], len(rows))
+            yield rows.astype(np.int32), (n / (DAMP + n.sum())).astype(np.float32)
 
 
 @dataclass
@@ -75,24 +96,25 @@ class Subwords:
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         out = np.empty(len(texts))
-        for a, b in blocks(texts):
+        for a, b in blocks(texts, CHARS):
             found, starts = ngrams(texts[a:b])
             total, n = np.zeros(b - a), np.zeros(b - a)
-            for row, valid in found:
+            for row, weight in found:
                 at = np.minimum(starts, len(row))
-                value = np.concatenate(([0.0], np.cumsum(np.where(valid, self.row[row], np.float32(0)), dtype=np.float64)))
-                count = np.concatenate(([0], np.cumsum(valid)))
+                value = np.concatenate(([0.0], np.cumsum(weight * self.row[row], dtype=np.float64)))
+                count = np.concatenate(([0.0], np.cumsum(weight, dtype=np.float64)))
                 total += value[at[1:]] - value[at[:-1]]
                 n += count[at[1:]] - count[at[:-1]]
-            out[a:b] = total / np.maximum(n, 1) + self.bias
+            out[a:b] = total / (DAMP + n) + self.bias
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts), -50, 50)))
 
 
-def fit_subwords(texts: list, marks: list[int], prior: float | None = None, dims: int = 8, epochs: int = 10, rate: float = 0.5, batch: int = 32, least: int = 4, seed: int = 7) -> Subwords:
-    """Trains table and layer with Adagrad; `least`: texts an n-gram must occur in to be trained.
+def fit_subwords(texts: list, marks: list[int], prior: float | None = None, dims: int = 8, epochs: int = 6, updates: int = 1000, rate: float = 1.5, batch: int = 32, least: int = 3, seed: int = 7) -> Subwords:
+    """Trains table and layer with Adagrad, `epochs` times over all texts, more often where these
+    are too few for `updates` steps; `least`: texts an n-gram must occur in to be trained.
 
     prior: the share of marks 1 where texts were drawn from, if the sample's share differs; it
     moves the bias. With no texts or one class only, scores are the prior (0 without texts)."""
@@ -102,22 +124,22 @@ def fit_subwords(texts: list, marks: list[int], prior: float | None = None, dims
     if not len(y) or share in (0.0, 1.0):
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Subwords(np.zeros(1 << ROW_BITS, np.float32), float(np.log(p / (1 - p))))
-    bags = _bags(texts)
     seen = np.zeros(1 << ROW_BITS, np.int32)
-    for rows, _ in bags:
+    for rows, _ in _bags(texts):
         seen[rows] += 1
     known = seen >= least
-    slot = np.cumsum(known) - 1
-    for i, (rows, part) in enumerate(bags):
+    slot = (np.cumsum(known) - 1).astype(np.int32)
+    bags = []
+    for rows, part in _bags(texts):
         ok = known[rows]
-        bags[i] = (slot[rows[ok]].astype(np.int32), part[ok])
+        bags.append((slot[rows[ok]], part[ok]))
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (int(known.sum()), dims)).astype(np.float32)
     layer = rng.normal(0, 0.5, (dims, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     # A row's squared gradients start at a floor, so that rows of few texts move little.
     power, power_layer, power_bias = np.full(table.shape, 1e-7, np.float32), np.full(layer.shape, 1e-4, np.float32), np.full(2, 1e-2, np.float32)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-updates * batch // len(bags)))):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
@@ -159,7 +181,7 @@ def held_out(id: str) -> F.Column:
     return F.crc32(F.col(f"`{id}`").cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "toxic", label_id: str = "doc_id", most_per_class: int = 2500) -> Subwords:
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "toxic", label_id: str = "doc_id", most_per_class: int = 2000) -> Subwords:
     """Fits on labelled rows that are not held out: at most `most_per_class` of each mark, the
     first by a hash of the id (the bound of the training sample; all rows if there are fewer).
 
@@ -191,7 +213,7 @@ def score(df: DataFrame, model: Subwords, text: str = "text", out: str = "score"
 
         return pd.Series(Subwords(*held.value).scores([t if isinstance(t, str) else None for t in texts]))
 
-    return df.withColumn(out, run(F.col(f"`{text}`")))
+    return small_batches(df).withColumn(out, run(F.col(f"`{text}`")))
 
 
 def without_toxic(df: DataFrame, model: Subwords, text: str = "text", most: float = 0.5) -> DataFrame:
