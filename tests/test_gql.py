@@ -1,0 +1,69 @@
+"""Statements of the query language against the DataFrame API."""
+
+import pytest
+
+from tessera import gql
+from tessera.operators import patterns
+
+
+@pytest.fixture
+def s(spark, sf):
+    out = gql.Session(spark)
+    for t, k in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("nation", "n_nationkey"), ("events", "event_id")):
+        out.add(t, spark.read.parquet(f"{sf}/{t}.parquet"), k)
+    return out
+
+
+def test_reads(s):
+    o = s.tables["orders"]
+    assert s.execute("COVER orders ALL").count() == o.count()
+    got = s.execute("COVER orders ON o_orderstatus = 'F' WHERE o_totalprice > 1000 AND (o_custkey < 50 OR o_custkey >= 100) RANK BY o_totalprice DESC FIRST 5 SKIP 2 PROJECT (o_orderkey, o_totalprice - 100 AS net)")
+    want = o.where("o_orderstatus = 'F' and o_totalprice > 1000 and (o_custkey < 50 or o_custkey >= 100)").orderBy("o_totalprice", ascending=False).limit(7).collect()[2:]
+    assert [r["o_orderkey"] for r in got.collect()] == [r["o_orderkey"] for r in want] and got.columns == ["o_orderkey", "net"]
+    assert s.execute("SECTION orders AT o_orderkey = 7 PROJECT (o_custkey)").count() == 1
+    assert s.execute("EXISTS SECTION orders AT o_orderkey = -1").first()[0] is False
+    assert s.execute("COVER orders ON o_orderstatus IN ('F', 'P') DISTINCT o_orderstatus").count() == 2
+    assert s.execute("COVER events WHERE ts >= '2024-01-10' AND event_type MATCHES '/^cl/'").count() > 0
+    assert s.execute("COVER customer WHERE c_mktsegment CONTAINS 'BUILD' EMIT JSON").columns == ["line"]
+
+
+def test_aggregates_and_joins(s):
+    got = s.execute("INTEGRATE orders OVER o_orderstatus MEASURE COUNT(*) AS n, SUM(o_totalprice) FILTER (WHERE o_custkey < 50) AS part HAVING n > 10 RANK BY n DESC")
+    assert got.columns == ["o_orderstatus", "n", "part"] and got.count() == 3
+    out = s.execute("PULLBACK orders ALONG o_custkey ONTO customer ALONG c_nationkey ONTO nation PRESERVE LEFT")
+    assert out.count() == s.tables["orders"].count() and "n_name" in out.columns
+    assert s.execute("FIBER RANK orders OVER o_orderstatus RANK BY o_totalprice").where("rank = 1").count() == 3
+    assert "sum_value" in s.execute("FIBER SUM events OF value OVER user_id WINDOW ts ROWS (UNBOUNDED, 0)").columns
+    assert "value_shift" in s.execute("TRANSPORT events OF value ALONG ts SHIFT -1 OVER user_id").columns
+    both = "(COVER nation ALL PROJECT (n_nationkey)) WITH (COVER nation WHERE n_nationkey < 5 PROJECT (n_nationkey))"
+    assert s.execute(f"UNION {both}").count() == 25 and s.execute(f"INTERSECT {both}").count() == 5
+    assert s.execute("WITH big AS (COVER orders WHERE o_totalprice > 100000) INTEGRATE big MEASURE COUNT(*) AS n").first()[0] > 0
+    assert "big" not in s.tables
+
+
+def test_geometry(s):
+    assert 0 < s.execute("CURVATURE orders ON o_totalprice").first()["k"] < 1
+    assert s.execute("CURVATURE orders ON o_totalprice BY o_orderstatus").count() == 3
+    assert 0 < s.execute("CONFIDENCE orders").first()[0] < 1
+    assert s.execute("ENTROPY orders ON o_orderstatus, o_orderpriority").first()["distinct"] == 15
+    assert s.execute("PREDICT customer ON c_acctbal BY c_nationkey").count() > 5
+    assert "Filter" in s.execute("EXPLAIN COVER orders WHERE o_custkey = 3").first()[0]
+    patterns.define("dear", ["o_totalprice > 100000"], "o_totalprice", replace=True)
+    assert s.execute("HUNT dear IN orders TOP 3").count() == 3
+
+
+def test_changes(s):
+    s.execute("GENERATE BASE grid FROM k=1 TO k=9 STEP 2 WITH (v=0)")
+    s.execute("SECTION grid (k: 2, v: 7); SECTION grid (k: 3, v: 5) UPSERT; REDEFINE grid AT k=1 SET (v: 4); RETRACT grid ON v = 0")
+    assert sorted(tuple(r) for r in s.execute("COVER grid ALL").collect()) == [(1, 4), (2, 7), (3, 5)]
+    s.execute("LENS few AS COVER grid WHERE v > 4")
+    assert s.execute("COVER few ALL").count() == 2
+    assert {r["name"] for r in s.execute("SHOW BUNDLES").collect()} >= {"grid", "orders"}
+
+
+@pytest.mark.parametrize("text", ["COVER nothing ALL", "COVER orders WHERE nofield = 1", "COVER orders ALL extra words", "FROB orders", "INTEGRATE orders MEASURE FROB(o_custkey)", "COVER orders WHERE o_custkey", "COVER orders ALL FIRST 'x'", "COVER ? ALL"])
+def test_errors_are_loud(s, text):
+    with pytest.raises(gql.GqlError):
+        s.execute(text)
+    with pytest.raises(NotImplementedError):
+        s.execute("ATLAS BEGIN")
