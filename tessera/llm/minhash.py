@@ -180,6 +180,9 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     left = rows.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("bits").alias("pa"), F.col("chunk").alias("i"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("j"))
     right = rows.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("bits").alias("pb"), F.explode(F.sequence(F.lit(0), "chunk")).alias("i"), F.col("chunk").alias("j"))
+    # What a task pairs grows as the square of what it reads, so parts are many and stay apart.
+    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (x.repartition(parts, "key", "i", "j") for x in (left, right))
     cross = left.join(right, ["key", "i", "j"]).where("ca <> cb and (i < j or a < b)")
     cross = cross.where(matches("pa", "pb") >= least).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     more = confirmed(stored(cross, "cross"), texts, shingle, percent)
