@@ -51,6 +51,8 @@ _BAD = re.compile(
     re.I,
 )
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
+#: Wrappers say what a page has or lacks ("with-sidebar"); that is not what they are.
+_STATE = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|is|show|shows|hide|open|toggle)[-_][\w-]+", re.I)
 _HEAD = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|post|story|main|text|body|prose)(?:$|[\s_-])", re.I)
 _DIGITS = re.compile(r"\d+")
@@ -160,10 +162,12 @@ class _Page:
             _, box, drop, inside = stack[-1]
             inside = inside or tag in ("article", "main")
             if not drop and tag not in ("body", "html"):
+                names, full = _DIGITS.sub("", _STATE.sub("", names)), names
                 drop = hidden or tag in _DROP or role in _BAD_ROLE
                 drop = drop or (not inside and (tag == "header" or bool(_HEAD.search(names))))
                 drop = drop or (tag not in ("article", "main") and bool(names) and bool(_BAD.search(names)))
                 drop = drop or (tag == "article" and bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", names, re.I)))
+                names = full
             if tag in _CONTAINER:
                 label = tag + "".join(f".{c}" for c in _DIGITS.sub("#", names).lower().split("  ")[0].split())
                 self.parent.append(box)

@@ -52,3 +52,8 @@ def test_host_vote_decides(spark):
 def test_broken_pages_end():
     for html in ("<" * 50_000, "<a " * 20_000, "<p>" * 50_000 + "x", "&" * 50_000, "<div>" * 3_000 + "deep", "<!--", "<script>", '<a b="' * 200):
         html_text.extract(html, None)
+
+
+def test_wrappers_are_not_what_they_have():
+    html = "<body class='x'><div class='site with-sidebar no-comments'><div class='ad1'>buy</div><div class='text2'><p>Kept text here</p></div><ul class='comment-list'><li>Reader says much more than the author ever did</li></ul></div></body>"
+    assert html_text.extract(html, None) == "Kept text here"
