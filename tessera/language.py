@@ -27,7 +27,7 @@ _MEASURES = {
 }
 
 
-class GqlError(ValueError):
+class LanguageError(ValueError):
     pass
 
 
@@ -59,7 +59,7 @@ class _Parser:
         while i < len(text):
             m = _WORDS.match(text, i)
             if not m:
-                raise GqlError(f"cannot read {text[i : i + 20]!r}")
+                raise LanguageError(f"cannot read {text[i : i + 20]!r}")
             i = m.end()
             if m[2]:
                 self.tokens.append(("text", re.sub(r"\\(.)|''", lambda x: x[1] or "'", m[2][1:-1])))
@@ -94,17 +94,17 @@ class _Parser:
         for w in words:
             if not self.take(w):
                 found = self.tokens[self.at][1] if not self.done() else "the end"
-                raise GqlError(f"{w} is wanted before {found!r}")
+                raise LanguageError(f"{w} is wanted before {found!r}")
 
     def name(self) -> str:
         if self.done() or self.tokens[self.at][0] != "word":
-            raise GqlError("a name is wanted")
+            raise LanguageError("a name is wanted")
         self.at += 1
         return self.tokens[self.at - 1][1]
 
     def value(self):
         if self.done():
-            raise GqlError("a value is wanted")
+            raise LanguageError("a value is wanted")
         kind, v = self.tokens[self.at]
         if kind in ("text", "number"):
             self.at += 1
@@ -112,13 +112,13 @@ class _Parser:
         word = self.name()
         known = {"TRUE": True, "FALSE": False, "VOID": None, "NULL": None}
         if word.upper() not in known:
-            raise GqlError(f"not a value: {word}")
+            raise LanguageError(f"not a value: {word}")
         return known[word.upper()]
 
     def number(self):
         v = self.value()
         if isinstance(v, bool) or not isinstance(v, (int, float)):
-            raise GqlError("a number is wanted")
+            raise LanguageError("a number is wanted")
         return v
 
     def listed(self, one):
@@ -148,13 +148,13 @@ class _Parser:
         if n in self.s.lenses:
             return n, _Parser(self.s, self.s.lenses[n]).statement()
         if n not in self.s.tables:
-            raise GqlError(f"no bundle {n}")
+            raise LanguageError(f"no bundle {n}")
         return n, self.s.tables[n]
 
     def field(self, df: DataFrame) -> str:
         f = self.name()
         if f not in df.columns:
-            raise GqlError(f"no field {f}")
+            raise LanguageError(f"no field {f}")
         return f
 
     def query(self) -> DataFrame:
@@ -198,7 +198,7 @@ class _Parser:
         for sign, p in (("=", P.eq), ("!=", P.ne), ("<>", P.ne), ("<=", P.le), (">=", P.ge), ("<", P.lt), (">", P.gt)):
             if self.take(sign):
                 return p(f, self._literal(df, f, self.value()))
-        raise GqlError(f"no condition after {f}")
+        raise LanguageError(f"no condition after {f}")
 
     def _literal(self, df: DataFrame, f: str, v):
         return P.at(v) if dict(df.dtypes)[f].startswith("timestamp") and isinstance(v, (str, int)) else v
@@ -310,7 +310,7 @@ class _Parser:
         while True:
             kind = self.name().upper()
             if kind not in _MEASURES:
-                raise GqlError(f"no measure {kind}")
+                raise LanguageError(f"no measure {kind}")
             self.need("(")
             f = "*" if self.take("*") else self.field(df)
             self.need(")")
@@ -332,7 +332,7 @@ class _Parser:
         verb = self.name().upper()
         do = getattr(self, f"do_{verb.lower()}", None)
         if do is None:
-            raise GqlError(f"no statement {verb}")
+            raise LanguageError(f"no statement {verb}")
         return do()
 
     def do_cover(self):
@@ -362,7 +362,7 @@ class _Parser:
         row = dict(self.listed(self.pair))
         for f in row:
             if f not in df.columns:
-                raise GqlError(f"no field {f}")
+                raise LanguageError(f"no field {f}")
         one = self.s.spark.range(1).select(*[F.lit(v).cast(df.schema[f].dataType).alias(f) for f, v in row.items()])
         self.s.tables[n] = WR.upsert(df, one, [self.s.keys[n]]) if self.take("UPSERT") else WR.insert(df, one)
         return one if not self.take("RETURNING") else one.select(*self.names())
@@ -388,7 +388,7 @@ class _Parser:
         over = self.names() if self.take("OVER") else []
         for f in over:
             if f not in df.columns:
-                raise GqlError(f"no field {f}")
+                raise LanguageError(f"no field {f}")
         self.need("MEASURE")
         m = self.measures(df)
         if self.take("RESTRICT", "TO"):
@@ -409,7 +409,7 @@ class _Parser:
         keep = self.take("PRESERVE", "LEFT")
         for f, n, right in steps:
             if f not in df.columns:
-                raise GqlError(f"no field {f}")
+                raise LanguageError(f"no field {f}")
             df = R.pullback(df, right, f, self.s.keys[n], keep)
         return self.tail(df, None)
 
@@ -522,7 +522,7 @@ class _Parser:
         fields = self.names() if self.take("ON") else [c for c, k in df.dtypes if k in ("int", "bigint", "float", "double") and c != self.s.keys[n]]
         for f in fields:
             if f not in df.columns:
-                raise GqlError(f"no field {f}")
+                raise LanguageError(f"no field {f}")
         return G.curvature(df, fields, [self.field(df)] if self.take("BY") else ())
 
     def do_confidence(self):

@@ -110,7 +110,7 @@ def population(field) -> dict[str, Column]:
 
 
 def ranked(df: DataFrame, over, by, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*over).orderBy(*by)))
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*over).orderBy(*by)).cast("long"))
 
 
 def running(df: DataFrame, over, by, measure: Column, low: int | None, high: int, name: str) -> DataFrame:

@@ -56,11 +56,11 @@ def propagate(spark, d):
 
 
 @register("complete_across", """
-    SELECT o_orderkey AS key, round(avg(l_extendedprice), 4) AS predicted, round(0.8 * count(*) / (count(*) + 1), 8) AS confidence FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 7 = 0 GROUP BY o_orderkey""")
+    SELECT o_orderkey AS key, round(avg(l_extendedprice), 8) AS predicted, round(0.8 * count(*) / (count(*) + 1), 8) AS confidence FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 7 = 0 GROUP BY o_orderkey""")
 def complete_across(spark, d):
     o = _t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("v"))
     out = X.completed_across(o, "o_orderkey", "v", "o_orderkey", _t(spark, d, "lineitem"), "l_orderkey", "l_extendedprice")
-    return out.select("key", F.round("predicted", 4).alias("predicted"), F.round("confidence", 8).alias("confidence"))
+    return out.select("key", F.round("predicted", 8).alias("predicted"), F.round("confidence", 8).alias("confidence"))
 
 
 @register("suggest_adjacency")

@@ -46,10 +46,10 @@ def capacity(spark, d):
     return _rounded(k.select("l_returnflag", G.capacity("k", 0.5).alias("capacity")))
 
 
-@register("having_curvature", f"SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL HAVING {_k(LINE)} > 0.09")
+@register("having_curvature", f"SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL HAVING {_k(LINE)} > 0.08")
 def having_curvature(spark, d):
     li = _t(spark, d, "lineitem")
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), G.curvature_of(LINE).alias("k")).where("k > 0.09").drop("k")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), G.curvature_of(LINE).alias("k")).where("k > 0.08").drop("k")
 
 
 _KAPPA = "(abs(o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / (SELECT max(o_totalprice) - min(o_totalprice) FROM orders) + abs(o_custkey - (SELECT avg(o_custkey) FROM orders)) / (SELECT max(o_custkey) - min(o_custkey) FROM orders)) / 2"

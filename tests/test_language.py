@@ -2,13 +2,13 @@
 
 import pytest
 
-from tessera import gql
+from tessera import language
 from tessera.operators import patterns
 
 
 @pytest.fixture
 def s(spark, sf):
-    out = gql.Session(spark)
+    out = language.Session(spark)
     for t, k in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("nation", "n_nationkey"), ("events", "event_id")):
         out.add(t, spark.read.parquet(f"{sf}/{t}.parquet"), k)
     return out
@@ -63,7 +63,7 @@ def test_changes(s):
 
 @pytest.mark.parametrize("text", ["COVER nothing ALL", "COVER orders WHERE nofield = 1", "COVER orders ALL extra words", "FROB orders", "INTEGRATE orders MEASURE FROB(o_custkey)", "COVER orders WHERE o_custkey", "COVER orders ALL FIRST 'x'", "COVER ? ALL"])
 def test_errors_are_loud(s, text):
-    with pytest.raises(gql.GqlError):
+    with pytest.raises(language.LanguageError):
         s.execute(text)
     with pytest.raises(NotImplementedError):
         s.execute("ATLAS BEGIN")
