@@ -24,10 +24,10 @@ def _subsets(fields):
 
 def degrees(df: DataFrame, key: str, fields) -> DataFrame:
     """(key, degree): of each record, how many others share one of the fields' values."""
-    t = df.groupBy(*fields).agg(F.count("*").alias("__m"))
+    t = base = df.groupBy(*fields).agg(F.count("*").alias("__m"))
     total = F.lit(0)
     for s in _subsets(fields):
-        t = t.join(t.groupBy(*s).agg(F.sum("__m").alias("__n")), list(s)).withColumn("__d_" + "_".join(s), F.col("__n") - 1).drop("__n")
+        t = t.join(base.groupBy(*s).agg(F.sum("__m").alias("__n")), list(s)).withColumn("__d_" + "_".join(s), F.col("__n") - 1).drop("__n")
         total = total + (1 if len(s) % 2 else -1) * F.col("__d_" + "_".join(s))
     t = t.select(*fields, total.alias("degree"))
     return df.select(key, *fields).join(t, list(fields)).select(key, "degree")

@@ -66,8 +66,7 @@ def anti(left: DataFrame, right: DataFrame, along: str, onto: str | None = None)
 
 def iterate(df: DataFrame, key: str, step: str, start, depth: int = 100) -> DataFrame:
     """(depth, key): the nodes reached from `start` along the step field, by joins of the frontier.
-    A node is listed at its least depth; the walk ends where a step is null, known, or too deep.
-    Each round is written to the session's shared folder where it has one."""
+    A node is listed at its least depth; the walk ends where a step is null, known, or too deep."""
     edges = df.select(F.col(key).alias("__k"), F.col(step).alias("__next")).where("__next is not null")
     seen = front = df.where(F.col(key) == F.lit(start)).select(F.lit(0).alias("depth"), F.col(key)).distinct()
     for d in range(1, depth + 1):
@@ -80,10 +79,11 @@ def iterate(df: DataFrame, key: str, step: str, start, depth: int = 100) -> Data
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: written to spark.checkpoint.dir where that is set, else as it is."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
+    """df with its lineage cut: written to the folder that the cluster names in spark.checkpoint.dir
+    and read back, which outlives lost executors; where that is unset (tests), to a folder of the
+    session's warehouse."""
+    conf = df.sparkSession.conf
+    folder = conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir').rstrip('/')}/_rounds"
     path = f"{folder.rstrip('/')}/tessera-rounds/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
