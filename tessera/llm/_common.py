@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,16 @@ def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
     return df
 
 
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system: allocators keep it otherwise,
+    and workers live on through later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not the GNU library
+
+
 def narrowed(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names; others, also ones with clashing names,
     never enter the plan. narrowed(df, doc_id="id") selects id as doc_id."""

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, narrowed, small_batches, stored
+from ._common import blocks, narrowed, small_batches, stored, trim
 from .components import connected_components
 from .shingles import mix, shared, shingle_sets
 
@@ -91,6 +91,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     ],
                     ["doc_id", "n", "h1", "h2", "bands", "bits"],
                 )
+        trim()
 
     return small_batches(docs).mapInArrow(run, SIGNATURE)
 
@@ -135,6 +136,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                 keep.append(100 * n >= percent * (len(own) + len(held) - n) and n > 0)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+        trim()
 
     return stored(small_batches(both.select("a", "b", "ta", "tb")).mapInArrow(run, "a long, b long"), "links")
 

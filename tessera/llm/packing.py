@@ -17,7 +17,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, small_batches
+from ._common import blocks, small_batches, trim
 from .shingles import runs
 
 #: Tokens of a pool, as a number of sequences.
 POOL = 256
 #: Chunks, and pieces of chunks, whose ids a worker keeps.
-MOST_CHUNKS, MOST_PIECES = 1_000_000, 150_000
+MOST_CHUNKS, MOST_PIECES = 1_000_000, 100_000
 #: Of a tokenizer's file, what allows the ids of chunks to be kept.
 LAYOUT = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -72,7 +72,7 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), end_id
+        self.path, self.end = path, end_id
         with open(path, encoding="utf-8") as f:
             shape = json.load(f)
         self.chunked = {k: shape.get(k) for k in LAYOUT} == LAYOUT
@@ -83,6 +83,13 @@ class Words:
         self.reset()
         self.pieces: dict[str, list[int]] = {}
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer as it is, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def reset(self) -> None:
         """Forgets all chunks. keys, place: sorted hashes and their chunks' numbers, older and
         newer ones apart; start and size of each chunk's ids in flat."""
@@ -108,7 +115,7 @@ class Words:
         new = list({p for s in split if s for p in s if p not in have})
         have.update(zip(new, self.encoded(self.bare, new)))
         out = [None if s is None else have[s[0]] if len(s) == 1 else [x for p in s for x in have[p]] for s in split]
-        for i, found in zip(odd, self.encoded(self.tokenizer, [chunks[i] for i in odd])):
+        for i, found in zip(odd, self.encoded(self.tokenizer, [chunks[i] for i in odd]) if odd else ()):
             out[i] = found
         return out
 
@@ -253,6 +260,7 @@ def pack(df: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text",
         if held:
             tail = [1 << b for b in reversed(range(length.bit_length() - 1)) if (held % length) >> b & 1]
             yield packed(pool, [length] * (held // length) + tail)
+        trim()
 
     out = small_batches(docs).mapInArrow(run, PIECES)
     return out if with_ids else out.drop("ids")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._common import small_batches, trim
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "key", "secret", "iban", "account", "ssn", "address")
@@ -191,7 +191,9 @@ def without_pii(df: DataFrame, text: str = "text", length: str | None = "n_chars
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([masked(t) for t in texts.to_pylist()], pa.string())
+        found = pa.array([masked(t) for t in texts.to_pylist()], pa.string())
+        trim()
+        return found
 
     new = small_batches(df).withColumn(text, run(F.col(f"`{text}`")))
     if length and length in df.columns:

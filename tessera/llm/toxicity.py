@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, narrowed, small_batches
+from ._common import blocks, narrowed, small_batches, trim
 
 NGRAMS = (3, 4, 5, 6)
 ROW_BITS = 20
@@ -211,7 +211,9 @@ def score(df: DataFrame, model: Subwords, text: str = "text", out: str = "score"
     def run(texts):
         import pandas as pd
 
-        return pd.Series(Subwords(*held.value).scores([t if isinstance(t, str) else None for t in texts]))
+        found = pd.Series(Subwords(*held.value).scores([t if isinstance(t, str) else None for t in texts]))
+        trim()
+        return found
 
     return small_batches(df).withColumn(out, run(F.col(f"`{text}`")))
 
