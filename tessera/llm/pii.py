@@ -1,6 +1,6 @@
 """Personal data by anchor expansion: an Aho-Corasick automaton finds at-signs, plus signs, digits,
 schemes and identifier cues in one pass, and a deterministic parser at each anchor expands to the
-bounds of the value and validates it.
+bounds of the value and validates it. Secrets and URLs have no greatest length.
 
 Kinds, in the order in which spans with one start are listed: email, ip, card, phone (the base
 kinds, leftmost and without overlap within a kind; those that fail validation go, without retries),
@@ -29,10 +29,11 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _SPACED = re.compile(r"[0-9](?:[ -]?[0-9])*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_URL = re.compile(r"[^\s<>\"'`{}|\\^]{1,2048}")
+_URL = re.compile(r"[^\s<>\"'`{}|\\^]++")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$")
 _CLOUD = re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])")
-_VALUE = re.compile(r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([A-Za-z0-9_/+=.\-]{8,512})")
+_GIVES = re.compile(r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?")
+_VALUE = re.compile(r"[A-Za-z0-9_/+=.\-]*+")
 _IBAN = re.compile(r"[ :#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?: (?:no|number|nr)\.?)?[ :#.]{0,3}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
 _SSN = re.compile(r"[ :#]{0,3}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9])")
@@ -85,7 +86,8 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     added: list[tuple[str, int, int]] = []
     after = dict.fromkeys(KINDS, 0)
-    dotted = spaced = 0
+    dotted = spaced = value = 0
+    digit = -1
     for end, (what, n) in anchors().iter(text):
         at = end + 1 - n
         if what == "digit":
@@ -119,7 +121,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                     out.append(("phone", at, m.end()))
         elif what == "url":
             s = _SCHEME.search(text[max(0, at - 16) : at])
-            if s and (m := _URL.match(text, end + 1)) and (start := at - len(s.group())) >= after["url"]:
+            if s and (start := at - len(s.group())) >= after["url"] and (m := _URL.match(text, end + 1)):
                 stop = m.end()
                 while stop > end + 1 and text[stop - 1] in ".,;:!?)]":
                     stop -= 1
@@ -132,9 +134,15 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if (at == 0 or not text[at - 1].isalnum()) and (m := _CLOUD.match(text, end + 1)):
                 added.append(("key", at, m.end()))
         elif what == "secret":
-            if (m := _VALUE.match(text, end + 1)) and m.start(1) >= after["secret"] and any(c.isdigit() for c in m.group(1)):
-                after["secret"] = m.end(1)
-                added.append(("secret", m.start(1), m.end(1)))
+            if (m := _GIVES.match(text, end + 1)) and (start := m.end()) >= after["secret"]:
+                if start >= value:  # cues within one run of the value's signs share its end and last digit
+                    value = _VALUE.match(text, start).end()
+                    digit = value - 1
+                    while digit >= start and not text[digit].isdigit():
+                        digit -= 1
+                if value - start >= 8 and digit >= start:
+                    after["secret"] = value
+                    added.append(("secret", start, value))
         elif what == "iban":
             m = _IBAN.match(text, end + 1)
             if m and _mod97(m.group(1).replace(" ", "")):

@@ -64,6 +64,17 @@ def test_added_kinds():
     assert "address" in kinds("at 12 Long Acre Street today")
 
 
+def test_long_values_are_whole():
+    for n in (512, 513, 900, 20_000):
+        jwt = "eyJh" + "b7_-." * n
+        assert pii.find(f"token: {jwt} x") == [("secret", 7, 7 + len(jwt))]
+        assert pii.masked(f"token: {jwt}, then") == "token: <SECRET>, then"
+        url = "https://host.example/a?" + "q=1&" * n + "sig=abcdef"
+        assert pii.masked(f"see {url}. Then") == "see <URL>. Then"
+    for text in ("token=" * 60_000, "token=1" * 60_000, "a://" * 80_000, "token=" * 60_000 + "1"):
+        pii.find(text)
+
+
 def test_masking_and_edges(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "me@a.bc or +1 (242) 555-3475", "x"), (3, "me@a.bc or +1 (242) 555-3475", "x"), (None, "1.2.3.4", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, pii string")
