@@ -52,8 +52,8 @@ def _class(kind: str) -> str:
 _LETTER, _NUMBER, _BLANK = _class("L"), _class("N"), r"\t\n\x0b\x0c\r \x85\xa0"
 _BLANKS = np.zeros(256, bool)
 _BLANKS[[0x20, 0x09, 0x0A, 0x0D]] = True
-#: Below U+0250, but for one capital that lower-cases to two code points.
-_PLAIN = re.compile("[\x00-\u012f\u0131-\u024f]*").fullmatch
+#: Below U+0250 in lower case too: without the capitals whose small letters lie beyond, or are two code points.
+_PLAIN = re.compile("[" + "".join(re.escape(chr(i)) for i in range(0x250) if len(chr(i).lower()) == 1 and chr(i).lower() < "\u0250") + "]*").fullmatch
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+").findall
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -64,9 +64,9 @@ class Words:
     For a tokenizer that lower-cases, drops white space and splits runs of letters, digits and
     other signs (LAYOUT), the ids of a text are those of its white-space separated chunks in turn.
     Chunks are found and hashed (64 bits) in arrays; each worker keeps the ids of a bounded number
-    of them, and of the pieces that they consist of. Chunks below U+0250 are split here and their
-    pieces skip the normalisation they do not need; other chunks, and all texts for any other
-    tokenizer, go through the tokenizer as it is."""
+    of them, and of the pieces that they consist of. Chunks that stay below U+0250 in lower
+    case are split here and their pieces skip the normalisation they do not need; other chunks, and
+    all texts for any other tokenizer, go through the tokenizer as it is."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -57,6 +57,15 @@ def test_edges(spark):
         packing.pack(df, tokenizer_path(), length=1000)
 
 
+def test_every_plain_code_point_in_a_word():
+    signs = [chr(i) for i in range(0x260)]
+    texts = ["Əli", "naƐ.", *[t for c in signs for t in (c, f"{c}li", f"na{c}.", f"Na{c}li", f"{c}{c}", f"7{c}'s")]]
+    words = packing.Words(tokenizer_path(), 2)
+    assert words.chunked
+    got = [x.tolist() for x in words.ids([t.encode() for t in texts])]
+    assert [t for t, a, b in zip(texts, got, whole(texts)) if a != b] == []
+
+
 def test_costs_are_balanced():
     lengths = [900] * 40 + [100] * 46 + [5]
     total = sum(lengths)
