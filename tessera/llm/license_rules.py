@@ -1,7 +1,7 @@
 """Hand-written licence signatures over words joined by single blanks.
 
-A line of the text is: label | priority | gate word | regex; the gate word is a whole word that
-every text the regex matches holds. What all forms of "licence" and of "licensed under" hold is
+A line of the text is: label | priority | gate words | regex; every text the regex matches holds one
+of the gate words (mostly there is one only) as a whole word. What all forms of "licence" and of "licensed under" hold is
 added to the gates of the rules that need them. Higher priorities say more; they decide between detections of the
 same words. Regexes match whole words: blanks stand around what they match."""
 
@@ -182,7 +182,7 @@ libpng|72|libpng|libpng {_LIC}
 bsl-1.0|80|boost|boost software {_LIC}(?:{_V} 1(?: 0)?)?
 bsl-1.0|95|bsl|spdx {_LIC} identifier bsl 1 0
 busl-1.1|82|business|business source {_LIC}(?:{_V} 1 1)?
-sspl-1.0|82|sspl|sspl(?: v)?(?: ?1)?
+sspl-1.0|82|sspl sspl1|sspl(?: v)?(?: ?1)?
 sspl-1.0|82|server|server side public {_LIC}
 elastic-2.0|82|elastic|elastic {_LIC}(?: (?:v ?)?2(?: 0)?)?
 artistic-2.0|80|artistic|artistic {_LIC}{_V} 2(?: 0)?
@@ -249,13 +249,13 @@ reserved|50|vorbehalten|alle rechte vorbehalten
 reserved|50|reservados|todos los derechos reservados
 reserved|50|réservés|tous droits réservés
 copyright|30|copyright|copyright(?: c)?(?: [12][0-9]{{3}})+
-copyright|20|copyright|copyrighted|copyright
+copyright|20|copyright copyrighted|copyrighted|copyright
 free-use|40|freely|may be freely (?:used|copied|distributed|reproduced)
 free-use|40|freely|freely (?:available|distributable|redistributable)
-personal-use|55|personal|for (?:personal|private)(?: and non ?commercial)? use only
+personal-use|55|personal private|for (?:personal|private)(?: and non ?commercial)? use only
 non-commercial|55|commercial|(?:for )?non commercial (?:use|purposes)(?: only)?
 non-commercial|54|noncommercial|(?:for )?noncommercial (?:use|purposes)(?: only)?
-research-only|56|research|for (?:academic|research)(?: and educational)? (?:use|purposes) only
+research-only|56|research academic|for (?:academic|research)(?: and educational)? (?:use|purposes) only
 educational-use|55|educational|for educational (?:use|purposes)(?: only)?
 editorial-use|55|editorial|for editorial use only
 fair-use|50|fair|fair use(?: notice)?
@@ -272,7 +272,7 @@ patent|30|patent|patent pending
 commercial-license|52|commercial|commercial {_LIC}
 open-source|35|open|open source {_LIC}
 open-source|40|osi|osi approved
-see-license|25|license|see(?: the)? {_LIC}(?: file)?(?: for details)?
+see-license|25|license licence|see(?: the)? {_LIC}(?: file)?(?: for details)?
 spdx|48|spdx|spdx {_LIC} identifier [^ ]+
 terms|25|terms|terms (?:of use|of service|and conditions)
 cc-by-nc|90|cc|{_UNDER} cc by nc
@@ -300,7 +300,7 @@ def rules() -> list[tuple[str, int, tuple[tuple[str, ...], ...], str]]:
     out = []
     for line in _TEXT.strip().splitlines():
         label, priority, gate, regex = line.split("|", 3)
-        gates = [(gate,)]
+        gates = [tuple(gate.split())]
         if _LIC in regex.replace(f"(?: {_LIC})?", ""):
             gates.append(_LIC_WORDS)
         if _UNDER in regex:

@@ -86,7 +86,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     words = _bound(words, __gates=F.array_intersect(F.array(*map(F.lit, _GATES)), "__words"))
     words = _bound(words, __said=F.when(F.size("__gates") > 0, F.array_join("__words", " ")))
     table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(p).alias("priority"), F.array(*[F.array(*map(F.lit, x)) for x in g]).alias("gates"), F.lit(r).alias("regex")) for a, p, g, r in RULES])
-    active = F.filter(table, lambda r: F.array_contains("__gates", r["gates"][0][0]) & F.forall(r["gates"], lambda g: F.arrays_overlap(g, "__gates")))
+    active = F.filter(table, lambda r: F.exists(r["gates"][0], lambda w: F.array_contains("__gates", w)) & F.forall(r["gates"], lambda g: F.arrays_overlap(g, "__gates")))
     none = F.array().cast(DETECTIONS)
     found = F.when(F.col("__said").isNotNull(), F.flatten(F.transform(active, lambda r: _places(F.col("__said"), r)))).otherwise(none)
     words = _bound(words, __found=found)

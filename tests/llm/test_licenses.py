@@ -77,3 +77,45 @@ def test_every_rule_holds_its_gate():
     for label, _, gates, regex in RULES:
         re.compile(regex)
         assert all(any(w in regex for w in g) for g in gates), (label, gates)
+
+
+def strings(regex):
+    """What the regex matches: every alternative, each repetition at its least and, up to 2, its most."""
+    from re import _constants as C
+    from re import _parser
+
+    def of(nodes):
+        out = [""]
+        for op, arg in nodes:
+            if op is C.LITERAL:
+                more = [chr(arg)]
+            elif op in (C.ANY, C.NOT_LITERAL):
+                more = ["x"]
+            elif op is C.IN:
+                more = ["x" if arg[0][0] is C.NEGATE else chr(arg[0][1] if arg[0][0] is C.LITERAL else arg[0][1][0])]
+            elif op is C.BRANCH:
+                more = [x for branch in arg[1] for x in of(branch)]
+            elif op is C.SUBPATTERN:
+                more = of(arg[3])
+            else:
+                assert op in (C.MAX_REPEAT, C.MIN_REPEAT), op
+                low, high, inner = arg
+                more = [x for n in sorted({low, max(low, min(high, 2))}) for x in ([""] if n == 0 else [x * n for x in of(inner)])]
+            out = [a + b for a in out for b in more]
+        return out
+
+    return list(dict.fromkeys(of(_parser.parse(regex))))
+
+
+def test_gates_let_all_matches_through():
+    for label, _, gates, regex in RULES:
+        for said in strings(regex):
+            assert re.fullmatch(regex, said), (label, said)
+            words = set(said.split(" "))
+            assert all(words & set(g) for g in gates), (label, said)
+
+
+def test_matches_without_the_first_gate_word(spark):
+    texts = {1: "A copyrighted work", 2: "See the licence for details", 3: "SSPL1 applies", 4: "see licence", 5: "sspl 1", 6: "copyright x", 7: "For private use only", 8: "for academic use only"}
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ("copyright", 0.2), 2: ("see-license", 0.25), 3: ("sspl-1.0", 0.82), 4: ("see-license", 0.25), 5: ("sspl-1.0", 0.82), 6: ("copyright", 0.2), 7: ("personal-use", 0.55), 8: ("research-only", 0.56)}
