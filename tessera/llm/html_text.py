@@ -29,7 +29,8 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after another, so that words within a value are no names.
+_ATTRIBUTE = re.compile(r"([^\s/=][^\s/=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s\"'][^\s]*+)?))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -150,7 +151,7 @@ class _Page:
             rest = m[4] if m[3] else m[7]
             names, role, hidden = "", "", False
             if rest and not rest.isspace():
-                for n in _NAMES.finditer(rest):
+                for n in _ATTRIBUTE.finditer(rest):
                     value = n[2] or n[3] or n[4] or ""
                     what = n[1].lower()
                     if what in ("class", "id"):

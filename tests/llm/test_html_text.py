@@ -57,3 +57,14 @@ def test_broken_pages_end():
 def test_wrappers_are_not_what_they_have():
     html = "<body class='x'><div class='site with-sidebar no-comments'><div class='ad1'>buy</div><div class='text2'><p>Kept text here</p></div><ul class='comment-list'><li>Reader says much more than the author ever did</li></ul></div></body>"
     assert html_text.extract(html, None) == "Kept text here"
+
+
+def test_words_in_values_are_no_attributes():
+    inside = ['style="overflow: hidden"', "style='visibility: visible; overflow: hidden'", 'title="The hidden city"', "data-x='a aria-hidden=true b'", 'alt="x role=navigation y"', 'title="a class=advert b"', "data-hidden", "style = 'x hidden y' lang=en", 'title="a > hidden b"', "data-a=x/hidden"]
+    for a in inside:
+        for tag in ("div", "main", "article"):
+            assert html_text.extract(f"<body><{tag} {a}><p>Kept text here</p></{tag}></body>", None) == "Kept text here", a
+    for a in ("hidden", 'hidden=""', "HIDDEN", 'style="x"hidden', "aria-hidden=true", 'aria-hidden = "true"', "role=navigation", 'title="x" class="advert"', "id='advert'/"):
+        assert html_text.extract(f"<body><div {a}><p>Gone</p></div><p>Kept</p></body>", None) == "Kept", a
+    for a in ("x=" * 50_000, "x " * 50_000, "x" + " " * 100_000, "= " * 50_000, 'a="' * 50_001):
+        html_text.extract(f"<div {a}>text", None)
