@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..llm.components import connected_components
 from . import geometry as G
 from . import graph as GR
 from . import vectors as V
@@ -221,22 +222,66 @@ def local_density(rows: DataFrame, key: str, field: str, k: int = 10) -> DataFra
     return both.join(lrd, "query").select(F.col("query").alias("key"), (F.col("theirs") / F.col("lrd")).alias("lof"))
 
 
-def dbscan(rows: DataFrame, key: str, field: str, eps: float, min_points: int = 4, k: int = 32) -> DataFrame:
-    """(key, cluster): density clusters; null for noise. Links come from each row's k nearest within
-    eps, k above min_points; labels pass along links between core rows."""
-    n = neighbours_of(rows, rows, key, field, k).where(F.col("distance") <= eps)
-    core = n.groupBy("query").agg(F.count("*").alias("c")).where(F.col("c") + 1 >= min_points).select("query")
-    e = cut(n.join(core, "query").join(core.select(F.col("query").alias("key")), "key").select(F.col("query").alias("a"), F.col("key").alias("b")))
-    e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = core.select(F.col("query").alias("id"), F.col("query").alias("cluster"))
-    for _ in range(50):
-        low = e.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("cluster").alias("low"))
-        new = cut(label.join(low, F.col("id") == F.col("a"), "left").select("id", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster")))
-        if not new.join(label.withColumnRenamed("cluster", "old"), "id").where("cluster <> old").limit(1).count():
-            break
-        label = new
+def _near(rows: DataFrame, key: str, field: str, eps: float | None, k: int = 0, blocks: int = 16) -> DataFrame:
+    """(query, key, distance): all other rows within eps of each row, or without eps its k nearest of
+    each block. Blocks meet as in neighbours_of; the matrix only picks candidates, whose distances
+    are then summed from differences, so that they are equal both ways and compare exactly."""
+    v = rows.select(F.col(key).alias("key"), F.col(field).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    q = v.select("key", "v", F.lit(True).alias("asked"), F.col("own").alias("qb"), other.alias("rb"))
+    r = v.select("key", "v", F.lit(False).alias("asked"), other.alias("qb"), F.col("own").alias("rb"))
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.asked], pdf[~pdf.asked]
+        out = []
+        if len(a) and len(b):
+            bv, bk = np.vstack(b.v.to_numpy()), b.key.to_numpy()
+            bn = (bv**2).sum(1)
+            for i in range(0, len(a), 256):
+                part = a.iloc[i : i + 256]
+                av, ak = np.vstack(part.v.to_numpy()), part.key.to_numpy()
+                sums = (av**2).sum(1)[:, None] + bn[None, :]
+                d2 = sums - 2 * av @ bv.T
+                d2[ak[:, None] == bk[None, :]] = np.inf
+                if eps is None:
+                    y = np.argpartition(d2, k - 1, axis=1)[:, :k].ravel() if k < len(bk) else np.tile(np.arange(len(bk)), len(ak))
+                    x = np.repeat(np.arange(len(ak)), min(k, len(bk)))
+                    x, y = x[np.isfinite(d2[x, y])], y[np.isfinite(d2[x, y])]
+                else:
+                    x, y = np.nonzero(d2 <= eps * eps + 1e-9 * (sums + eps * eps))
+                for s in range(0, len(x), 65_536):
+                    xs, ys = x[s : s + 65_536], y[s : s + 65_536]
+                    d = np.sqrt(((av[xs] - bv[ys]) ** 2).sum(1))
+                    ok = np.ones(len(d), bool) if eps is None else d <= eps
+                    out.append(pd.DataFrame({"query": ak[xs[ok]], "key": bk[ys[ok]], "distance": d[ok]}))
+        return pd.concat(out) if out else pd.DataFrame([], columns=["query", "key", "distance"])
+
+    kind = dict(rows.dtypes)[key]
+    return q.unionByName(r).groupBy("qb", "rb").applyInPandas(score, f"query {kind}, key {kind}, distance double")
+
+
+def usual_eps(rows: DataFrame, key: str, field: str, min_points: int = 4) -> float:
+    """The distance to the min_points-th nearest other row that three quarters of the rows keep."""
+    w = Window.partitionBy("query").orderBy("distance")
+    n = _near(rows, key, field, None, min_points).withColumn("r", F.row_number().over(w)).where(F.col("r") <= min_points)
+    d = cut(n.groupBy("query").agg(F.max("distance").alias("d")))
+    found = d.orderBy("d").offset(max(0, int(0.75 * (d.count() - 1)))).limit(1).collect()
+    return max(found[0]["d"] if found else 0.0, float(np.finfo(float).eps))
+
+
+def dbscan(rows: DataFrame, key: str, field: str, eps: float | None = None, min_points: int = 4) -> DataFrame:
+    """(key, cluster): density clusters over all pairs within eps, named by their least core key; null
+    for noise. A border row takes the least cluster it touches. Without eps, usual_eps. The pairs
+    are written out: their number is what eps makes it, quadratic in a cluster denser than eps."""
+    eps = usual_eps(rows, key, field, min_points) if eps is None else eps
+    n = cut(_near(rows, key, field, eps).select("query", "key"))
+    core = cut(n.groupBy("query").agg(F.count("*").alias("c")).where(F.col("c") + 1 >= min_points).select("query"))
+    e = n.where(F.col("query") < F.col("key")).join(core, "query").join(core.select(F.col("query").alias("key")), "key")
+    linked = connected_components(e.select(F.col("query").alias("a"), F.col("key").alias("b")))
+    label = core.select(F.col("query").alias("id")).join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
     edge = n.join(label, F.col("key") == F.col("id")).groupBy("query").agg(F.min("cluster").alias("edge"))
-    return rows.select(key).join(label, F.col(key) == F.col("id"), "left").join(edge, F.col(key) == F.col("query"), "left").select(F.col(key).alias("key"), F.coalesce("cluster", "edge").alias("cluster"))
+    all_rows = rows.select(F.col(key).alias("key"))
+    return all_rows.join(label, F.col("key") == F.col("id"), "left").join(edge, F.col("key") == F.col("query"), "left").select("key", F.coalesce("cluster", "edge").alias("cluster"))
 
 
 def spectral_clusters(rows: DataFrame, key: str, field: str, k: int = 3, neighbours: int = 10, seed: int = 1) -> DataFrame:

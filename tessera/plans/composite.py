@@ -116,7 +116,7 @@ def density_lof(spark, d):
 
 @register("dbscan")
 def dbscan(spark, d):
-    return X.dbscan(_t(spark, d, "embeddings"), "vec_id", "embedding", 1.0)
+    return X.dbscan(_t(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 @register("spectral_clusters")
