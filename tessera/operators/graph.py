@@ -6,7 +6,7 @@ the fields, and spectra from the distinct tuples with their multiplicities."""
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -103,18 +103,21 @@ def spectral_gap(df: DataFrame, fields) -> DataFrame:
     return spark.createDataFrame([(None, "disconnected") if gap < 1e-9 else (gap, "measured")], kind)
 
 
-def shortest(edges: DataFrame, start, rounds: int = 20) -> DataFrame:
+def shortest(edges: DataFrame, start) -> DataFrame:
     """(node, distance): least weight sums from `start` over (src, dst, w), by frontier joins until
-    nothing falls."""
+    nothing falls, however many that takes; a cycle of negative weight is refused."""
     best = edges.sparkSession.createDataFrame([(start, 0.0)], f"node {dict(edges.dtypes)['src']}, distance double")
     front = best
-    for _ in range(rounds):
+    for n in count(1):
         step = front.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.col("distance") + F.col("w")).alias("d"))
         seen = best.select(F.col("node").alias("dst"), F.col("distance").alias("old"))
         front = cut(step.join(seen, "dst", "left").where("old is null or d < old - 1e-12").select(F.col("dst").alias("node"), F.col("d").alias("distance")))
         if front.isEmpty():
             break
         best = cut(best.join(front.select("node"), "node", "left_anti").unionByName(front))
+        # A distance that falls in round n has a path of n edges, whose n + 1 nodes differ.
+        if n >= 32 and n & (n - 1) == 0 and best.count() <= n:
+            raise ValueError("a cycle of negative weight")
     return best
 
 
@@ -126,9 +129,12 @@ def net_flow(edges: DataFrame) -> DataFrame:
 
 def circulation(edges: DataFrame, most_nodes: int = 5_000) -> DataFrame:
     """(nodes, ratio): the share of squared net flow that no potential explains. The nodes'
-    matrix is solved on the driver; more than most_nodes are refused."""
+    matrix is solved on the driver; more than most_nodes, or 50 times as many net edges, are
+    refused."""
     net = net_flow(edges)
-    rows = net.limit(most_nodes * 50).collect()
+    rows = net.limit(most_nodes * 50 + 1).collect()
+    if len(rows) > most_nodes * 50:
+        raise ValueError("too many edges")
     nodes = sorted({x for r in rows for x in (r["a"], r["b"])})
     if len(nodes) > most_nodes:
         raise ValueError("too many nodes")
