@@ -124,8 +124,8 @@ def spectral_gap(spark, d):
     return GR.spectral_gap(_t(spark, d, "customer"), ["c_nationkey", "c_mktsegment"])
 
 
-def _flows(spark, d):
-    o, c = _t(spark, d, "orders").where("o_orderkey % 3 = 0"), _t(spark, d, "customer")
+def _flows(spark, d, orders="o_orderkey % 3 = 0"):
+    o, c = _t(spark, d, "orders").where(orders), _t(spark, d, "customer")
     e = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("src"), (F.col("o_orderkey") * 7 % 25).cast("int").alias("dst"), "o_totalprice")
     return e.groupBy("src", "dst").agg(F.sum("o_totalprice").alias("w"))
 
@@ -140,7 +140,7 @@ def net_flow(spark, d):
 
 @register("circulation")
 def circulation(spark, d):
-    return GR.circulation(_flows(spark, d))
+    return GR.circulation(_flows(spark, d, "true"))
 
 
 @register("geodesic", f"""
@@ -261,8 +261,7 @@ def kmeans(spark, d):
 
 @register("mixture")
 def mixture(spark, d):
-    low = _t(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("embedding"))
-    return V.mixture(low, "vec_id", "embedding", 3)
+    return V.mixture(_t(spark, d, "embeddings"), "vec_id", "embedding", 3)
 
 
 @register("pca")
