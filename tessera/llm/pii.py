@@ -5,12 +5,16 @@ bounds of the value and validates it. Secrets and URLs have no greatest length.
 Kinds, in the order in which spans with one start are listed: email, ip, card, phone (the base
 kinds, leftmost and without overlap within a kind; those that fail validation go, without retries),
 then url, key, secret, iban, account, ssn, address, which the anchors add. An added span that lies
-inside a base span is dropped. Offsets are code points, ends exclusive."""
+inside a base span is dropped; otherwise spans of different kinds may overlap. Offsets are code
+points, ends exclusive. Every parser passes a stretch of text a fixed number of times at most, so a
+text takes time in proportion to its length."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -30,15 +34,18 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _SPACED = re.compile(r"[0-9](?:[ -]?[0-9])*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'`{}|\\^]++")
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$")
+_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _CLOUD = re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])")
 _GIVES = re.compile(r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?")
 _VALUE = re.compile(r"[A-Za-z0-9_/+=.\-]*+")
 _IBAN = re.compile(r"[ :#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?: (?:no|number|nr)\.?)?[ :#.]{0,3}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
 _SSN = re.compile(r"[ :#]{0,3}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9])")
-_HOUSE = re.compile(r"(?<![0-9])[0-9]{1,5}[A-Za-z]? (?:[A-Z][A-Za-z'.-]{0,30} ){1,3}$")
-_HOUSE_AFTER = re.compile(r" (?:[A-ZÀ-Þ][^\W\d_]{0,30} ?){1,4},? [0-9]{1,5}(?![0-9])|[^\W\d_]{0,20} [0-9]{1,4}[a-z]?(?![0-9])")
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'.-")
+_HOUSE = re.compile(r"(?<![0-9])[0-9]{1,5}[A-Za-z]?\Z")
+_NAMES_AFTER = re.compile(r" (?:[A-ZÀ-Þ][^\W\d_]*+ ?){1,4},? [0-9]{1,5}(?![0-9])")
+_LETTERS = re.compile(r"[^\W\d_]*+")
+_NUMBER_AFTER = re.compile(r" [0-9]{1,4}[a-z]?(?![0-9])")
 
 _SECRET_CUES = ("password", "passwd", "token", "secret", "api_key", "apikey", "api-key", "access_key")
 _ACCOUNT_CUES = ("account", "acct", "konto", "cuenta", "compte")
@@ -79,6 +86,21 @@ def _mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def _house(text: str, at: int) -> int | None:
+    """Start of the house number before one to three capitalised names that end at the blank
+    text[at]; None if there is none."""
+    for _ in range(3):
+        start = at
+        while start and text[start - 1] in _NAME:
+            start -= 1
+        if start == at or not ("A" <= text[start] <= "Z") or not start or text[start - 1] != " ":
+            return None
+        at = start - 1
+        if m := _HOUSE.search(text, max(0, at - 7), at):
+            return m.start()
+    return None
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text by start, then kind; [] for null and empty texts."""
     if not text:
@@ -86,7 +108,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     added: list[tuple[str, int, int]] = []
     after = dict.fromkeys(KINDS, 0)
-    dotted = spaced = value = 0
+    dotted = spaced = value = letters = 0
     digit = -1
     for end, (what, n) in anchors().iter(text):
         at = end + 1 - n
@@ -120,8 +142,12 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                 if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
                     out.append(("phone", at, m.end()))
         elif what == "url":
-            s = _SCHEME.search(text[max(0, at - 16) : at])
-            if s and (start := at - len(s.group())) >= after["url"] and (m := _URL.match(text, end + 1)):
+            start, low = at, after["url"]
+            while start > low and text[start - 1] in _SCHEME:
+                start -= 1
+            while start < at and not text[start].isalpha():
+                start += 1
+            if start < at and (m := _URL.match(text, end + 1)):
                 stop = m.end()
                 while stop > end + 1 and text[stop - 1] in ".,;:!?)]":
                     stop -= 1
@@ -154,15 +180,21 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if m := _SSN.match(text, end + 1):
                 added.append(("ssn", m.start(1), m.end(1)))
         elif what == "street":
-            before = text[max(0, at - 120) : at + 1]
-            if (m := _HOUSE.search(before)) and (end + 1 == len(text) or not text[end + 1].isalnum()):
-                added.append(("address", at + 1 - len(m.group()), end + 1))
+            if (end + 1 == len(text) or not text[end + 1].isalnum()) and (start := _house(text, at)) is not None:
+                added.append(("address", start, end + 1))
         elif what == "street_before":
-            if m := _HOUSE_AFTER.match(text, end + 1):
+            if m := _NAMES_AFTER.match(text, end + 1):
                 added.append(("address", at, m.end()))
+            else:
+                if end + 1 >= letters:  # cues within one word share its end
+                    letters = _LETTERS.match(text, end + 1).end()
+                if m := _NUMBER_AFTER.match(text, letters):
+                    added.append(("address", at, m.end()))
     base = sorted(out, key=lambda s: s[1])
+    starts, reach = [b[1] for b in base], list(accumulate((b[2] for b in base), max))
     for s in added:
-        if not any(b[1] <= s[1] and s[2] <= b[2] for b in base):
+        before = bisect_right(starts, s[1])
+        if not before or reach[before - 1] < s[2]:
             out.append(s)
     return sorted(set(out), key=lambda s: (s[1], _PLACE[s[0]], s[2]))
 

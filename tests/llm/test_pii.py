@@ -1,7 +1,9 @@
 """The anchors' base spans against plain regular expressions, and the added kinds."""
 
 import hashlib
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,3 +84,33 @@ def test_masking_and_edges(spark):
     assert out == [(0, "<IP>", "x"), (1, "", "x"), (2, "", "x"), (3, "<EMAIL> or <PHONE>", "x"), (3, "<EMAIL> or <PHONE>", "x")]
     assert pii.report(df).count() == 5 and pii.report(df.limit(0)).count() == 0
     assert pii.find(pii.masked(rows[2][1])) == []
+
+
+def test_schemes_and_addresses_of_any_length():
+    scheme = "x" + "svn+ssh." * 40
+    assert pii.find(f"({scheme}://host.example/a)") == [("url", 1, len(scheme) + 18)]
+    assert pii.find("see 1a+b://host.example") == [("url", 5, 23)]
+    name = "L" + "o" * 300 + "ng"
+    assert pii.find(f"at 12 {name} {name} Acre Street today")[0] == ("address", 3, 3 + 2 + 2 * (len(name) + 1) + 5 + 7)
+    assert pii.find("at 123456 Acre Street") == [] and pii.find("at 12 a Acre Street") == [] and pii.find("12 A B C D Street") == []
+    text = f"in Calle {name} {name} 12, y {name.lower()}straße 5b"
+    assert [text[a:b] for _, a, b in pii.find(text)] == [f"Calle {name} {name} 12", "straße 5b"]
+
+
+def test_a_megabyte_takes_seconds():
+    mail = "me@host.example http://host.example/a " * 27_000
+    begun = time.time()
+    for text in (mail, "a" * 1_000_000 + "://x", "straße" * 170_000, "A" * 1_000_000 + " Street" * 100, "Rue " * 250_000, "Street Street " * 70_000, "password=a1" + "b" * 1_000_000, "+1" * 500_000):
+        pii.masked(text)
+    assert time.time() - begun < 60
+    assert pii.masked("password=a1" + "b" * 600) == "password=<SECRET>"
+
+
+def test_added_spans_stay_unless_a_base_span_holds_them():
+    rng = random.Random(3)
+    signs = ["http://", "a@b.cd", "1.2.3.4", "+1 242 555-3475", "token=", "a1b2c3d4e5", " ", "/", "me", ".", "12 Acre Street", "ssn 123-45-6789"]
+    for _ in range(2000):
+        text = "".join(rng.choices(signs, k=12))
+        spans = pii.find(text)
+        held = [s for s in spans if s[0] in pii.BASE]
+        assert not [s for s in spans if s[0] not in pii.BASE and any(b[1] <= s[1] and s[2] <= b[2] for b in held)]
