@@ -63,8 +63,9 @@ class Words:
 
     For a tokenizer that lower-cases, drops white space and splits runs of letters, digits and
     other signs (LAYOUT), the ids of a text are those of its white-space separated chunks in turn.
-    Chunks are found and hashed (64 bits) in arrays; each worker keeps the ids of a bounded number
-    of them, and of the pieces that they consist of. Chunks that stay below U+0250 in lower
+    Chunks are found and hashed (128 bits) in arrays; each worker keeps the ids of a bounded number
+    of them, and of the pieces that they consist of. 64 bits of the hash find a chunk, the others
+    must agree; a block of texts where they do not goes through the tokenizer as it is. Chunks that stay below U+0250 in lower
     case are split here and their pieces skip the normalisation they do not need; other chunks, and
     all texts for any other tokenizer, go through the tokenizer as it is."""
 
@@ -92,9 +93,10 @@ class Words:
 
     def reset(self) -> None:
         """Forgets all chunks. keys, place: sorted hashes and their chunks' numbers, older and
-        newer ones apart; start and size of each chunk's ids in flat."""
+        newer ones apart; the other half of each chunk's hash; start and size of its ids in flat."""
         self.keys = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
         self.place = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.other = np.zeros(0, np.uint64)
         self.size, self.start, self.flat, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
     def encoded(self, tokenizer, texts: list[str]) -> list[list[int]]:
@@ -119,8 +121,8 @@ class Words:
             out[i] = found
         return out
 
-    def learn(self, keys: np.ndarray, chunks: list[str]) -> np.ndarray:
-        """Numbers of new chunks with these sorted hashes."""
+    def learn(self, keys: np.ndarray, other: np.ndarray, chunks: list[str]) -> np.ndarray:
+        """Numbers of new chunks with these sorted hashes and other halves."""
         ids = self.chunk_ids(chunks)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(size.sum())
@@ -130,6 +132,7 @@ class Words:
         place = np.arange(len(self.size), len(self.size) + len(ids))
         self.start = np.concatenate((self.start, self.n + np.cumsum(size) - size))
         self.size = np.concatenate((self.size, size))
+        self.other = np.concatenate((self.other, other))
         self.n += total
         for level in (1, 0):
             keys, at = np.concatenate((self.keys[level], keys)), np.concatenate((self.place[level], place if level else self.place[1]))
@@ -151,17 +154,20 @@ class Words:
                 out = np.where(known[at] == keys, place[at], out)
         return out
 
+    def plain_ids(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        for found in self.encoded(self.tokenizer, [(t or b"").decode() for t in texts]):
+            yield np.array([*found, self.end], np.uint32)
+
     def ids(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """The ids of each text, given as UTF-8, the end id last."""
         if not self.chunked:
             for a, b in blocks(texts):
-                for found in self.encoded(self.tokenizer, [(t or b"").decode() for t in texts[a:b]]):
-                    yield np.array([*found, self.end], np.uint32)
+                yield from self.plain_ids(texts[a:b])
             return
         for a, b in blocks(texts, 1_000_000):
             joined = b" ".join(t or b"" for t in texts[a:b])
             bounds = np.cumsum([0] + [len(t or b"") + 1 for t in texts[a:b]])
-            start, stop, value = runs(np.frombuffer(joined, np.uint8), _BLANKS)
+            start, stop, value, other = runs(np.frombuffer(joined, np.uint8), _BLANKS, 2)
             keys, one, back = np.unique(value, return_index=True, return_inverse=True)
             if len(self.size) > MOST_CHUNKS:
                 self.reset()
@@ -169,8 +175,11 @@ class Words:
             new = np.flatnonzero(number < 0)
             if len(new):
                 s, e = start[one[new]].tolist(), stop[one[new]].tolist()
-                number[new] = self.learn(keys[new], [joined[i:j].decode() for i, j in zip(s, e)])
+                number[new] = self.learn(keys[new], other[one[new]], [joined[i:j].decode() for i, j in zip(s, e)])
             at = number[back]
+            if not np.array_equal(self.other[at], other):
+                yield from self.plain_ids(texts[a:b])
+                continue
             size = self.size[at]
             ends = np.concatenate(([0], np.cumsum(size)))
             flat = self.flat[np.repeat(self.start[at] - ends[:-1], size) + np.arange(ends[-1])]

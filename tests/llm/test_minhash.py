@@ -92,3 +92,14 @@ def test_sets_equal_plain_ones():
     sets = shingles.shingle_sets(texts, 4)
     assert [len(s) for s in sets] == [2, 2, 0, 0, 1, 5]
     assert (sets[0] == sets[1]).all()
+
+
+def test_words_that_collide_by_form():
+    rng = random.Random(5)
+    for n in (64, 1024, 4096):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        a, b = ("".join(x[i] for i in bits) for x in ("ab", "ba"))
+        assert len(shingles.shingle_sets([f"{a} {b} {a}".encode()], 1)[0]) == 2
+    words = {bytes(rng.choices(range(1, 9), k=rng.randrange(1, 80))) for _ in range(20_000)}
+    words |= {w + b"\0" for w in list(words)[:2000]} | {b"\0" * i for i in range(1, 70)}
+    assert len(shingles.shingle_sets([b" ".join(words)], 1)[0]) == len(words)

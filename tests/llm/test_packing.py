@@ -78,3 +78,23 @@ def test_costs_are_balanced():
     assert [room[i] for i in range(len(bins))] == bins
     full = [cost[i] for i in range(total // 4096)]
     assert max(full) < 1.2 * min(full)
+
+
+def thue_morse(n):
+    """Two different words that any polynomial hash modulo a power of two takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_collide_by_form():
+    a, b = thue_morse(2048)
+    words = packing.Words(tokenizer_path(), 2)
+    texts = [f"{a} x {b}", f"{b} {a}", a, b]
+    assert [w.tolist() for w in words.ids([t.encode() for t in texts])] == whole(texts)
+
+
+def test_colliding_halves_go_through_the_tokenizer(monkeypatch):
+    runs = packing.runs
+    monkeypatch.setattr(packing, "runs", lambda *a: (lambda s, e, v, o: (s, e, v % np.uint64(7), o))(*runs(*a)))
+    words, texts = packing.Words(tokenizer_path(), 2), [f"some words of a text {i}" for i in range(30)]
+    assert [w.tolist() for t in texts for w in words.ids([t.encode()])] == whole(texts)
