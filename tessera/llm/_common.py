@@ -80,6 +80,27 @@ def blocks(texts: list, most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+#: A key is hot with more rows than this, or than a MOST_HOT-th of all rows.
+HOT_ROWS, MOST_HOT = 20_000, 1_000
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, by: list[str], counts: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
+    """left joined with right on key (inner), a hot key's rows of left dealt by the hash of `by` to
+    as many parts as their number asks for, and its few rows of right repeated for each part.
+
+    counts: (key, n) of left, if known; left must read stored tables, as it is also counted. Fewer
+    than MOST_HOT keys can be hot, so what is broadcast is bounded by construction."""
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(HOT_ROWS if hot_rows is None else hot_rows, total // MOST_HOT)
+    hot = counts.where(F.col("n") > least).select(key, F.ceil(F.col("n") / least).cast("int").alias("__salts"))
+    hot = F.broadcast(stored(hot, "hot"))
+    salts = F.coalesce("__salts", F.lit(1))
+    left = left.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*by), salts).cast("int")).drop("__salts")
+    right = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most `rows` rows, found without counting beyond that."""
     return df.limit(rows + 1).count() <= rows

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, narrowed, small_batches, stored, trim
+from ._common import blocks, narrowed, salted, small_batches, stored, trim
 from .components import connected_components
 from .shingles import mix, shared, shingle_sets
 
@@ -32,6 +32,8 @@ _TIMES = _RNG.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.
 _BAND = _RNG.integers(1, 1 << 62, (ROWS + 1,), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Most members of a chunk of a bucket whose components still have to be compared.
 CHUNK = 256
+#: Pairs of one text that a task compares.
+HOT_PAIRS = 2_000
 
 SIGNATURE = "doc_id long, n long, h1 long, h2 long, bands array<long>, bits array<long>"
 
@@ -117,9 +119,10 @@ def matches(a: str, b: str) -> F.Column:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    """The pairs (a, b), a stored table, whose full shingle sets have 100 * intersection >= percent * union."""
+    both = salted(pairs, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a", ["b"], hot_rows=HOT_PAIRS)
+    counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    both = salted(both, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b", ["a"], counts, HOT_PAIRS)
 
     def run(batches):
         last, held = None, None
@@ -141,14 +144,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return stored(small_batches(both.select("a", "b", "ta", "tb")).mapInArrow(run, "a long, b long"), "links")
 
 
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each document of df.
-
-    Documents whose shingle sets have 100 * intersection >= percent * union are linked;
-    component_id is the smallest doc_id reachable over links and kept says that it is the
-    document's own. Null and wordless texts have an empty set and are linked with nothing. Rows
-    that repeat a doc_id are one document (n_shingles: the most of its rows); rows without a
-    doc_id are left out. Other columns of df play no part. An empty table gives no rows."""
+def _groups(df: DataFrame, id: str, text: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The result of near_duplicates, and the signatures of all rows (a stored table)."""
     docs = narrowed(df, doc_id=id, text=text).where("doc_id is not null")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sig = stored(signatures(docs, shingle), "signatures")
@@ -158,8 +155,9 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     reps = stored(reps, "representatives")
 
     member = reps.select("rep", F.explode("bands").alias("key"))
-    bucket = member.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("c")).where("c > 1")
-    shared_rows = stored(member.join(bucket, "key"), "buckets")
+    bucket = member.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1")
+    bucket = stored(bucket, "keys")
+    shared_rows = stored(salted(member, bucket.select("key", "low"), "key", ["rep"], bucket.select("key", "n")), "buckets")
     bits = reps.select("rep", "bits")
     least = least_matches(percent)
     # Every text that may have to be compared goes through one shuffle, at any size of the table.
@@ -167,8 +165,8 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     texts = stored(docs.join(ids, "doc_id", "left_semi"), "texts")
 
     star = shared_rows.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    star = star.join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("pa")), "a")
-    star = star.join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("pb")), "b")
+    star = stored(star.join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("pa")), "a"), "closest")
+    star = salted(star, bits.select(F.col("rep").alias("b"), F.col("bits").alias("pb")), "b", ["a"])
     star = star.withColumn("m", matches("pa", "pb")).where(F.col("m") >= least)
     best = star.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
     links = confirmed(stored(best, "stars"), texts, shingle, percent)
@@ -176,9 +174,10 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     comp = connected_components(links)
     rows = shared_rows.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     rows = rows.select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    mixed = mixed.where("x <> y").select("key", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks"))
-    rows = rows.join(mixed, "key").join(bits, "rep")
+    rows = stored(rows, "members")
+    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    mixed = stored(mixed.where("x <> y").select("key", "n", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "mixed")
+    rows = salted(rows, mixed.select("key", "chunks"), "key", ["rep"], mixed.select("key", "n")).join(bits, "rep")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     left = rows.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("bits").alias("pa"), F.col("chunk").alias("i"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("j"))
     right = rows.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("bits").alias("pb"), F.explode(F.sequence(F.lit(0), "chunk")).alias("i"), F.col("chunk").alias("j"))
@@ -195,12 +194,34 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     out = sig.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left")
     out = out.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("component").alias("c"))
     out = out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id")), sig
+
+
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each document of df.
+
+    Documents whose shingle sets have 100 * intersection >= percent * union are linked;
+    component_id is the smallest doc_id reachable over links and kept says that it is the
+    document's own. Null and wordless texts have an empty set and are linked with nothing. Rows
+    that repeat a doc_id are one document (n_shingles: the most of its rows); rows without a
+    doc_id are left out. Other columns of df play no part. An empty table gives no rows."""
+    return _groups(df, id, text, shingle, percent)[0]
 
 
 def without_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """df without the rows whose document is not the kept one of its group; of rows that repeat a
-    doc_id one stays (rows without a doc_id all stay). The columns are those of df."""
-    gone = near_duplicates(df, id, text, shingle, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
-    rest = df.join(gone, F.col(f"`{id}`").cast("long") == F.col("_gone"), "left_anti")
-    return rest.where(F.col(f"`{id}`").isNotNull()).dropDuplicates([id]).unionByName(rest.where(F.col(f"`{id}`").isNull()))
+    doc_id the one of least text stays, then of least other columns as JSON (rows without a doc_id
+    all stay). The columns are those of df. Texts are shuffled once more only by the ids that go;
+    rows of repeated ids, if there are any, are reduced apart."""
+    found, sig = _groups(df, id, text, shingle, percent)
+    key = F.col(f"`{id}`").cast("long")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone"))
+    rest = df.join(gone, key == F.col("_gone"), "left_anti")
+    again = sig.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
+    again = stored(again, "repeated")
+    if again.isEmpty():
+        return rest
+    row = F.struct(*[f"`{c}`" for c in df.columns])
+    one = rest.join(again, key == F.col("_again"), "left_semi").groupBy(key.alias("_id"))
+    one = one.agg(F.min_by(row, F.struct(f"`{text}`", F.to_json(row))).alias("_row")).select("_row.*")
+    return rest.join(again, key == F.col("_again"), "left_anti").unionByName(one)

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from tessera.llm import minhash, shingles
+from tessera.llm import _common, minhash, shingles
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -42,7 +42,7 @@ def test_documents(spark):
     assert got == want
 
 
-def test_chains_copies_and_edges(spark):
+def test_chains_copies_and_edges(spark, monkeypatch):
     rng = random.Random(3)
     base = [f"w{rng.randrange(10_000)}" for _ in range(300)]
     docs = {}
@@ -59,20 +59,22 @@ def test_chains_copies_and_edges(spark):
     docs |= {2000: None, 2001: "", 2002: " \n ", 2003: "one two", 2004: "One  TWO", 2005: "two one", 2006: "É a b c d", 2007: "é a b c d", 2008: "word " * 40_000, 2009: "word " * 30_000}
     rows = [(i, t, "x") for i, t in docs.items()] + [(1000, docs[1000], "y"), (None, "one two", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n string")
-    old, minhash.CHUNK = minhash.CHUNK, 5
-    try:
+    monkeypatch.setattr(minhash, "CHUNK", 5)
+    for hot in (2, 20_000):  # with and without hot keys
+        monkeypatch.setattr(minhash, "HOT_PAIRS", hot)
+        monkeypatch.setattr(_common, "HOT_ROWS", hot)
         for k in (4, 5):
             got = minhash.near_duplicates(df.select("doc_id", "text", df.n.alias("component_id")), shingle=k).collect()
             assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(docs, k) and len(got) == len(docs)
             assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
-    finally:
-        minhash.CHUNK = old
     kept = minhash.without_near_duplicates(df, shingle=5)
     assert kept.columns == df.columns
     ids = [r["doc_id"] for r in kept.collect()]
     want = brute(docs, 5)
     assert sorted(ids, key=lambda i: (i is None, i)) == sorted(i for i in docs if want[i][1] == i) + [None]
-    assert minhash.near_duplicates(df.limit(0)).count() == 0
+    row = [tuple(r) for r in kept.where("doc_id = 1000").collect()]
+    assert row == [(1000, docs[1000], "x")]
+    assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.without_near_duplicates(df.limit(0)).count() == 0
 
 
 def test_estimates_follow_similarity():
