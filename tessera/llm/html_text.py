@@ -1,25 +1,30 @@
 """Main text of web pages by consensus host paths.
 
 A first pass parses each page, scores its containers by the text that they hold, and names each by
-its generalised path: tags and classes from the body down, digits replaced. Spark counts, for each
+its generalised path: tags and classes from the body down, digits replaced, held as the last tag and
+a 128-bit hash of the whole, so paths of any depth stay apart. Spark counts, for each
 host, how many pages each path won; a second pass takes from every page the containers on its
 host's winning path, and from a page that has none its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out by tag, role and class name. The text of a block has its character references decoded and
+left out by tag, role and class name. Names that may as well stand for parts of an article ("legal",
+"toc", "related") decide alone outside one only; within, such a block goes if most of its text is
+links. A button or label in a paragraph is part of the sentence. The text of a block has its character references decoded and
 its white space turned into single blanks; blocks are joined by newlines in page order."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._common import maybe_broadcast, narrowed, small_batches, stored
+from ._common import narrowed, salted, small_batches, small_enough, stored
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -38,6 +43,8 @@ _BLOCK = frozenset(
 )
 _CONTAINER = frozenset("article body blockquote center div main section td".split())
 _DROP = frozenset("aside button canvas datalist dialog footer form head menu nav object search select svg audio video input label fieldset".split())
+#: Of these, what a sentence may hold.
+_IN_SENTENCE = frozenset(("button", "label"))
 _CLOSES_P = _BLOCK - {"option", "optgroup", "body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "caption"}
 _SIBLINGS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -45,10 +52,14 @@ _SIBLINGS = {
 }
 _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}}
 _BAD = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adbox|adsense|sponsor|sponsored|promo|promotion|promoted|banner|nav|navbar|navigation|menu|menubar|breadcrumbs?|"
-    r"sidebar|side-?bar|aside|rail|footer|foot|masthead|topbar|site-?header|page-?header|cookies?|consent|gdpr|notices?|notification|alert|disclaimer|popup|modal|overlay|newsletter|subscribe|subscription|"
-    r"signup|sign-?in|login|comments?|commentlist|comment-?section|disqus|replies|reply|respond|responses|reactions|discussion|social|share|sharing|sharebar|follow|related|recommended|recommendations|"
-    r"read-?more|more-?stories|trending|widgets?|toolbar|pagination|pager|search|searchbox|toc|skip|hidden|sr-only|visually-hidden|tags|tagcloud|copyright|legal)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adbox|adsense|sponsor|sponsored|promo|promotion|promoted|nav|navbar|navigation|menu|menubar|breadcrumbs?|"
+    r"sidebar|side-?bar|aside|footer|site-?header|page-?header|cookies?|consent|gdpr|notices?|notification|alert|disclaimer|popup|modal|overlay|newsletter|subscribe|"
+    r"signup|sign-?in|login|comments?|commentlist|comment-?section|disqus|replies|reply|respond|responses|reactions|discussion|social|share|sharing|sharebar|"
+    r"toolbar|pagination|pager|searchbox|hidden|sr-only|visually-hidden|copyright)(?:$|[\s_-])",
+    re.I,
+)
+_MAYBE = re.compile(
+    r"(?:^|[\s_-])(?:banner|rail|foot|masthead|topbar|subscription|follow|related|recommended|recommendations|read-?more|more-?stories|trending|widgets?|search|toc|skip|tags|tagcloud|legal)(?:$|[\s_-])",
     re.I,
 )
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
@@ -71,8 +82,16 @@ class _Page:
         self._parse(html)
 
     def _parse(self, html: str) -> None:
-        # An open element: tag, its container, whether its text is dropped, whether in an article.
-        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        # An open element: tag, its container, whether its text is dropped, whether in an article,
+        # the innermost doubtful element around it (-1: none).
+        stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, -1)]
+        # Depths of open elements: by tag, of all blocks, of all containers.
+        depths: dict[str, list[int]] = defaultdict(list)
+        open_blocks: list[int] = []
+        open_boxes: list[int] = []
+        doubtful: list[int] = []  # the doubtful element around each one
+        doubts: list[int] = []  # of each block
+        hashes = [b""]
         text: list[str] = []
         links = at = in_link = 0
 
@@ -82,13 +101,19 @@ class _Page:
                 said = " ".join("".join(text).split())
                 if said:
                     self.blocks.append((stack[-1][1], said, min(links, len(said))))
+                    doubts.append(stack[-1][4])
                 text = []
             links = 0
 
         def pop_to(depth: int) -> None:
-            if any(e[0] in _BLOCK for e in stack[depth:]):
+            if open_blocks and open_blocks[-1] >= depth:
                 end_block()
+            for tag, *_ in stack[depth:]:
+                depths[tag].pop()
             del stack[depth:]
+            for held in (open_blocks, open_boxes):
+                while held and held[-1] >= depth:
+                    held.pop()
 
         def add(part: str) -> None:
             nonlocal links
@@ -111,15 +136,10 @@ class _Page:
                     in_link = 0
                 if tag == "br":
                     add(" ")
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        pop_to(depth)
-                        break
-                    if stack[depth][0] in _CONTAINER and tag not in _BLOCK:
-                        break
-                else:
-                    if tag in _BLOCK:
-                        end_block()
+                if depths[tag] and (tag in _BLOCK or not open_boxes or depths[tag][-1] > open_boxes[-1]):
+                    pop_to(depths[tag][-1])
+                elif tag in _BLOCK:
+                    end_block()
                 continue
             if tag in _VOID:
                 if tag == "hr":
@@ -127,23 +147,13 @@ class _Page:
                 elif tag in ("br", "wbr"):
                     add(" " if tag == "br" else "")
                 continue
-            if tag in _CLOSES_P:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == "p":
-                        pop_to(depth)
-                        break
-                    if stack[depth][0] in _BLOCK:
-                        break
+            if tag in _CLOSES_P and open_blocks and stack[open_blocks[-1]][0] == "p":
+                pop_to(open_blocks[-1])
             if tag in _SIBLINGS:
-                fence, same = _FENCE.get(tag, ()), _SIBLINGS[tag]
-                cut = 0
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] in fence:
-                        break
-                    if stack[depth][0] in same:
-                        cut = depth
+                fence = max((depths[f][-1] for f in _FENCE.get(tag, ()) if depths[f]), default=0)
+                cut = [d[i] for d in map(depths.__getitem__, _SIBLINGS[tag]) if (i := bisect_right(d, fence)) < len(d)]
                 if cut:
-                    pop_to(cut)
+                    pop_to(min(cut))
             if tag in _BLOCK:
                 end_block()
             if tag == "a":
@@ -160,25 +170,56 @@ class _Page:
                         role = value.lower()
                     elif what == "hidden" or (what == "aria-hidden" and value.lower() == "true"):
                         hidden = True
-            _, box, drop, inside = stack[-1]
+            _, box, drop, inside, doubt = stack[-1]
             inside = inside or tag in ("article", "main")
             if not drop and tag not in ("body", "html"):
                 names, full = _DIGITS.sub("", _STATE.sub("", names)), names
-                drop = hidden or tag in _DROP or role in _BAD_ROLE
+                sentence = tag in _IN_SENTENCE and bool(open_blocks) and stack[open_blocks[-1]][0] == "p"
+                drop = hidden or (tag in _DROP and not sentence) or role in _BAD_ROLE
                 drop = drop or (not inside and (tag == "header" or bool(_HEAD.search(names))))
-                drop = drop or (tag not in ("article", "main") and bool(names) and bool(_BAD.search(names)))
+                if not drop and names and tag not in ("article", "main"):
+                    drop = bool(_BAD.search(names))
+                    if not drop and _MAYBE.search(names):
+                        drop = not inside
+                        if inside and tag in _BLOCK:
+                            doubtful.append(doubt)
+                            doubt = len(doubtful) - 1
                 drop = drop or (tag == "article" and bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", names, re.I)))
                 names = full
+            if tag in _BLOCK:
+                open_blocks.append(len(stack))
             if tag in _CONTAINER:
+                open_boxes.append(len(stack))
                 label = tag + "".join(f".{c}" for c in _DIGITS.sub("#", names).lower().split("  ")[0].split())
+                whole = xxhash.xxh3_128(hashes[box] + label.encode("utf-8", "surrogatepass"))
+                hashes.append(whole.digest())
                 self.parent.append(box)
-                self.path.append(f"{self.path[box]}>{label}" if len(self.path[box]) < 2000 else self.path[box])
+                self.path.append(f"{tag}#{whole.hexdigest()}")
                 self.good.append(tag in ("article", "main") or bool(_GOOD.search(names)))
                 box = len(self.parent) - 1
-            stack.append((tag, box, drop, inside))
+            depths[tag].append(len(stack))
+            stack.append((tag, box, drop, inside, doubt))
         if at < len(html):
             add(html[at:])
         end_block()
+        if doubtful:
+            self._judge(doubtful, doubts)
+
+    def _judge(self, doubtful: list[int], doubts: list[int]) -> None:
+        """Drops the blocks of doubtful elements whose text is mostly links."""
+        size, linked = [0] * len(doubtful), [0] * len(doubtful)
+        for d, (_, said, n) in zip(doubts, self.blocks):
+            if d >= 0:
+                size[d] += len(said)
+                linked[d] += n
+        for d in range(len(doubtful) - 1, -1, -1):  # elements come before what they hold
+            if doubtful[d] >= 0:
+                size[doubtful[d]] += size[d]
+                linked[doubtful[d]] += linked[d]
+        gone = [2 * n > s for n, s in zip(linked, size)]
+        for d, around in enumerate(doubtful):
+            gone[d] = gone[d] or (around >= 0 and gone[around])
+        self.blocks = [b for d, b in zip(doubts, self.blocks) if d < 0 or not gone[d]]
 
     def scores(self) -> list[float]:
         """What each container's text weighs; that of containers in it counts less by depth."""
@@ -224,7 +265,7 @@ def host(url: F.Column) -> F.Column:
 
 def winning_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, path, votes): the path that won most of the host's pages, then most text, then the
-    lesser path. Votes are combined before the shuffle, so a hot host is no hot task."""
+    lesser path. Votes and winners are combined before each shuffle, so a hot host is no hot task."""
     own = narrowed(pages, url=url, html=html).select(host(F.col("url")).alias("host"), "html")
 
     def run(batches):
@@ -239,20 +280,25 @@ def winning_paths(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
 
     votes = small_batches(own).mapInArrow(run, "host string, path string, score long")
     votes = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
-    order = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path")
-    return votes.withColumn("r", F.row_number().over(order)).where("r = 1").select("host", "path", "votes")
+    best = F.min(F.struct((-F.col("votes")).alias("votes"), (-F.col("score")).alias("score"), "path")).alias("b")
+    return votes.groupBy("host").agg(best).select("host", F.col("b.path").alias("path"), (-F.col("b.votes")).alias("votes"))
 
 
-def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", broadcast_hosts: int = 100_000) -> DataFrame:
     """(page_id, url, text, n_chars, path) for each row of pages; the text is empty if there is
     none, path is null where the page's own best container was taken for want of a host's vote.
 
     Null and empty pages have no text; rows that repeat an id are pages of their own; a null url's
-    host is ''. Other columns play no part."""
+    host is ''. Other columns play no part. The winning paths are broadcast if they are counted to
+    be at most `broadcast_hosts`; else pages are shuffled by host, those of hot hosts salted."""
     own = narrowed(pages, page_id=id, url=url, html=html)
     paths = stored(winning_paths(own), "paths").select(F.col("host").alias("h"), "path")
-    # One narrow row per host; broadcast if they are found to be few, else joined by a shuffle.
-    rows = own.join(maybe_broadcast(paths, 100_000), host(F.col("url")) == F.col("h"), "left")
+    rows = own.withColumn("h", host(F.col("url")))
+    if small_enough(paths, broadcast_hosts):
+        rows = rows.join(F.broadcast(paths), "h", "left")
+    else:
+        counts = stored(rows.groupBy("h").agg(F.count("*").alias("n")), "hosts")
+        rows = salted(rows, counts.select("h").join(paths, "h", "left"), "h", ["page_id", "url"], counts)
 
     @F.arrow_udf("string")
     def run(pages: pa.Array, paths: pa.Array) -> pa.Array:

@@ -1,9 +1,10 @@
 """Main text of pages: blocks, references, what is left out, and the hosts' votes."""
 
 import re
+import time
 from html import unescape
 
-from tessera.llm import html_text
+from tessera.llm import _common, html_text
 
 
 def brute(html):
@@ -37,7 +38,7 @@ def test_what_is_left_out():
     assert html_text.extract(PAGE, None) == "A & B\nOne two three <x> © boldtext\nSecond link\nx\ny"
 
 
-def test_host_vote_decides(spark):
+def test_host_vote_decides(spark, monkeypatch):
     def page(box, n):
         return f"<body><div class='{box}'><p>{'real text ' * n}</p></div><div class='box'><p>{'filler ' * 6}</p></div></body>"
 
@@ -46,6 +47,9 @@ def test_host_vote_decides(spark):
     got = {(r["page_id"], r["url"]): r["text"] for r in html_text.main_text(df).collect()}
     assert got[(9, "https://host.example:80/b")] == "real text"
     assert got[(11, "http://h/")] == "" and got[(None, "x")] == "just words & more"
+    monkeypatch.setattr(_common, "HOT_ROWS", 2)
+    for most in (0, 100_000):  # paths shuffled and salted, and broadcast
+        assert sorted((tuple(r) for r in html_text.main_text(df, broadcast_hosts=most).collect()), key=str) == sorted((tuple(r) for r in html_text.main_text(df).collect()), key=str)
     assert html_text.main_text(df).count() == len(rows) and html_text.main_text(df.limit(0)).count() == 0
 
 
@@ -68,3 +72,35 @@ def test_words_in_values_are_no_attributes():
         assert html_text.extract(f"<body><div {a}><p>Gone</p></div><p>Kept</p></body>", None) == "Kept", a
     for a in ("x=" * 50_000, "x " * 50_000, "x" + " " * 100_000, "= " * 50_000, 'a="' * 50_001):
         html_text.extract(f"<div {a}>text", None)
+
+
+def test_a_megabyte_takes_seconds():
+    n = 100_000
+    begun = time.time()
+    for html in ("<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<b>" * n + "<div></div>" * n, "<div>" * n + "<li></li>" * n, "<p>" + "<b>" * n + "<p>" * n, "<td>" * n, "<div><li>" * n, "<ul><li>" * n, "<main>" + "<div class=toc>" * n + "x"):
+        html_text.extract(html, None)
+    assert time.time() - begun < 60
+
+
+def test_deep_paths_stay_apart():
+    name = "c" * 20
+    deep = f"<div class={name}>" * 90
+    html = f"<body>{deep}<p>short junk</p><div class=a><p>{'the real text ' * 9}</p></div><div class=b><p>short junk again</p></div>"
+    page = html_text._Page(html)
+    assert len(set(page.path)) == len(page.path)
+    path = next(p for p, i in zip(page.path, range(len(page.path))) if i == len(page.path) - 2)
+    assert html_text.extract(html, path) == ("the real text " * 9).strip()
+
+
+def test_doubtful_names_inside_an_article():
+    said = [("section", "legal"), ("div", "toc"), ("div", "tags"), ("p", "related"), ("div", "rail"), ("p", "foot")]
+    for tag, name in said:
+        html = f"<body><article><p>First part.</p><{tag} class='{name}'>Plain words of the author, with <a href=x>a link</a> in it.</{tag}><p>Last part.</p></article></body>"
+        assert html_text.extract(html, None) == "First part.\nPlain words of the author, with a link in it.\nLast part.", name
+        html = f"<body><article><p>First part.</p><{tag} class='{name}'>See <a href=x>another page of ours</a> <a href=y>and one more</a></{tag}><p>Last part.</p></article></body>"
+        assert html_text.extract(html, None) == "First part.\nLast part.", name
+        html = f"<body><article><p>First part.</p></article><{tag} class='{name}'>Plain words of no author.</{tag}></body>"
+        assert html_text.extract(html, None) == "First part.", name
+    for name in ("alert", "discussion", "comments", "advert", "cookie-notice"):
+        assert html_text.extract(f"<article><p>One.</p><div class={name}><p>Two.</p></div></article>", None) == "One."
+    assert html_text.extract("<article><p>Press <button>OK</button> or <label>the box</label>.</p><button>Share</button><form><label>Name</label></form></article>", None) == "Press OK or the box."
