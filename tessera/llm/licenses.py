@@ -4,8 +4,10 @@ A text's words, after A-Z are lower-cased, are runs of digits, a-z and everythin
 pass splits the text and intersects its words with the gate words of the rules. Only the rules
 whose gates all open run, on the words joined by blanks; each match becomes an interval of words.
 Of two intervals one of which contains the other the longer stays, of equal ones that of higher
-priority (then the lesser label), so "creative commons attribution" silences "creative commons".
-The base phrases are counted apart and always stay."""
+priority (then the lesser label), so "creative commons attribution" silences "creative commons". Of
+what is left, from left to right, the one of higher priority stands where two cross, the earlier at
+equal priority. Detections are sorted and swept once. The base phrases are counted apart and always
+stay."""
 
 from __future__ import annotations
 
@@ -19,6 +21,8 @@ _GATES = sorted({w for _, _, gates, _ in RULES for g in gates for w in g} | {wor
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The Kelvin sign, the only code point outside ASCII that lower() maps to one ASCII letter.
 _KELVIN = "K"
+#: Items of a sweep whose results are gathered before they join the others.
+_CHUNK = 128
 DETECTIONS = "array<struct<start:int,stop:int,label:string,priority:int>>"
 
 
@@ -45,28 +49,67 @@ def _spaces(s: F.Column) -> F.Column:
     return F.char_length(s) - F.char_length(F.replace(s, F.lit(" "), F.lit("")))
 
 
+def _held(value: F.Column, use) -> F.Column:
+    """use(value), with value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sweep(items: F.Column, zero: F.Column, step, rows: str) -> F.Column:
+    """Struct (state, all) after step(state, item) -> (state, array of results) over all items in
+    turn. Each result joins an array of its chunk, chunks are flattened at the end: appending to
+    one array would copy it for every item."""
+
+    def swept(held):
+        none = F.array().cast(rows)
+        chunks = F.when(F.size(held) > 0, F.sequence(F.lit(0), F.floor((F.size(held) - 1) / _CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+        def one(s, x):
+            state, more = step(s["state"], x)
+            return F.struct(state.alias("state"), F.concat(s["all"], more).alias("all"))
+
+        def chunk(s, i):
+            part = F.aggregate(F.slice(held, i * _CHUNK + 1, F.lit(_CHUNK)), F.struct(s["state"].alias("state"), none.alias("all")), one)
+            return _held(part, lambda p: F.struct(p["state"].alias("state"), F.concat(s["all"], F.array(p["all"])).alias("all")))
+
+        start = F.struct(zero.alias("state"), F.array().cast(f"array<{rows}>").alias("all"))
+        return F.aggregate(chunks, start, chunk, lambda s: F.struct(s["state"].alias("state"), F.flatten(s["all"]).alias("all")))
+
+    return _held(items, swept)
+
+
 def _places(said: F.Column, rule: F.Column) -> F.Column:
     """Intervals of words (from, to) that the rule's regex matches in the blank-joined words. Each
     match starts where the last one ended (\\G), so a text is passed once."""
     regex = F.concat(F.lit(r"(?s)\G(.*?)(?<![^ ])("), rule["regex"], F.lit(")(?![^ ])"))
     pairs = F.arrays_zip(F.regexp_extract_all(said, regex, F.lit(1)).alias("b"), F.regexp_extract_all(said, regex, F.lit(2)).alias("h"))
-    none = F.array().cast(DETECTIONS)
 
-    def step(s, p):
-        start = s["at"] + _spaces(p["b"])
+    def step(at, p):
+        start = at + _spaces(p["b"])
         stop = start + _spaces(p["h"])
         one = F.struct(start.alias("start"), (stop + 1).alias("stop"), rule["label"].alias("label"), rule["priority"].alias("priority"))
-        return F.struct(stop.alias("at"), F.concat(s["all"], F.array(one)).alias("all"))
+        return stop, F.array(one)
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("all")), step, lambda s: s["all"])
+    return _sweep(pairs, F.lit(0), step, DETECTIONS)["all"]
+
+
+def _standing(found: F.Column) -> F.Column:
+    """The detections that stand, by start."""
+    keyed = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("back"), (-x["priority"]).alias("low"), x["label"].alias("label"))))
+    ordered = F.transform(keyed, lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("stop"), x["label"].alias("label"), (-x["low"]).alias("priority")))
+    one = DETECTIONS[len("array<") : -1]
+    none = F.array().cast(DETECTIONS)
 
+    def step(state, x):
+        # Whoever contains x, or equals and outranks it, came before it.
+        held = state["reach"] >= x["stop"]
+        last = state["last"]
+        apart = last.isNull() | (last["stop"] <= x["start"])
+        takes = ~held & (apart | (x["priority"] > last["priority"]))
+        new = F.struct(F.greatest(state["reach"], x["stop"]).alias("reach"), F.when(takes, x).otherwise(last).alias("last"))
+        return new, F.when(takes & apart & last.isNotNull(), F.array(last)).otherwise(none)
 
-def _wins(y: F.Column, x: F.Column) -> F.Column:
-    """Whether y, whose interval contains x's, silences x."""
-    longer = (y["stop"] - y["start"]) > (x["stop"] - x["start"])
-    equal = (y["stop"] == x["stop"]) & (y["start"] == x["start"])
-    first = (y["priority"] > x["priority"]) | ((y["priority"] == x["priority"]) & (y["label"] < x["label"]))
-    return (y["start"] <= x["start"]) & (y["stop"] >= x["stop"]) & (longer | (equal & first))
+    zero = F.struct(F.lit(-1).alias("reach"), F.lit(None).cast(one).alias("last"))
+    return _held(_sweep(ordered, zero, step, DETECTIONS), lambda s: F.when(s["state"]["last"].isNull(), none).otherwise(F.concat(s["all"], F.array(s["state"]["last"]))))
 
 
 def _bound(df: DataFrame, **columns: F.Column) -> DataFrame:
@@ -90,9 +133,8 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     none = F.array().cast(DETECTIONS)
     found = F.when(F.col("__said").isNotNull(), F.flatten(F.transform(active, lambda r: _places(F.col("__said"), r)))).otherwise(none)
     words = _bound(words, __found=found)
-    stand = F.filter("__found", lambda x: ~F.exists("__found", lambda y: _wins(y, x)))
     base = F.struct(*[_starts(F.col("__words"), phrase).alias(label) for label, phrase in BASE])
-    return words.select(*keep, F.size("__words").cast("long").alias("n_words"), base.alias("base"), F.array_sort(F.array_distinct(stand)).alias("detections"))
+    return words.select(*keep, F.size("__words").cast("long").alias("n_words"), base.alias("base"), _standing(F.col("__found")).alias("detections"))
 
 
 def report(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """The licence scan against a plain Python version of its rules."""
 
 import re
+import time
 
 from tessera.llm import licenses
 from tessera.llm.license_rules import RULES
@@ -35,7 +36,13 @@ def brute(text):
                     return True
         return False
 
-    stand = [x for x in found if not silenced(x)]
+    stand = []
+    for x in sorted((x for x in found if not silenced(x)), key=lambda x: x[0]):
+        if stand and stand[-1][1] > x[0]:
+            if x[3] > stand[-1][3]:
+                stand[-1] = x
+        else:
+            stand.append(x)
     best = max([x[3] for x in stand] + [50 if places else 0])
     return {
         "n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
@@ -49,6 +56,7 @@ TEXTS = [
     "Licensed under the Apache License, Version 2.0. Copyright (c) 2019 2020 x", "Creative Commons Attribution 4.0 International License",
     "éall rights reserved", "ALL RIGHTS RESERVEDé all\trights\nreserved", "Kc by İ", "cc " * 3000 + "by", "by cc by cc by",
     "Permission is hereby granted, free of charge, to any person obtaining a copy", "tous droits réservés", "SPDX-License-Identifier: MIT",
+    "Licensed under the MIT License version 2 GPL v3 or later all rights reserved copyright 2020 licence. " * 40, "gnu general public license version 3 or later version public license public domain",
 ]
 
 
@@ -119,3 +127,22 @@ def test_matches_without_the_first_gate_word(spark):
     texts = {1: "A copyrighted work", 2: "See the licence for details", 3: "SSPL1 applies", 4: "see licence", 5: "sspl 1", 6: "copyright x", 7: "For private use only", 8: "for academic use only"}
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == {1: ("copyright", 0.2), 2: ("see-license", 0.25), 3: ("sspl-1.0", 0.82), 4: ("see-license", 0.25), 5: ("sspl-1.0", 0.82), 6: ("copyright", 0.2), 7: ("personal-use", 0.55), 8: ("research-only", 0.56)}
+
+
+def test_long_texts_of_licence_lines(spark):
+    line = "Licensed under the MIT License. Copyright (c) 2019 x. All rights reserved. GNU General Public License v3 or later.\n"
+    df = spark.createDataFrame([(1, line * 9_000), (2, line)], "doc_id long, text string").coalesce(1)
+    begun = time.time()
+    got = {r["doc_id"]: r for r in licenses.report(df).collect()}
+    assert time.time() - begun < 120
+    assert got[1]["n_base"] == 2 * 9_000 and got[1]["labels"] == got[2]["labels"]
+    assert licenses.scan(df).selectExpr("size(detections) as n").orderBy("n").collect()[1][0] >= 9_000
+
+
+def test_crossing_detections(spark, monkeypatch):
+    rows = [(0, 4, "a", 10), (2, 6, "b", 20), (5, 9, "c", 20), (9, 12, "d", 1), (10, 11, "e", 99), (9, 12, "f", 2), (20, 22, "g", 5), (20, 22, "a", 5)]
+    df = spark.createDataFrame([(rows,), ([],), (rows[:1] * 1,)], f"f {licenses.DETECTIONS}")
+    for chunk in (1, 3, 128):
+        monkeypatch.setattr(licenses, "_CHUNK", chunk)
+        got = [[d["label"] for d in r[0]] for r in df.select(licenses._standing(df.f)).collect()]
+        assert got == [["b", "f", "a"], [], ["a"]]
