@@ -84,21 +84,64 @@ def blocks(texts: list, most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
 HOT_ROWS, MOST_HOT = 20_000, 1_000
 
 
+def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
+    """(keys, salts) of the hot ones of counts (keys, rows), broadcast: fewer than MOST_HOT by
+    construction."""
+    counts = stored(counts, "counts")
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    least = max(HOT_ROWS if hot_rows is None else hot_rows, total // MOST_HOT)
+    hot = counts.where(F.col("rows") > least).select(*keys, F.ceil(F.col("rows") / least).cast("int").alias("__salts"))
+    return F.broadcast(stored(hot, "hot"))
+
+
+def salts(df: DataFrame, hot: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """df with the column salt: a hot key's rows are dealt by the hash of `by` to as many parts as
+    their number asks for; without `by`, they are repeated for each part."""
+    n = F.coalesce("__salts", F.lit(1))
+    salt = F.pmod(F.xxhash64(*by), n).cast("int") if by else F.explode(F.sequence(F.lit(0), n - 1))
+    return df.join(hot, keys, "left").withColumn("salt", salt).drop("__salts")
+
+
 def salted(left: DataFrame, right: DataFrame, key: str, by: list[str], counts: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
-    """left joined with right on key (inner), a hot key's rows of left dealt by the hash of `by` to
-    as many parts as their number asks for, and its few rows of right repeated for each part.
+    """left joined with right, which has few rows of each key, on key (inner), hot keys salted.
 
-    counts: (key, n) of left, if known; left must read stored tables, as it is also counted. Fewer
-    than MOST_HOT keys can be hot, so what is broadcast is bounded by construction."""
-    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(HOT_ROWS if hot_rows is None else hot_rows, total // MOST_HOT)
-    hot = counts.where(F.col("n") > least).select(key, F.ceil(F.col("n") / least).cast("int").alias("__salts"))
-    hot = F.broadcast(stored(hot, "hot"))
-    salts = F.coalesce("__salts", F.lit(1))
-    left = left.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*by), salts).cast("int")).drop("__salts")
-    right = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
-    return left.join(right, [key, "__salt"]).drop("__salt")
+    counts: (key, rows) of left, if known; left must read stored tables, as it is also counted."""
+    counts = left.groupBy(key).agg(F.count("*").alias("rows")) if counts is None else counts
+    hot = hot_keys(counts, [key], hot_rows)
+    return salts(left, hot, [key], by).join(salts(right, hot, [key]), [key, "salt"]).drop("salt")
+
+
+#: Items of a sweep whose results are gathered before they join the others.
+CHUNK = 128
+
+
+def held(value: F.Column, use) -> F.Column:
+    """use(value), with value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def sweep(items: F.Column, zero: F.Column, step, rows: str) -> F.Column:
+    """Struct (state, all) after step(state, item) -> (state, array of results, of type `rows`) over
+    all items in turn. Results join an array of their chunk, chunks are flattened at the end:
+    appending to one array would copy it for every item."""
+
+    def swept(all_items):
+        none = F.array().cast(rows)
+        last = F.floor((F.size(all_items) - 1) / CHUNK).cast("int")
+        chunks = F.when(F.size(all_items) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+        def one(s, x):
+            state, more = step(s["state"], x)
+            return F.struct(state.alias("state"), F.concat(s["all"], more).alias("all"))
+
+        def chunk(s, i):
+            part = F.aggregate(F.slice(all_items, i * CHUNK + 1, F.lit(CHUNK)), F.struct(s["state"].alias("state"), none.alias("all")), one)
+            return held(part, lambda p: F.struct(p["state"].alias("state"), F.concat(s["all"], F.array(p["all"])).alias("all")))
+
+        start = F.struct(zero.alias("state"), F.array().cast(f"array<{rows}>").alias("all"))
+        return F.aggregate(chunks, start, chunk, lambda s: F.struct(s["state"].alias("state"), F.flatten(s["all"]).alias("all")))
+
+    return held(items, swept)
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:

@@ -297,7 +297,7 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
     if small_enough(paths, broadcast_hosts):
         rows = rows.join(F.broadcast(paths), "h", "left")
     else:
-        counts = stored(rows.groupBy("h").agg(F.count("*").alias("n")), "hosts")
+        counts = stored(rows.groupBy("h").agg(F.count("*").alias("rows")), "hosts")
         rows = salted(rows, counts.select("h").join(paths, "h", "left"), "h", ["page_id", "url"], counts)
 
     @F.arrow_udf("string")

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import held, sweep
 from .license_rules import RULES
 
 BASE = (("cc-by", ("cc", "by")), ("gpl", ("general", "public", "license")), ("reserved", ("all", "rights", "reserved")))
@@ -21,8 +22,6 @@ _GATES = sorted({w for _, _, gates, _ in RULES for g in gates for w in g} | {wor
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The Kelvin sign, the only code point outside ASCII that lower() maps to one ASCII letter.
 _KELVIN = "K"
-#: Items of a sweep whose results are gathered before they join the others.
-_CHUNK = 128
 DETECTIONS = "array<struct<start:int,stop:int,label:string,priority:int>>"
 
 
@@ -49,34 +48,6 @@ def _spaces(s: F.Column) -> F.Column:
     return F.char_length(s) - F.char_length(F.replace(s, F.lit(" "), F.lit("")))
 
 
-def _held(value: F.Column, use) -> F.Column:
-    """use(value), with value evaluated once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _sweep(items: F.Column, zero: F.Column, step, rows: str) -> F.Column:
-    """Struct (state, all) after step(state, item) -> (state, array of results) over all items in
-    turn. Each result joins an array of its chunk, chunks are flattened at the end: appending to
-    one array would copy it for every item."""
-
-    def swept(held):
-        none = F.array().cast(rows)
-        chunks = F.when(F.size(held) > 0, F.sequence(F.lit(0), F.floor((F.size(held) - 1) / _CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
-
-        def one(s, x):
-            state, more = step(s["state"], x)
-            return F.struct(state.alias("state"), F.concat(s["all"], more).alias("all"))
-
-        def chunk(s, i):
-            part = F.aggregate(F.slice(held, i * _CHUNK + 1, F.lit(_CHUNK)), F.struct(s["state"].alias("state"), none.alias("all")), one)
-            return _held(part, lambda p: F.struct(p["state"].alias("state"), F.concat(s["all"], F.array(p["all"])).alias("all")))
-
-        start = F.struct(zero.alias("state"), F.array().cast(f"array<{rows}>").alias("all"))
-        return F.aggregate(chunks, start, chunk, lambda s: F.struct(s["state"].alias("state"), F.flatten(s["all"]).alias("all")))
-
-    return _held(items, swept)
-
-
 def _places(said: F.Column, rule: F.Column) -> F.Column:
     """Intervals of words (from, to) that the rule's regex matches in the blank-joined words. Each
     match starts where the last one ended (\\G), so a text is passed once."""
@@ -89,7 +60,7 @@ def _places(said: F.Column, rule: F.Column) -> F.Column:
         one = F.struct(start.alias("start"), (stop + 1).alias("stop"), rule["label"].alias("label"), rule["priority"].alias("priority"))
         return stop, F.array(one)
 
-    return _sweep(pairs, F.lit(0), step, DETECTIONS)["all"]
+    return sweep(pairs, F.lit(0), step, DETECTIONS)["all"]
 
 
 def _standing(found: F.Column) -> F.Column:
@@ -109,7 +80,7 @@ def _standing(found: F.Column) -> F.Column:
         return new, F.when(takes & apart & last.isNotNull(), F.array(last)).otherwise(none)
 
     zero = F.struct(F.lit(-1).alias("reach"), F.lit(None).cast(one).alias("last"))
-    return _held(_sweep(ordered, zero, step, DETECTIONS), lambda s: F.when(s["state"]["last"].isNull(), none).otherwise(F.concat(s["all"], F.array(s["state"]["last"]))))
+    return held(sweep(ordered, zero, step, DETECTIONS), lambda s: F.when(s["state"]["last"].isNull(), none).otherwise(F.concat(s["all"], F.array(s["state"]["last"]))))
 
 
 def _bound(df: DataFrame, **columns: F.Column) -> DataFrame:

@@ -121,7 +121,7 @@ def matches(a: str, b: str) -> F.Column:
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b), a stored table, whose full shingle sets have 100 * intersection >= percent * union."""
     both = salted(pairs, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a", ["b"], hot_rows=HOT_PAIRS)
-    counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    counts = pairs.groupBy("b").agg(F.count("*").alias("rows"))
     both = salted(both, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b", ["a"], counts, HOT_PAIRS)
 
     def run(batches):
@@ -155,9 +155,9 @@ def _groups(df: DataFrame, id: str, text: str, shingle: int, percent: int) -> tu
     reps = stored(reps, "representatives")
 
     member = reps.select("rep", F.explode("bands").alias("key"))
-    bucket = member.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1")
+    bucket = member.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("rows")).where("rows > 1")
     bucket = stored(bucket, "keys")
-    shared_rows = stored(salted(member, bucket.select("key", "low"), "key", ["rep"], bucket.select("key", "n")), "buckets")
+    shared_rows = stored(salted(member, bucket.select("key", "low"), "key", ["rep"], bucket.select("key", "rows")), "buckets")
     bits = reps.select("rep", "bits")
     least = least_matches(percent)
     # Every text that may have to be compared goes through one shuffle, at any size of the table.
@@ -175,9 +175,9 @@ def _groups(df: DataFrame, id: str, text: str, shingle: int, percent: int) -> tu
     rows = shared_rows.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     rows = rows.select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     rows = stored(rows, "members")
-    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    mixed = stored(mixed.where("x <> y").select("key", "n", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "mixed")
-    rows = salted(rows, mixed.select("key", "chunks"), "key", ["rep"], mixed.select("key", "n")).join(bits, "rep")
+    mixed = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    mixed = stored(mixed.where("x <> y").select("key", "rows", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks")), "mixed")
+    rows = salted(rows, mixed.select("key", "chunks"), "key", ["rep"], mixed.select("key", "rows")).join(bits, "rep")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     left = rows.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("bits").alias("pa"), F.col("chunk").alias("i"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("j"))
     right = rows.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("bits").alias("pb"), F.explode(F.sequence(F.lit(0), "chunk")).alias("i"), F.col("chunk").alias("j"))

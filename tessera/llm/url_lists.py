@@ -5,9 +5,12 @@ every capture is judged by the entries that were active when it was fetched. Key
 cover their subdomains, and host/path prefixes, which cover longer paths; the longest active key
 decides, and the category 'allow' lets the capture pass. DataFrame functions only.
 
-Hot keys are salted: a key's captures are dealt to as many parts as its count asks for and its few
-intervals are repeated for each, so one host may hold a third of all captures. Only the hot keys,
-at most MOST_HOT by construction, are broadcast."""
+A key is met as 128 bits of a hash chained over its labels or path segments, so the keys of a URL
+take time and space in proportion to its length. Captures on listed keys are merged in time with
+the intervals of each category of the key and take the last that began: each interval is read once
+however many there are. Hot keys are salted before the first shuffle: a key's captures are dealt to
+as many parts as its count asks for, and its intervals are repeated for each. What is broadcast is
+the hot keys, at most MOST_HOT by construction, and a list counted to be small."""
 
 from __future__ import annotations
 
@@ -15,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import narrowed, stored
+from ._common import hot_keys, narrowed, salts, small_enough, stored, sweep
 
-#: A key is hot with more captures than this, or than a MOST_HOT-th of all keys met.
-HOT_ROWS, MOST_HOT = 20_000, 1_000
+#: Most listed keys that are broadcast.
+MOST_KEYS = 100_000
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -49,43 +52,74 @@ def host(url: F.Column) -> F.Column:
     return F.lower(F.regexp_replace(found, r"\.+$", ""))
 
 
+KEYS = "array<struct<k1:long,k2:long>>"
+
+
+def _chained(parts: F.Column, kind: str, first: F.Column | None = None) -> F.Column:
+    """KEYS of the hashes of all beginnings of parts (after `first`, if given), which do not end
+    with an empty part."""
+    seed = F.lit(kind) if first is None else F.concat(F.lit(kind), first)
+    zero = F.struct(F.xxhash64(seed).alias("k1"), F.xxhash64(F.lit(1), seed).alias("k2"))
+
+    def step(s, part):
+        new = F.struct(F.xxhash64(s["k1"], part).alias("k1"), F.xxhash64(part, F.lit(1), s["k2"]).alias("k2"))
+        return new, F.when(part != "", F.array(new)).otherwise(F.array().cast(KEYS))
+
+    return sweep(parts, zero, step, KEYS)["all"]
+
+
+def _domains(h: F.Column) -> F.Column:
+    return _chained(F.reverse(F.split(h, r"\.")), "d")
+
+
 def keys(url: F.Column) -> F.Column:
-    """All keys that cover a URL: its host and parent domains, and host/path prefixes at '/'."""
+    """KEYS that cover a URL: of its host and parent domains, and of host/path prefixes at '/'."""
     h = host(url)
-    labels = F.split(h, r"\.")
-    n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
     path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
-    parts = F.split(path, "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(h, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
-    return F.when(h == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, F.filter(prefixes, lambda p: ~p.endswith("/")))))
+    return F.when(h == "", F.array().cast(KEYS)).otherwise(F.concat(_domains(h), _chained(F.split(path, "/"), "p", h)))
+
+
+def listed(key: F.Column) -> F.Column:
+    """The struct (k1, k2) of a list entry's key, as keys() has it; null for one that covers nothing
+    (an empty key, or one that ends with '/')."""
+    parts = F.split(key, "/")
+    path = _chained(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "p", F.get(parts, F.lit(0)))
+    return F.when(~key.endswith("/") & (key != ""), F.element_at(F.when(F.contains(key, F.lit("/")), path).otherwise(_domains(key)), -1))
 
 
-def judged(captures: DataFrame, entries: DataFrame, id: str = "page_id", url: str = "url", at: str = "fetched_at") -> DataFrame:
+def judged(captures: DataFrame, entries: DataFrame, id: str = "page_id", url: str = "url", at: str = "fetched_at", most_keys: int = MOST_KEYS) -> DataFrame:
     """(id, url, fetched_at, n_active, category, blocked) for each row of captures.
 
     n_active counts the active (key, category) pairs that cover the URL; category is that of the
     longest key among them (then the lesser category), null without any; blocked says that there is
     one and it is not 'allow'. Captures without a URL, host or time match nothing; repeated rows
-    stay and are judged alike. Other columns play no part."""
+    stay and are judged alike. An empty key, or one that ends with "/", covers nothing. URLs and lists of entries may be of any length. Other columns play no
+    part."""
     own = captures.select(F.col(f"`{id}`").alias("id"), F.col(f"`{url}`").alias("url"), F.col(f"`{at}`").alias("fetched_at"))
-    spans = stored(intervals(entries), "intervals")
-    distinct = own.where("url is not null and fetched_at is not null").distinct()
-    met = distinct.select("id", "url", "fetched_at", F.explode(keys(F.col("url"))).alias("key"))
-    met = stored(met.join(spans.select("key").distinct(), "key", "left_semi"), "met")
-
-    counts = met.groupBy("key").agg(F.count("*").alias("n"))
-    least = max(HOT_ROWS, met.count() // MOST_HOT)
-    # Fewer than MOST_HOT keys can have more than that share of the rows.
-    hot = counts.where(F.col("n") > least).select("key", F.ceil(F.col("n") / least).cast("int").alias("salts"))
-    hot = F.broadcast(stored(hot, "hot"))
-    salts = F.coalesce("salts", F.lit(1))
-    left = met.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("id", "url", "fetched_at"), salts).cast("int")).drop("salts")
-    right = spans.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    active = left.join(right, ["key", "salt"]).where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
-    best = F.min(F.struct((-F.char_length("key")).alias("n"), "category", "key"))
-    found = active.groupBy("id", "url", "fetched_at").agg(F.count("*").alias("n_active"), best.alias("best"))
-    out = own.alias("o").join(found.alias("f"), F.expr("o.id <=> f.id and o.url = f.url and o.fetched_at = f.fetched_at"), "left")
+    spans = intervals(entries).withColumn("k", listed(F.col("key"))).where("k is not null")
+    spans = stored(spans.select("k.*", F.char_length("key").alias("n"), "category", "valid_from", "valid_to"), "intervals")
+    kinds = stored(spans.select("k1", "k2", "n", "category").distinct(), "kinds")
+    # From here on a capture's URL is its digest, as it stands on a row for each of its keys.
+    said = F.sha2(F.col("url").cast("binary"), 256).alias("u")
+    met = own.where("url is not null and fetched_at is not null").select("id", said, "fetched_at", "url").distinct()
+    met = met.select("id", "u", "fetched_at", F.explode(keys(F.col("url"))).alias("k")).select("id", "u", "fetched_at", "k.*")
+    if small_enough(kinds, most_keys):
+        met = met.join(F.broadcast(kinds), ["k1", "k2"])
+    else:
+        hot = hot_keys(met.groupBy("k1", "k2").agg(F.count("*").alias("rows")), ["k1", "k2"])
+        met = salts(met, hot, ["k1", "k2"], ["id", "u"]).join(salts(kinds, hot, ["k1", "k2"]), ["k1", "k2", "salt"]).drop("salt")
+    met = stored(met, "met")
+    series = ["k1", "k2", "category"]
+    hot = hot_keys(met.groupBy(*series).agg(F.count("*").alias("rows")), series)
+    left = salts(met, hot, series, ["id", "u"]).select(*series, "salt", "n", "id", "u", "fetched_at", F.col("fetched_at").alias("time"), F.lit(1).alias("capture"))
+    right = salts(spans, hot, series).select(*series, "salt", F.col("valid_from").alias("time"), F.struct("valid_to").alias("span"), F.lit(0).alias("capture"))
+    before = Window.partitionBy(*series, "salt").orderBy("time", "capture").rowsBetween(Window.unboundedPreceding, 0)
+    active = left.unionByName(right, allowMissingColumns=True).withColumn("last", F.last("span", ignorenulls=True).over(before))
+    active = active.where("capture = 1 and last is not null and (last.valid_to is null or fetched_at < last.valid_to)")
+    best = F.min(F.struct((-F.col("n")).alias("n"), "category")).alias("best")
+    found = active.groupBy("id", "u", "fetched_at").agg(F.count("*").alias("n_active"), best)
+    own = own.withColumn("u", said)
+    out = own.alias("o").join(found.alias("f"), F.expr("o.id <=> f.id and o.u = f.u and o.fetched_at = f.fetched_at"), "left")
     category = F.col("f.best.category")
     return out.select(
         F.col("o.id").alias(id),

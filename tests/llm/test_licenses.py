@@ -3,7 +3,7 @@
 import re
 import time
 
-from tessera.llm import licenses
+from tessera.llm import _common, licenses
 from tessera.llm.license_rules import RULES
 
 GATES = {g[0][0] for _, _, g, _ in RULES}
@@ -143,6 +143,6 @@ def test_crossing_detections(spark, monkeypatch):
     rows = [(0, 4, "a", 10), (2, 6, "b", 20), (5, 9, "c", 20), (9, 12, "d", 1), (10, 11, "e", 99), (9, 12, "f", 2), (20, 22, "g", 5), (20, 22, "a", 5)]
     df = spark.createDataFrame([(rows,), ([],), (rows[:1] * 1,)], f"f {licenses.DETECTIONS}")
     for chunk in (1, 3, 128):
-        monkeypatch.setattr(licenses, "_CHUNK", chunk)
+        monkeypatch.setattr(_common, "CHUNK", chunk)
         got = [[d["label"] for d in r[0]] for r in df.select(licenses._standing(df.f)).collect()]
         assert got == [["b", "f", "a"], [], ["a"]]
