@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._common import blocks, narrowed, small_batches, trim
+from ._common import blocks, narrowed, small_batches, stored, trim
 
 NGRAMS = (3, 4, 5, 6)
 ROW_BITS = 20
@@ -181,12 +182,14 @@ def held_out(id: str) -> F.Column:
     return F.crc32(F.col(f"`{id}`").cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "toxic", label_id: str = "doc_id", most_per_class: int = 2000) -> Subwords:
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "toxic", label_id: str = "doc_id", most_per_class: int = 2000, most_chars: int = 20_000_000) -> Subwords:
     """Fits on labelled rows that are not held out: at most `most_per_class` of each mark, the
-    first by a hash of the id (the bound of the training sample; all rows if there are fewer).
+    first by a hash of the id, and of these, in that order, whole texts of at most `most_chars` code
+    points together (the bounds of the training sample; all rows if there are fewer).
 
-    Repeated labels of an id count once, with their largest mark; null ids, marks other than 0
-    and 1 and labels without a document are passed over; null texts are empty ones."""
+    Repeated labels of an id count once, with their largest mark; a repeated id's text is its least
+    one; null ids, marks other than 0 and 1 and labels without a document are passed over; null
+    texts are empty ones."""
     own = narrowed(labels, doc_id=label_id, mark=mark).where("doc_id is not null and mark in (0, 1)")
     own = own.groupBy("doc_id").agg(F.max("mark").alias("mark")).where(~held_out("doc_id"))
     counts = {r["mark"]: r["count"] for r in own.groupBy("mark").count().collect()}
@@ -195,8 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         part = own.where(F.col("mark") == m).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_per_class)
         picked = part if picked is None else picked.union(part)
     # At most 2 * most_per_class narrow rows: a proven bound for the broadcast.
-    rows = narrowed(docs, doc_id=id, text=text).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
+    rows = narrowed(docs, doc_id=id, text=text).join(F.broadcast(picked), "doc_id")
+    rows = stored(rows.groupBy("doc_id", "mark").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "training")
+    total = F.sum(F.char_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # At most 2 * most_per_class rows are ordered in one task, by id and length only.
+    fits = rows.select("doc_id", total.alias("total")).where(F.col("total") <= most_chars).select("doc_id")
+    rows = sorted(rows.join(F.broadcast(fits), "doc_id").collect(), key=lambda r: r["doc_id"])
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     return fit_subwords([r["text"] for r in rows], [r["mark"] for r in rows], prior)
 
