@@ -30,8 +30,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat at their source's rate, in a global shuffle."""
-    mixed = mixing.replicated(docs, MIX_WEIGHTS, default_weight=MIX_DEFAULT, seed=MIX_SEED)
-    return mixed.drop("copy", "shuffle_key")
+    return mixing.replicated(docs, MIX_WEIGHTS, default_weight=MIX_DEFAULT, seed=MIX_SEED, keys=False)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,9 +57,10 @@ def _distribution(rate: F.Column) -> tuple[F.Column, F.Column]:
     return parts, F.aggregate(F.sequence(F.lit(1), last), zero, step, lambda s: s["all"])
 
 
-def replicated(df: DataFrame, weights: dict[str, float], id: str = "doc_id", source: str = "source", default_weight: float = 1.0, total: float | None = None, seed: int = 0) -> DataFrame:
+def replicated(df: DataFrame, weights: dict[str, float], id: str = "doc_id", source: str = "source", default_weight: float = 1.0, total: float | None = None, seed: int = 0, keys: bool = True) -> DataFrame:
     """df's rows, each repeated its Poisson number of times and shuffled globally, with the columns
-    copy (from 0) and shuffle_key (32 hexadecimal digits) in place of any of these names.
+    copy (from 0) and shuffle_key (32 hexadecimal digits) in place of any of these names; without
+    keys, with df's own columns only.
 
     Rows that repeat an id get the same number of copies each; a null id counts as the text
     'null'. Rows of a source with rate 0 go. Ties of shuffle_key stand in any order. An empty
@@ -67,7 +68,7 @@ def replicated(df: DataFrame, weights: dict[str, float], id: str = "doc_id", sou
     r = rates(df, weights, source, default_weight, total)
     parts, cumulative = _distribution(F.col("rate"))
     r = r.where("rate > 0").select(F.col("source").alias("__source"), parts.alias("__parts"), cumulative.alias("__cumulative"))
-    names = [c for c in df.columns if c not in ("copy", "shuffle_key")]
+    names = [c for c in df.columns if not keys or c not in ("copy", "shuffle_key")]
     own = df.select(*[f"`{c}`" for c in names])
     # One row per source; broadcast only if they are found to be few, else joined by a shuffle.
     own = own.join(maybe_broadcast(r, 10_000), F.col(f"`{source}`").eqNullSafe(F.col("__source")))
@@ -78,6 +79,7 @@ def replicated(df: DataFrame, weights: dict[str, float], id: str = "doc_id", sou
     )
     copies = F.aggregate(drawn, F.lit(0), lambda a, b: a + b)
     own = own.withColumn("__copies", copies).where("__copies > 0")
-    own = own.select(*[f"`{c}`" for c in names], F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("copy"))
-    own = own.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), key, F.col("copy").cast("string")).cast("binary")))
-    return own.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    own = own.select(*[f"`{c}`" for c in names], F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("__copy"))
+    own = own.withColumn("__key", F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), key, F.col("__copy").cast("string")).cast("binary")))
+    own = own.repartition("__key").sortWithinPartitions("__key")
+    return own.withColumnsRenamed({"__copy": "copy", "__key": "shuffle_key"}) if keys else own.drop("__copy", "__key")
