@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..llm.components import connected_components
 from . import geometry as G
 from . import graph as GR
 from . import vectors as V
-from .relational import cut
+from .components import connected_components
+from .metric import Index
+from .relational import cut, numbered_rows
 
 
 def _one(spark, kind: str, *row) -> DataFrame:
@@ -51,9 +52,9 @@ def free_energy(df: DataFrame, key: str, index: str, field: str, span: float, ta
     """(tau, f): -tau ln Z averaged over `points` strided records; Z = 1 + sum over the records that
     share `index` of exp(-|difference| / span / tau). The points, a fixed number, meet their
     neighbours by an equi-join."""
-    n = df.agg(F.count("*").alias("__n"))
-    p = df.withColumn("__r", F.row_number().over(Window.orderBy(key)) - 1).join(F.broadcast(n), F.lit(True))
-    p = p.where(f"__r % greatest(__n div {points}, 1) = 0").select(F.col(key).alias("__k"), F.col(index).alias("__i"), F.col(field).alias("__v")).limit(points)
+    n = df.count()
+    p = numbered_rows(df, [key], "__r").where(F.col("__r") % max(1, n // points) == 0)
+    p = p.select(F.col(key).alias("__k"), F.col(index).alias("__i"), F.col(field).alias("__v")).limit(points)
     d = F.abs(F.col("__v") - F.col(field)) / F.lit(span)
     z = F.broadcast(p).join(df, F.col("__i") == F.col(index)).groupBy("__k").agg(*[F.sum(F.when(F.col("__k") != F.col(key), F.exp(-d / t)).otherwise(0.0)).alias(f"z{i}") for i, t in enumerate(taus)])
     row = z.agg(*[F.avg(-t * F.log(1 + F.col(f"z{i}"))).alias(f"f{i}") for i, t in enumerate(taus)])
@@ -111,12 +112,12 @@ def perceive(past: np.ndarray, now: np.ndarray) -> float:
 # -- Completion and provenance --------------------------------------------------------------------
 
 def propagate(df: DataFrame, key: str, field: str, by: str, changes: DataFrame) -> DataFrame:
-    """(key, before, after): predictions of missing values that change if `changes` (key, field)
-    held."""
+    """(key, before, after): predictions of missing values that change, appear (before null) or go
+    (after null) if `changes` (key, field) held."""
     held = df.join(changes.select(key, F.col(field).alias("__new")), key, "left").withColumn(field, F.coalesce("__new", field)).drop("__new")
     a = GR.completed(df, key, field, by).select("key", F.col("predicted").alias("before"))
     b = GR.completed(held, key, field, by).select("key", F.col("predicted").alias("after"))
-    return a.join(b, "key").where(F.abs(F.col("before") - F.col("after")) > 1e-12)
+    return a.join(b, "key", "full").where(F.col("before").isNull() | F.col("after").isNull() | (F.abs(F.col("before") - F.col("after")) > 1e-12))
 
 
 def completed_across(df: DataFrame, key: str, field: str, on: str, other: DataFrame, other_on: str, other_field: str, quality: float = 0.8) -> DataFrame:
@@ -169,31 +170,9 @@ def resolved(df: DataFrame, incoming: DataFrame, key: str, field: str, tolerance
 
 # -- Density, neighbours, clusters ------------------------------------------------------------------
 
-def neighbours_of(queries: DataFrame, rows: DataFrame, key: str, field: str, k: int, blocks: int = 16, most_queries: int = 1_000_000) -> DataFrame:
-    """(query, key, distance): the k nearest rows of each query. Queries, a stated set, are dealt to
-    blocks and rows to blocks; a pair of blocks is one group of a task, its candidates scored as a
-    matrix in slices, so memory is bounded on both sides."""
-    q = queries.select(F.col(key).alias("key"), F.col(field).cast("array<double>").alias("v"), F.lit(True).alias("asked"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
-    r = rows.select(F.col(key).alias("key"), F.col(field).cast("array<double>").alias("v"), F.lit(False).alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("rb"))
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.asked], pdf[~pdf.asked]
-        out = []
-        if len(a) and len(b):
-            bv, bk = np.vstack(b.v.to_numpy()), b.key.to_numpy()
-            for i in range(0, len(a), 256):
-                part = a.iloc[i : i + 256]
-                av = np.vstack(part.v.to_numpy())
-                d = np.sqrt(np.maximum(0, (av**2).sum(1)[:, None] + (bv**2).sum(1)[None, :] - 2 * av @ bv.T))
-                for x, key_ in enumerate(part.key):
-                    near = np.lexsort((bk, d[x]))[: k + 1]
-                    out += [(key_, bk[n], float(d[x, n])) for n in near if bk[n] != key_][:k]
-        return pd.DataFrame(out, columns=["query", "key", "distance"])
-
-    kind = dict(rows.dtypes)[key]
-    got = q.unionByName(r).groupBy("qb", "rb").applyInPandas(score, f"query {kind}, key {kind}, distance double")
-    w = Window.partitionBy("query").orderBy("distance", "key")
-    return got.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+def neighbours_of(queries: DataFrame, rows: DataFrame, key: str, field: str, k: int) -> DataFrame:
+    """(query, key, distance): the k nearest other rows of each query, exactly."""
+    return Index(rows, key, field).nearest(queries, key, field, k)
 
 
 def infer(known: DataFrame, asked: DataFrame, key: str, field: str, target: str, k: int = 20) -> DataFrame:
@@ -222,48 +201,9 @@ def local_density(rows: DataFrame, key: str, field: str, k: int = 10) -> DataFra
     return both.join(lrd, "query").select(F.col("query").alias("key"), (F.col("theirs") / F.col("lrd")).alias("lof"))
 
 
-def _near(rows: DataFrame, key: str, field: str, eps: float | None, k: int = 0, blocks: int = 16) -> DataFrame:
-    """(query, key, distance): all other rows within eps of each row, or without eps its k nearest of
-    each block. Blocks meet as in neighbours_of; the matrix only picks candidates, whose distances
-    are then summed from differences, so that they are equal both ways and compare exactly."""
-    v = rows.select(F.col(key).alias("key"), F.col(field).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    q = v.select("key", "v", F.lit(True).alias("asked"), F.col("own").alias("qb"), other.alias("rb"))
-    r = v.select("key", "v", F.lit(False).alias("asked"), other.alias("qb"), F.col("own").alias("rb"))
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.asked], pdf[~pdf.asked]
-        out = []
-        if len(a) and len(b):
-            bv, bk = np.vstack(b.v.to_numpy()), b.key.to_numpy()
-            bn = (bv**2).sum(1)
-            for i in range(0, len(a), 256):
-                part = a.iloc[i : i + 256]
-                av, ak = np.vstack(part.v.to_numpy()), part.key.to_numpy()
-                sums = (av**2).sum(1)[:, None] + bn[None, :]
-                d2 = sums - 2 * av @ bv.T
-                d2[ak[:, None] == bk[None, :]] = np.inf
-                if eps is None:
-                    y = np.argpartition(d2, k - 1, axis=1)[:, :k].ravel() if k < len(bk) else np.tile(np.arange(len(bk)), len(ak))
-                    x = np.repeat(np.arange(len(ak)), min(k, len(bk)))
-                    x, y = x[np.isfinite(d2[x, y])], y[np.isfinite(d2[x, y])]
-                else:
-                    x, y = np.nonzero(d2 <= eps * eps + 1e-9 * (sums + eps * eps))
-                for s in range(0, len(x), 65_536):
-                    xs, ys = x[s : s + 65_536], y[s : s + 65_536]
-                    d = np.sqrt(((av[xs] - bv[ys]) ** 2).sum(1))
-                    ok = np.ones(len(d), bool) if eps is None else d <= eps
-                    out.append(pd.DataFrame({"query": ak[xs[ok]], "key": bk[ys[ok]], "distance": d[ok]}))
-        return pd.concat(out) if out else pd.DataFrame([], columns=["query", "key", "distance"])
-
-    kind = dict(rows.dtypes)[key]
-    return q.unionByName(r).groupBy("qb", "rb").applyInPandas(score, f"query {kind}, key {kind}, distance double")
-
-
 def usual_eps(rows: DataFrame, key: str, field: str, min_points: int = 4) -> float:
     """The distance to the min_points-th nearest other row that three quarters of the rows keep."""
-    w = Window.partitionBy("query").orderBy("distance")
-    n = _near(rows, key, field, None, min_points).withColumn("r", F.row_number().over(w)).where(F.col("r") <= min_points)
+    n = neighbours_of(rows, rows, key, field, min_points)
     d = cut(n.groupBy("query").agg(F.max("distance").alias("d")))
     found = d.orderBy("d").offset(max(0, int(0.75 * (d.count() - 1)))).limit(1).collect()
     return max(found[0]["d"] if found else 0.0, float(np.finfo(float).eps))
@@ -274,7 +214,7 @@ def dbscan(rows: DataFrame, key: str, field: str, eps: float | None = None, min_
     for noise. A border row takes the least cluster it touches. Without eps, usual_eps. The pairs
     are written out: their number is what eps makes it, quadratic in a cluster denser than eps."""
     eps = usual_eps(rows, key, field, min_points) if eps is None else eps
-    n = cut(_near(rows, key, field, eps).select("query", "key"))
+    n = cut(Index(rows, key, field).within(rows, key, field, eps).select("query", "key"))
     core = cut(n.groupBy("query").agg(F.count("*").alias("c")).where(F.col("c") + 1 >= min_points).select("query"))
     e = n.where(F.col("query") < F.col("key")).join(core, "query").join(core.select(F.col("query").alias("key")), "key")
     linked = connected_components(e.select(F.col("query").alias("a"), F.col("key").alias("b")))

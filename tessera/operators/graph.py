@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .relational import cut
+from .relational import cut, dropped
 
 #: Most distinct tuples whose matrix the driver will solve.
 MOST_TUPLES = 2_000
@@ -87,12 +87,15 @@ def spectral_gap(df: DataFrame, fields) -> DataFrame:
     rows = t.limit(MOST_TUPLES + 1).collect()
     if len(rows) > MOST_TUPLES:
         return spark.createDataFrame([(None, "too many distinct tuples")], kind)
+    rows = [r for r in rows if any(r[f] is not None for f in fields)]
     v = [tuple(r[f] for f in fields) for r in rows]
     m = np.array([r["__m"] for r in rows], float)
     a = np.zeros((len(v), len(v)))
     for k in range(len(fields)):
-        x = np.array([hash(r[k]) for r in v])
-        a[(x[:, None] == x[None, :])] = 1
+        # Dense codes; a null is shared with nobody.
+        codes = {}
+        x = np.array([-1 if r[k] is None else codes.setdefault(r[k], len(codes)) for r in v])
+        a[(x[:, None] == x[None, :]) & (x[:, None] >= 0)] = 1
     degree = a @ m - 1
     if not len(v) or degree.max(initial=0) == 0:
         return spark.createDataFrame([(None, "edgeless")], kind)
@@ -104,48 +107,89 @@ def spectral_gap(df: DataFrame, fields) -> DataFrame:
 
 
 def shortest(edges: DataFrame, start) -> DataFrame:
-    """(node, distance): least weight sums from `start` over (src, dst, w), by frontier joins until
-    nothing falls, however many that takes; a cycle of negative weight is refused."""
-    best = edges.sparkSession.createDataFrame([(start, 0.0)], f"node {dict(edges.dtypes)['src']}, distance double")
-    front = best
+    """(node, distance, before): least weight sums from `start` over (src, dst, w), and the node
+    before on such a path (the least; null for the start), by frontier joins until nothing falls,
+    however many that takes; a cycle of negative weight is refused."""
+    kind = dict(edges.dtypes)["src"]
+    best = front = cut(edges.sparkSession.createDataFrame([(start, 0.0, None)], f"node {kind}, distance double, before {kind}"))
     for n in count(1):
-        step = front.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.col("distance") + F.col("w")).alias("d"))
+        step = front.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.struct((F.col("distance") + F.col("w")).alias("d"), F.col("src").alias("b"))).alias("s"))
         seen = best.select(F.col("node").alias("dst"), F.col("distance").alias("old"))
-        front = cut(step.join(seen, "dst", "left").where("old is null or d < old - 1e-12").select(F.col("dst").alias("node"), F.col("d").alias("distance")))
+        front = cut(step.join(seen, "dst", "left").where("old is null or s.d < old - 1e-12").select(F.col("dst").alias("node"), F.col("s.d").alias("distance"), F.col("s.b").alias("before")))
         if front.isEmpty():
             break
-        best = cut(best.join(front.select("node"), "node", "left_anti").unionByName(front))
+        old, best = best, cut(best.join(front.select("node"), "node", "left_anti").unionByName(front))
+        dropped(old)
         # A distance that falls in round n has a path of n edges, whose n + 1 nodes differ.
         if n >= 32 and n & (n - 1) == 0 and best.count() <= n:
             raise ValueError("a cycle of negative weight")
     return best
 
 
+def path(edges: DataFrame, start, end) -> DataFrame:
+    """(step, node, distance) from start to end along a shortest path; no rows if there is none."""
+    tree = cut(shortest(edges, start))
+    back = tree.where(F.col("node") == F.lit(end))
+    rows = []
+    while (r := back.first()) is not None:
+        rows.append((r["node"], r["distance"]))
+        if r["before"] is None:
+            break
+        back = tree.where(F.col("node") == F.lit(r["before"]))
+    rows = [(i, *r) for i, r in enumerate(reversed(rows))]
+    return edges.sparkSession.createDataFrame(rows, f"step int, node {dict(edges.dtypes)['src']}, distance double")
+
+
 def net_flow(edges: DataFrame) -> DataFrame:
     """(a, b, net) for a < b: the flow from a to b less that from b to a."""
     signed = F.when(F.col("src") < F.col("dst"), F.col("w")).otherwise(-F.col("w"))
     return edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum(signed).alias("net"))
 
 
-def circulation(edges: DataFrame, most_nodes: int = 5_000) -> DataFrame:
-    """(nodes, ratio): the share of squared net flow that no potential explains. The nodes'
-    matrix is solved on the driver; more than most_nodes, or 50 times as many net edges, are
-    refused."""
-    net = net_flow(edges)
-    rows = net.limit(most_nodes * 50 + 1).collect()
-    if len(rows) > most_nodes * 50:
-        raise ValueError("too many edges")
-    nodes = sorted({x for r in rows for x in (r["a"], r["b"])})
-    if len(nodes) > most_nodes:
-        raise ValueError("too many nodes")
-    at = {x: i for i, x in enumerate(nodes)}
-    b = np.zeros((len(rows), len(nodes)))
-    w = np.array([r["net"] for r in rows])
-    for i, r in enumerate(rows):
-        b[i, at[r["a"]]], b[i, at[r["b"]]] = -1, 1
-    phi = np.linalg.lstsq(b, w, rcond=None)[0]
-    ratio = float(((w - b @ phi) ** 2).sum() / max((w**2).sum(), 1e-300))
-    return edges.sparkSession.createDataFrame([(len(nodes), ratio)], "nodes long, ratio double")
+def potential(net: DataFrame, rounds: int = 500, tolerance: float = 1e-12) -> DataFrame:
+    """(node, phi): the least-squares potential of a net flow (a, b, net), by conjugate gradients on
+    the graph's Laplacian. Vectors stay in tables with one number a node; a round is one join with
+    the edges and one aggregation, so neither edges nor nodes have to fit anywhere."""
+    e = cut(net.select("a", "b", "net"))
+    ends = e.select(F.col("a").alias("node"), (-F.col("net")).alias("d")).union(e.select(F.col("b"), F.col("net")))
+    state = cut(ends.groupBy("node").agg(F.sum("d").alias("r")).select("node", F.lit(0.0).alias("x"), "r", F.col("r").alias("p")))
+    rr = first = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+    for _ in range(rounds):
+        if rr <= tolerance * first:
+            return state.select("node", F.col("x").alias("phi"))
+        pa, pb = state.select(F.col("node").alias("a"), F.col("p").alias("pa")), state.select(F.col("node").alias("b"), F.col("p").alias("pb"))
+        diff = e.join(pa, "a").join(pb, "b").select("a", "b", (F.col("pb") - F.col("pa")).alias("d"))
+        ap = diff.select(F.col("a").alias("node"), (-F.col("d")).alias("d")).union(diff.select("b", "d")).groupBy("node").agg(F.sum("d").alias("ap"))
+        held = cut(state.join(ap, "node"))
+        pap = held.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        if not pap:
+            return state.select("node", F.col("x").alias("phi"))
+        alpha = rr / pap
+        held2 = held.select("node", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
+        new = held2.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+        old, state = state, cut(held2.withColumn("p", F.col("r") + new / rr * F.col("p")))
+        rr = new
+        dropped(old)
+        dropped(held)
+    raise RuntimeError(f"the potential did not settle in {rounds} rounds")
+
+
+def circulation(edges: DataFrame) -> DataFrame:
+    """(nodes, ratio): the share of squared net flow that no potential explains, over all edges."""
+    net = cut(net_flow(edges))
+    phi = cut(potential(net))
+    both = net.join(phi.select(F.col("node").alias("a"), F.col("phi").alias("pa")), "a").join(phi.select(F.col("node").alias("b"), F.col("phi").alias("pb")), "b")
+    rest = F.col("net") - (F.col("pb") - F.col("pa"))
+    ratio = both.agg((F.sum(rest * rest) / F.greatest(F.sum(F.col("net") * F.col("net")), F.lit(1e-300))).alias("ratio"))
+    return phi.agg(F.count("*").alias("nodes")).join(F.broadcast(ratio), F.lit(True))
+
+
+def cyclic_edges(edges: DataFrame, top: int = 10) -> DataFrame:
+    """(a, b, net, cyclic): the edges whose flow the potential explains least."""
+    net = cut(net_flow(edges))
+    phi = cut(potential(net))
+    both = net.join(phi.select(F.col("node").alias("a"), F.col("phi").alias("pa")), "a").join(phi.select(F.col("node").alias("b"), F.col("phi").alias("pb")), "b")
+    return both.select("a", "b", "net", (F.col("net") - (F.col("pb") - F.col("pa"))).alias("cyclic")).orderBy(F.desc(F.abs("cyclic")), "a", "b").limit(top)
 
 
 def completed(df: DataFrame, key: str, field: str, by: str) -> DataFrame:

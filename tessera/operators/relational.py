@@ -46,11 +46,14 @@ def overlay(base: DataFrame, recent: DataFrame, keys, deleted: DataFrame | None
 
 
 def pullback(left: DataFrame, right: DataFrame, along: str, onto: str | None = None, keep_left: bool = False) -> DataFrame:
-    """Each left row with the right row its foreign key names. The right key must be unique, so
-    there are at most as many rows as on the left. On equal names the left column stands."""
+    """Each left row with the right row its foreign key names, so there are at most as many rows as
+    on the left: of right rows that repeat a key the least stands (rows are compared as structs).
+    On equal names the left column stands. The right side is reduced to one row a key before the
+    join, on the key that the join shuffles by anyway."""
     onto = onto or along
     fields = [c for c in right.columns if c not in left.columns and c != onto]
-    r = right.select(F.col(onto).alias("__onto"), *fields)
+    r = right.where(F.col(onto).isNotNull()).groupBy(F.col(onto).alias("__onto"))
+    r = r.agg(F.min(F.struct(*fields)).alias("__r")).select("__onto", "__r.*") if fields else r.agg(F.lit(1).alias("__one")).drop("__one")
     return left.join(r, F.col(along) == F.col("__onto"), "left" if keep_left else "inner").drop("__onto")
 
 
@@ -64,18 +67,52 @@ def anti(left: DataFrame, right: DataFrame, along: str, onto: str | None = None)
     return left.join(right.select(F.col(onto or along).alias("__onto")), F.col(along) == F.col("__onto"), "left_anti")
 
 
-def iterate(df: DataFrame, key: str, step: str, start, depth: int = 100) -> DataFrame:
-    """(depth, key): the nodes reached from `start` along the step field, by joins of the frontier.
-    A node is listed at its least depth; the walk ends where a step is null, known, or too deep."""
+def iterate(df: DataFrame, key: str, step: str, start, depth: int = 100, accumulate: str | None = None) -> DataFrame:
+    """(depth, key[, total]): the nodes reached from `start` along the step field, by joins of the
+    frontier. A node is listed at its least depth; the walk ends where a step is null, known, or too
+    deep. total: the accumulated field summed along the way there (the least sum of equally short
+    ways), the node's own value included. Two tables are kept, those of earlier rounds deleted."""
+    value = F.col(accumulate).cast("double") if accumulate else F.lit(0.0)
     edges = df.select(F.col(key).alias("__k"), F.col(step).alias("__next")).where("__next is not null")
-    seen = front = df.where(F.col(key) == F.lit(start)).select(F.lit(0).alias("depth"), F.col(key)).distinct()
+    values = df.groupBy(F.col(key).alias("__v")).agg(F.coalesce(F.min(value), F.lit(0.0)).alias("__value"))
+    first = df.where(F.col(key) == F.lit(start)).groupBy(key).agg(F.coalesce(F.min(value), F.lit(0.0)).alias("total"))
+    seen = front = cut(first.select(F.lit(0).alias("depth"), key, "total"))
     for d in range(1, depth + 1):
-        front = front.join(edges, F.col(key) == F.col("__k")).select(F.lit(d).alias("depth"), F.col("__next").alias(key)).distinct()
-        front = cut(front.join(seen.select(key), key, "left_anti").select("depth", key))
+        front = front.join(edges, F.col(key) == F.col("__k")).groupBy(F.col("__next").alias(key)).agg(F.min("total").alias("total"))
+        front = front.join(seen.select(key), key, "left_anti")
+        if accumulate:
+            front = front.join(values, F.col(key) == F.col("__v"), "left").withColumn("total", F.col("total") + F.coalesce("__value", F.lit(0.0)))
+        front = cut(front.select(F.lit(d).alias("depth"), key, "total"))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen
+        old, seen = seen, cut(seen.unionByName(front))
+        dropped(old)
+    return seen if accumulate else seen.drop("total")
+
+
+def as_of(left: DataFrame, right: DataFrame, on, left_time: str, right_time: str, fields) -> DataFrame:
+    """left with the named fields of the last right row of its keys at or before its time (null
+    without one; of right rows at one time the greatest). Both sides are merged in time order: no
+    pairs are made."""
+    on = list(on)
+    values = F.struct(*fields)
+    r = right.where(F.col(right_time).isNotNull()).groupBy(*on, F.col(right_time).alias("__t")).agg(F.max(values).alias("__r"))
+    rows = left.withColumn("__t", F.col(left_time)).withColumn("__own", F.lit(1))
+    both = rows.unionByName(r.withColumn("__own", F.lit(0)), allowMissingColumns=True)
+    before = Window.partitionBy(*on).orderBy(F.col("__t").asc_nulls_first(), "__own").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__r", F.last("__r", ignorenulls=True).over(before)).where("__own = 1")
+    none = [c for c in fields if c in left.columns]
+    return both.select(*left.columns, *[F.when(F.col(left_time).isNotNull(), F.col(f"__r.{f}")).alias(f"{f}_right" if f in none else f) for f in fields])
+
+
+def theta(left: DataFrame, right: DataFrame, condition: Column, equal=()) -> DataFrame:
+    """Pairs of rows that meet a condition; `equal` names columns that must agree, by which both
+    sides are shuffled. Without any, the right side has to be small enough to broadcast."""
+    if equal:
+        return left.join(right, list(equal)).where(condition)
+    if right.limit(INLINE_KEYS + 1).count() > INLINE_KEYS:
+        raise ValueError(f"more than {INLINE_KEYS} rows on the right and no equal columns")
+    return left.join(F.broadcast(right), condition)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -89,6 +126,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table made by cut() that no later plan reads."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def numbered_rows(df: DataFrame, by, name: str = "i") -> DataFrame:
+    """df with its row number from 0 in the order of `by`: rows are range-partitioned and stored
+    once, partitions counted, and each row's number is its partition's offset plus its place there.
+    No task holds more than a partition; the driver sees one count for each."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, *by).withColumn("__part", F.spark_partition_id())
+    rows = cut(rows)
+    counts = {r["__part"]: r["n"] for r in rows.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    offset, at = {}, 0
+    for p in sorted(counts):
+        offset[p], at = at, at + counts[p]
+    start = F.create_map(*[F.lit(x) for p, o in offset.items() for x in (p, o)])[F.col("__part")] if offset else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*by)) - 1
+    return rows.withColumn(name, (place + start).cast("long")).drop("__part")
+
+
 def integrate(df: DataFrame, over=(), where: Column | None = None, having: Column | None = None, **measures: Column) -> DataFrame:
     """Grouped or global aggregation: integrate(df, ["a"], total=F.sum("x"), having=F.col("total") > 1)."""
     if where is not None:

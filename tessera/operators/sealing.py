@@ -8,6 +8,8 @@ import hmac
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import cut, numbered_rows
+
 
 def affine(v, a: float, b: float) -> Column:
     return F.lit(a) * F.col(v) + F.lit(b)
@@ -61,11 +63,7 @@ def merkle_root(df: DataFrame, key: str) -> DataFrame:
     an odd node rises as it is."""
     leaf = F.sha2(F.to_json(F.struct(*sorted(df.columns))).cast("binary"), 256)
     level = df.select(F.col(key).alias("k"), leaf.alias("h"))
-    from .relational import cut
-
-    from pyspark.sql.window import Window
-
-    level = level.select((F.row_number().over(Window.orderBy("k", "h")) - 1).cast("long").alias("i"), "h")
+    level = cut(numbered_rows(level, ["k", "h"]).select("i", "h"))
     n = leaves = level.count()
     while n > 1:
         level = level.groupBy((F.col("i") / 2).cast("long").alias("i")).agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("p"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from . import relational as R
 
 
 def insert(df: DataFrame, rows: DataFrame, defaults: dict | None = None) -> DataFrame:
@@ -69,8 +70,8 @@ def expired(df: DataFrame, now_ms: int, ttl: str = "_ttl") -> DataFrame:
 def numbered(df: DataFrame, rows: DataFrame, key: str, order) -> DataFrame:
     """rows with keys after the greatest of df, in order."""
     top = df.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
-    n = F.row_number().over(Window.orderBy(*order)).cast("long")
-    return rows.join(F.broadcast(top), F.lit(True)).withColumn(key, F.col("__top") + n).drop("__top")
+    rows = R.numbered_rows(rows, order, "__n").join(F.broadcast(top), F.lit(True))
+    return rows.withColumn(key, F.col("__top") + F.col("__n") + 1).drop("__top", "__n")
 
 
 def transplant(source: DataFrame, target: DataFrame, where: Column, names: dict[str, str] | None = None, retract: bool = False) -> tuple[DataFrame, DataFrame]:
