@@ -20,7 +20,7 @@ from . import graph as GR
 from . import vectors as V
 from .components import connected_components
 from .metric import Index
-from .relational import cut, numbered_rows
+from .relational import cut, dropped, numbered_rows
 
 
 def _one(spark, kind: str, *row) -> DataFrame:
@@ -53,14 +53,34 @@ def free_energy(df: DataFrame, key: str, index: str, field: str, span: float, ta
     share `index` of exp(-|difference| / span / tau). The points, a fixed number, meet their
     neighbours by an equi-join."""
     n = df.count()
-    p = numbered_rows(df, [key], "__r").where(F.col("__r") % max(1, n // points) == 0)
-    p = p.select(F.col(key).alias("__k"), F.col(index).alias("__i"), F.col(field).alias("__v")).limit(points)
+    step = max(1, n // points)
+    p = numbered_rows(df, [key], "__r").where((F.col("__r") % step == 0) & (F.col("__r") < step * points))
+    p = p.select(F.col(key).alias("__k"), F.col(index).alias("__i"), F.col(field).alias("__v"))
     d = F.abs(F.col("__v") - F.col(field)) / F.lit(span)
     z = F.broadcast(p).join(df, F.col("__i") == F.col(index)).groupBy("__k").agg(*[F.sum(F.when(F.col("__k") != F.col(key), F.exp(-d / t)).otherwise(0.0)).alias(f"z{i}") for i, t in enumerate(taus)])
     row = z.agg(*[F.avg(-t * F.log(1 + F.col(f"z{i}"))).alias(f"f{i}") for i, t in enumerate(taus)])
     return row.select(F.inline(F.array(*[F.struct(F.lit(float(t)).alias("tau"), F.col(f"f{i}").alias("f")) for i, t in enumerate(taus)])))
 
 
+def thermodynamics(df: DataFrame, key: str, index: str, field: str, span: float, taus=(0.1, 0.5, 1.0), points: int = 50) -> DataFrame:
+    """(tau, f, heat, entropy, k): free energy, heat capacity tau**2 F'' by second differences of
+    step 0.01 tau + 1e-6, entropy of the index and curvature. One pass gives all three F of a tau."""
+    steps = [(t, 0.01 * t + 1e-6) for t in taus]
+    f = free_energy(df, key, index, field, span, [x for t, h in steps for x in (max(t - h, 1e-15), t, t + h)], points)
+    f = f.agg(F.map_from_entries(F.collect_list(F.struct("tau", "f"))).alias("f"))
+    value = lambda t: F.col("f")[F.lit(float(t))]
+    rows = F.array(*[F.struct(F.lit(float(t)).alias("tau"), value(t).alias("f"), (t * t * (value(t + h) - 2 * value(t) + value(max(t - h, 1e-15))) / (h * h)).alias("heat")) for t, h in steps])
+    out = f.select(F.inline(rows))
+    for part in (G.entropy(df, [index]).select("entropy"), G.curvature(df, [field]).select("k")):
+        out = out.join(F.broadcast(part), F.lit(True))
+    return out
+
+
+def holonomy_near(df: DataFrame, f1: str, f2: str, around: str, at: dict[str, float], within: float, ranges: dict[str, float], metric: str = "euclid") -> DataFrame:
+    """(groups, deficit) of the loop of group centroids of the records near a point."""
+    return G.holonomy(V.near(df, at, within, ranges, metric), f1, f2, around)
+
+
 def health(df: DataFrame, key: str, fields, indexed) -> DataFrame:
     """(records, k, confidence, entropy, beta_0, beta_1): one row that sums a table up."""
     out = df.agg(F.count("*").alias("records"))
@@ -78,7 +98,8 @@ def invariant(df: DataFrame, expression: str, key: str, fields, indexed, toleran
 def gauge_test(a: DataFrame, b: DataFrame, f1: str, f2: str, around: str) -> DataFrame:
     """(delta, invariant): whether two tables' loops turn alike, to pi / 10."""
     both = G.holonomy(a, f1, f2, around).select(F.col("deficit").alias("a")).join(F.broadcast(G.holonomy(b, f1, f2, around).select(F.col("deficit").alias("b"))), F.lit(True))
-    return both.select(F.abs(F.col("a") - F.col("b")).alias("delta")).withColumn("invariant", F.col("delta") < math.pi / 10)
+    delta = F.abs(F.col("a") - F.col("b"))
+    return both.select(F.least(delta, 2 * math.pi - delta).alias("delta")).withColumn("invariant", F.col("delta") < math.pi / 10)
 
 
 def rotation(a, b) -> np.ndarray:
@@ -113,11 +134,11 @@ def perceive(past: np.ndarray, now: np.ndarray) -> float:
 
 def propagate(df: DataFrame, key: str, field: str, by: str, changes: DataFrame) -> DataFrame:
     """(key, before, after): predictions of missing values that change, appear (before null) or go
-    (after null) if `changes` (key, field) held."""
+    (after null) if `changes` (key, field) held; a billionth of a value is no change."""
     held = df.join(changes.select(key, F.col(field).alias("__new")), key, "left").withColumn(field, F.coalesce("__new", field)).drop("__new")
     a = GR.completed(df, key, field, by).select("key", F.col("predicted").alias("before"))
     b = GR.completed(held, key, field, by).select("key", F.col("predicted").alias("after"))
-    return a.join(b, "key", "full").where(F.col("before").isNull() | F.col("after").isNull() | (F.abs(F.col("before") - F.col("after")) > 1e-12))
+    return a.join(b, "key", "full").where(F.col("before").isNull() | F.col("after").isNull() | (F.abs(F.col("before") - F.col("after")) > 1e-9 * F.greatest(F.lit(1.0), F.abs("before"))))
 
 
 def completed_across(df: DataFrame, key: str, field: str, on: str, other: DataFrame, other_on: str, other_field: str, quality: float = 0.8) -> DataFrame:
@@ -224,13 +245,37 @@ def dbscan(rows: DataFrame, key: str, field: str, eps: float | None = None, min_
     return all_rows.join(label, F.col("key") == F.col("id"), "left").join(edge, F.col("key") == F.col("query"), "left").select("key", F.coalesce("cluster", "edge").alias("cluster"))
 
 
+def eigenmap(edges: DataFrame, k: int, rounds: int = 12, steps: int = 4, seed: int = 1) -> DataFrame:
+    """(key, u): the k leading vectors of D^-1/2 W D^-1/2 of a symmetric graph (src, dst, w), rows of
+    length 1, by block power iteration: `steps` products with (I + S) / 2 a round, then the block is
+    made orthonormal from its k x k Gram matrix, the only thing that reaches the driver."""
+    degree = cut(edges.groupBy("src").agg(F.sum("w").alias("g")))
+    s = edges.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("g").alias("h")), "dst")
+    s = cut(s.select("src", "dst", (F.col("w") / F.sqrt(F.col("g") * F.col("h"))).alias("w")))
+    state = cut(degree.select(F.col("src").alias("key"), F.array(*[F.sqrt("g"), *[F.xxhash64("src", F.lit(seed + i)).cast("double") / 2.0**63 for i in range(1, k)]]).alias("u")))
+    for _ in range(rounds):
+        new = state
+        for _ in range(steps):
+            to = s.join(new.select(F.col("key").alias("dst"), "u"), "dst").groupBy("src").agg(*[F.sum(F.col("w") * F.get("u", F.lit(i))).alias(f"p{i}") for i in range(k)])
+            new = new.join(to, F.col("key") == F.col("src")).select("key", F.array(*[(F.get("u", F.lit(i)) + F.col(f"p{i}")) / 2 for i in range(k)]).alias("u"))
+        new = cut(new)
+        row = new.agg(*[F.sum(F.get("u", F.lit(i)) * F.get("u", F.lit(j))).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        g = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+        lam, v = np.linalg.eigh(g)
+        m = v / np.sqrt(np.maximum(lam, 1e-30 * max(lam.max(), 1e-300)))
+        old, state = state, cut(new.select("key", F.array(*[sum((F.get("u", F.lit(i)) * float(m[i, j]) for i in range(k)), F.lit(0.0)) for j in range(k)]).alias("u")))
+        dropped(old)
+        dropped(new)
+    size = F.sqrt(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x))
+    return state.select("key", F.transform("u", lambda x: x / F.greatest(size, F.lit(1e-300))).alias("u"))
+
+
 def spectral_clusters(rows: DataFrame, key: str, field: str, k: int = 3, neighbours: int = 10, seed: int = 1) -> DataFrame:
-    """(key, cluster): power iteration clustering of the k-nearest-neighbour graph."""
-    from pyspark.ml.clustering import PowerIterationClustering
+    """(key, cluster): k-means of the Laplacian eigenmap of the symmetric k-nearest graph."""
+    from .inference import graph
 
-    n = neighbours_of(rows, rows, key, field, neighbours)
-    e = n.select(F.least("query", "key").cast("long").alias("src"), F.greatest("query", "key").cast("long").alias("dst"), F.exp(-F.pow("distance", 2)).alias("weight")).dropDuplicates(["src", "dst"])
-    return PowerIterationClustering(k=k, maxIter=10, weightCol="weight").assignClusters(e).select(F.col("id").alias("key"), "cluster")
+    edges = graph(rows.select(F.col(key).alias("key"), F.col(field).cast("array<double>").alias("x")), neighbours)
+    return V.kmeans(eigenmap(edges, k, seed=seed), "key", "u", k, seed)
 
 
 def persistence(df: DataFrame, fields, most: int = 2_000) -> DataFrame:
@@ -264,7 +309,7 @@ def autochart(df: DataFrame, by: str, order: str, field: str, tau: float = 0.1,
                     d = v - mean
                     new = [n + 1, mean + d / (n + 1), m2 + d * (v - mean - d / (n + 1)), min(low, v), max(high, v)]
                     span = new[4] - new[3]
-                    if span == 0 or new[2] / new[0] / span**2 <= max(tau, 0.25 if n < 3 else tau):
+                    if span == 0 or new[2] / new[0] / span**2 <= max(tau, 0.25 if n < 3 else tau) + 1e-9:  # two values have 0.25
                         charts[best] = new
                         continue
             charts.append([1, v, 0.0, v, v])

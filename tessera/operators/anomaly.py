@@ -7,6 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import geometry as G
+from .relational import numbered_rows
+
+
+def quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """The exact quantile of a column, interpolated, by a range-partitioned rank: no task sees more
+    than a partition of the values. None without values."""
+    rows = numbered_rows(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), ["v"])
+    n = rows.count()
+    if not n:
+        return None
+    low = int(q * (n - 1))
+    got = {r["i"]: r["v"] for r in rows.where(F.col("i").isin(low, min(low + 1, n - 1))).collect()}
+    return got[low] + (q * (n - 1) - low) * (got[min(low + 1, n - 1)] - got[low])
+
+
+def group_median(df: DataFrame, by: str, value: str, name: str = "med", size: str = "n") -> DataFrame:
+    """(by, name, size): exact medians of groups by ranks over the whole table, so that a hot group
+    is spread over tasks like any other range of values."""
+    rows = numbered_rows(df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("__v")), [by, "__v"])
+    g = rows.groupBy(by).agg(F.min("i").alias("__low"), F.count("*").alias(size))
+    at = F.array_distinct(F.array(F.expr(f"__low + ({size} - 1) div 2"), F.expr(f"__low + {size} div 2")))
+    return g.select(F.col(by).alias("__by"), size, F.explode(at).alias("i")).join(rows.select("i", "__v"), "i").groupBy(F.col("__by").alias(by), size).agg(F.avg("__v").alias(name)).select(by, name, size)
 
 
 def anomalies(df: DataFrame, fields, n_sigma: float = 2.0, where: Column | None = None) -> DataFrame:
@@ -64,11 +86,9 @@ def violations(df: DataFrame, key: str, checks: dict[str, Column], unique=(), re
 def consistency(df: DataFrame, key: str, index: str, field: str, threshold: float = 3.0) -> DataFrame:
     """(key, severity): rows whose field contradicts the others of their index value: modified z
     0.6745 * |x - median| / MAD over the threshold; with a MAD of 0 any deviation is one."""
-    at = df.where(F.col(field).isNotNull())
-    med = at.groupBy(index).agg(F.median(field).alias("med"), F.count("*").alias("n"))
-    rows = at.join(med, index).withColumn("dev", F.abs(F.col(field) - F.col("med")))
-    mad = rows.groupBy(index).agg(F.median("dev").alias("mad"))
-    rows = rows.join(mad, index).where("n >= 3")
+    at = df.where(F.col(field).isNotNull() & F.col(index).isNotNull())
+    rows = at.join(group_median(at, index, field), index).withColumn("dev", F.abs(F.col(field) - F.col("med")))
+    rows = rows.join(group_median(rows, index, "dev", "mad", "__n").drop("__n"), index).where("n >= 3")
     severity = F.when(F.col("mad") > 0, 0.6745 * F.col("dev") / F.col("mad")).otherwise(F.when(F.col("dev") > 0, F.lit(1e9)).otherwise(0.0))
     return rows.select(F.col(key).alias("key"), severity.alias("severity")).where(F.col("severity") > threshold)
 
@@ -79,13 +99,15 @@ def squash(z: Column) -> Column:
 
 
 def robust_z(df: DataFrame, score: str) -> DataFrame:
-    """df with z of the score: by median and 1.4826 * MAD, else by mean and deviation."""
-    med = df.agg(F.median(score).alias("__med"), F.avg(score).alias("__mu"), F.stddev_pop(score).alias("__sd"))
-    rows = df.join(F.broadcast(med), F.lit(True))
-    mad = rows.agg((1.4826 * F.median(F.abs(F.col(score) - F.col("__med")))).alias("__mad"))
-    rows = rows.join(F.broadcast(mad), F.lit(True))
-    z = F.when(F.col("__mad") > 1e-12, (F.col(score) - F.col("__med")) / F.col("__mad")).when(F.col("__sd") > 1e-12, (F.col(score) - F.col("__mu")) / F.col("__sd")).otherwise(0.0)
-    return rows.withColumn("z", F.greatest(z, F.lit(0.0))).drop("__med", "__mu", "__sd", "__mad")
+    """df with z of the score: by median and 1.4826 * MAD, else by mean and deviation, floored at 0."""
+    med = quantile(df, score, 0.5)
+    if med is None:
+        return df.withColumn("z", F.lit(0.0))
+    mad = 1.4826 * quantile(df.select(F.abs(F.col(score) - med).alias("d")), "d", 0.5)
+    mean, sd = df.agg(F.avg(score), F.stddev_pop(score)).first()
+    centre, width = (med, mad) if mad > 1e-12 else (mean, sd)
+    z = (F.col(score) - float(centre)) / float(width) if width > 1e-12 else F.lit(0.0)
+    return df.withColumn("z", F.greatest(F.coalesce(z, F.lit(0.0)), F.lit(0.0)))
 
 
 def scan_global(df: DataFrame, fields) -> DataFrame:
@@ -144,15 +166,127 @@ def fused(df: DataFrame, lenses, weights=None, budget: float = 0.05) -> DataFram
     norm = [squash(F.col(x)) for x in lenses]
     score = F.greatest(*norm) if weights is None and len(norm) > 1 else sum((w * x for w, x in zip(weights or [1.0], norm)), F.lit(0.0))
     rows = df.withColumn("fused", score)
-    at = rows.agg(F.percentile("fused", 1 - budget).alias("__at"))
-    return rows.join(F.broadcast(at), F.lit(True)).withColumn("flagged", F.col("fused") > F.col("__at")).drop("__at")
-
-
-def episodes(df: DataFrame, order: str, ratio: float = 3.0) -> DataFrame:
-    """(at, gap, ratio): gaps of the sorted field that are `ratio` times the median (its upper
-    middle), or more."""
-    w = Window.orderBy(order)
-    gaps = df.select(F.col(order).alias("at"), (F.lead(order).over(w) - F.col(order)).alias("gap")).where("gap is not null")
-    n = gaps.withColumn("r", F.row_number().over(Window.orderBy("gap"))).join(F.broadcast(gaps.agg(F.count("*").alias("n"), F.max("gap").alias("top"))), F.lit(True))
-    mid = n.where("r = n div 2 + 1").select(F.greatest(F.col("gap").cast("double"), 1e-6 * F.col("top")).alias("mid"))
-    return gaps.join(F.broadcast(mid), F.lit(True)).withColumn("ratio", F.col("gap") / F.col("mid")).where(F.col("ratio") >= ratio).drop("mid")
+    at = quantile(rows, "fused", 1 - budget)
+    return rows.withColumn("flagged", F.col("fused") > F.lit(at) if at is not None else F.lit(False))
+
+
+def cohorts_fit(df: DataFrame, by, least_distinct: int = 4, least_cohort: int = 3) -> bool:
+    """Whether cohorts of these columns may be a context: at least four, at most a fifth of the
+    rows, half of them of three rows or more (by the upper middle)."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("c")).orderBy("n").collect()
+    groups, rows = sum(r["c"] for r in sizes), sum(r["c"] * r["n"] for r in sizes)
+    if groups < least_distinct or groups > rows / 5:
+        return False
+    seen = 0
+    for r in sizes:
+        seen += r["c"]
+        if seen > groups // 2:
+            return r["n"] >= least_cohort
+    return False
+
+
+def binned(df: DataFrame, field: str, bins: int = 12) -> DataFrame:
+    """df with __bin, the field's bin of equal width."""
+    low, high = df.agg(F.min(field).cast("double"), F.max(field).cast("double")).first()
+    if low is None or high <= low:
+        return df.withColumn("__bin", F.lit(0))
+    at = F.floor((F.col(field).cast("double") - low) / (high - low) * bins).cast("int")
+    return df.withColumn("__bin", F.least(at, F.lit(bins - 1)))
+
+
+def scan_interaction(df: DataFrame, category: str, axis: str, fields, bins: int | None = 12) -> DataFrame:
+    """df with interaction, the context score within cohorts of the category and a second axis: a
+    numeric field in equal bins, or another category (bins None). The axis itself is not scored."""
+    rows = binned(df, axis, bins) if bins else df.withColumn("__bin", F.col(axis))
+    scored = [f for f in fields if f != axis]
+    rows = rows.withColumn("__cohort", F.struct(category, "__bin"))
+    held = "context" in df.columns
+    rows = rows.withColumnRenamed("context", "__context") if held else rows
+    out = scan_context(rows, "__cohort", scored).withColumnRenamed("context", "interaction").drop("__cohort", "__bin")
+    return out.withColumnRenamed("__context", "context") if held else out
+
+
+def scan_relational(df: DataFrame, fk: str, attribute: str, amount: str, other: DataFrame, onto: str, other_attribute: str) -> DataFrame:
+    """df with relational: 0.4 + 0.6 times the rank share of the amount where the row's attribute
+    differs from that of the row its key names, else 0."""
+    o = other.groupBy(F.col(onto).alias("__onto")).agg(F.min(other_attribute).alias("__theirs"))
+    rows = numbered_rows(df, [F.col(amount).asc_nulls_first()], "__i").join(o, F.col(fk) == F.col("__onto"), "left")
+    top = max(1, df.count() - 1)
+    differs = F.col("__theirs").isNotNull() & ~F.col(attribute).eqNullSafe(F.col("__theirs"))
+    return rows.withColumn("relational", F.when(differs, 0.4 + 0.6 * F.col("__i") / top).otherwise(0.0)).drop("__i", "__onto", "__theirs")
+
+
+def foreign_keys(df: DataFrame, other: DataFrame, onto: str, most: int = 64) -> DataFrame:
+    """(field, share): fields of df of the key's type whose values the other table's keys cover,
+    by share; those that cover at least half of the distinct values."""
+    kind, out = dict(other.dtypes)[onto], None
+    same = {"int": "bigint", "smallint": "bigint", "tinyint": "bigint"}
+    for f, k in df.dtypes[:most]:
+        if same.get(k, k) != same.get(kind, kind):
+            continue
+        values = df.select(F.col(f).alias("v")).where("v is not null").distinct()
+        met = values.join(other.select(F.col(onto).alias("v"), F.lit(1).alias("hit")).distinct(), "v", "left")
+        one = met.agg(F.lit(f).alias("field"), (F.count("hit") / F.greatest(F.count("*"), F.lit(1))).alias("share"))
+        out = one if out is None else out.unionByName(one)
+    return out.where("share >= 0.5") if out is not None else df.sparkSession.createDataFrame([], "field string, share double")
+
+
+def scan_completion(df: DataFrame, key: str, field: str, k: int = 10) -> DataFrame:
+    """(key, completion): how far each vector lies off the local tangent of its k neighbours, along
+    the direction in which they vary least."""
+    from .metric import Index
+
+    import numpy as np
+    import pandas as pd
+
+    n = Index(df, key, field).nearest(df, key, field, k)
+    v = df.select(F.col(key).alias("key"), F.col(field).cast("array<double>").alias("v"))
+    n = n.join(v, "key").groupBy("query").agg(F.collect_list("v").alias("near")).join(v.withColumnRenamed("key", "query"), "query")
+
+    def off(batches):
+        for pdf in batches:
+            out = []
+            for q, near, x in zip(pdf["query"], pdf.near, pdf.v):
+                near = np.vstack(near)
+                c = near - near.mean(0)
+                least = np.linalg.svd(c, full_matrices=True)[2][-1]
+                out.append((q, float(abs((np.asarray(x) - near.mean(0)) @ least))))
+            yield pd.DataFrame(out, columns=["key", "completion"])
+
+    return n.mapInPandas(off, f"key {dict(df.dtypes)[key]}, completion double")
+
+
+def fitted_weights(df: DataFrame, key: str, lenses, label: str, folds: int = 5) -> DataFrame:
+    """(lens, weight, auc): weights of squashed lens scores learned from a 0/1 label by logistic
+    regression on all rows; auc is the mean over `folds` of rows held out by a hash of the key."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    from .relational import cut
+
+    rows = df.select(*[squash(F.coalesce(F.col(x).cast("double"), F.lit(0.0))).alias(x) for x in lenses], F.col(label).cast("double").alias("label"), F.pmod(F.xxhash64(key), F.lit(folds)).alias("fold"))
+    rows = cut(rows)
+    v = VectorAssembler(inputCols=list(lenses), outputCol="features").transform(rows)
+    fit = LogisticRegression(maxIter=100, regParam=0.01)
+    area = BinaryClassificationEvaluator()
+    found = [area.evaluate(fit.fit(v.where(F.col("fold") != f)).transform(v.where(F.col("fold") == f))) for f in range(folds)]
+    model = fit.fit(v)
+    return df.sparkSession.createDataFrame([(n, float(w), sum(found) / folds) for n, w in zip(lenses, model.coefficients)], "lens string, weight double, auc double")
+
+
+def episodes(df: DataFrame, order: str, ratio: float = 3.0, by: str | None = None) -> DataFrame:
+    """([by,] at, gap, ratio): gaps of the sorted field of each series that are `ratio` times the
+    series' median (its upper middle), or more. Without `by` all rows are one series, whose ranks
+    are taken over ranges of values, not in one task."""
+    one = "__one" if by is None else by
+    rows = df.withColumn("__one", F.lit(0)) if by is None else df
+    rows = numbered_rows(rows.where(F.col(order).isNotNull()).select(one, F.col(order).alias("at")), [one, "at"])
+    after = rows.select((F.col("i") - 1).alias("i"), F.col(one).alias("__by"), F.col("at").alias("after"))
+    gaps = rows.join(after, "i").where(F.col(one) == F.col("__by")).select(one, "at", (F.col("after") - F.col("at")).alias("gap"))
+    ranks = numbered_rows(gaps.select(one, "gap"), [one, "gap"])
+    g = ranks.groupBy(one).agg(F.min("i").alias("low"), F.count("*").alias("n"), F.max("gap").alias("top"))
+    mid = ranks.select("i", "gap").join(g.select(F.col(one).alias("__by"), (F.col("low") + F.expr("n div 2")).alias("i"), "top"), "i")
+    mid = mid.select(F.col("__by").alias(one), F.greatest(F.col("gap").cast("double"), 1e-6 * F.col("top")).alias("mid"))
+    out = gaps.join(mid, one).withColumn("ratio", F.col("gap") / F.col("mid")).where(F.col("ratio") >= ratio).drop("mid")
+    return out.drop("__one")

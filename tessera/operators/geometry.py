@@ -224,3 +224,36 @@ def affine(df: DataFrame, maps: dict[str, tuple[float, float]]) -> DataFrame:
 def depth(k: Column, gap: Column, iv: float = 0.01, iii: float = 0.5, ii_k: float = 0.1, ii_gap: float = 0.3) -> Column:
     """I to IV by the cascade of gap and curvature."""
     return F.when(gap < iv, "IV").when(k > iii, "III").when((k > ii_k) | (gap < ii_gap), "II").otherwise("I")
+
+
+def sameness(df: DataFrame, fields, reference: dict[str, float]) -> DataFrame:
+    """df with same, (1 + cosine) / 2 of the centred, range-scaled fields to those of a reference
+    point, and dist, sqrt(1 - same): same + dist**2 = 1. A record at the centre is half the same."""
+    m = df.agg(*[x for f in fields for x in (F.avg(f).alias(f"__m_{f}"), _range(f).alias(f"__r_{f}"))])
+    rows = df.join(F.broadcast(m), F.lit(True))
+    own = {f: (F.col(f).cast("double") - F.col(f"__m_{f}")) / F.col(f"__r_{f}") for f in fields}
+    ref = {f: (F.lit(float(reference[f])) - F.col(f"__m_{f}")) / F.col(f"__r_{f}") for f in fields}
+    dot = sum((own[f] * ref[f] for f in fields), F.lit(0.0))
+    size = F.sqrt(sum((F.pow(own[f], 2) for f in fields), F.lit(0.0)) * sum((F.pow(ref[f], 2) for f in fields), F.lit(0.0)))
+    same = F.when(size > 0, F.least(F.greatest((1 + dot / size) / 2, F.lit(0.0)), F.lit(1.0))).otherwise(0.5)
+    return rows.withColumn("same", same).withColumn("dist", F.sqrt(1 - F.col("same"))).drop(*m.columns)
+
+
+def ranks(df: DataFrame, score: str, name: str = "rank") -> DataFrame:
+    """df with the rank of a score, the greatest first, ties alike, by ranks over ranges of values
+    rather than in one task."""
+    from .relational import numbered_rows
+
+    rows = numbered_rows(df, [F.desc_nulls_last(score)], "__i")
+    first = rows.groupBy(F.col(score).alias("__s")).agg(F.min("__i").alias("__first"))
+    return rows.join(first, F.col(score).eqNullSafe(F.col("__s"))).withColumn(name, F.col("__first") + 1).drop("__i", "__s", "__first")
+
+
+def kappa_rank(df: DataFrame, fields) -> DataFrame:
+    """df with kappa and kappa_rank, 1 for the most curved record."""
+    return ranks(record_kappa(df, fields), "kappa", "kappa_rank")
+
+
+def sameness_rank(df: DataFrame, fields, reference: dict[str, float]) -> DataFrame:
+    """df with same, dist and sameness_rank, 1 for the record most like the reference."""
+    return ranks(sameness(df, fields, reference), "same", "sameness_rank")

@@ -195,10 +195,89 @@ def cyclic_edges(edges: DataFrame, top: int = 10) -> DataFrame:
 def completed(df: DataFrame, key: str, field: str, by: str) -> DataFrame:
     """(key, predicted, confidence): missing values from the neighbours that share `by`, at equal
     weights, outliers (modified z over 3) left out; confidence n / (n + 1); two neighbours needed."""
-    known = df.where(F.col(field).isNotNull())
-    med = known.groupBy(by).agg(F.median(field).alias("med"))
-    dev = known.join(med, by).withColumn("dev", F.abs(F.col(field) - F.col("med")))
-    mad = dev.groupBy(by).agg(F.median("dev").alias("mad"))
+    from .anomaly import group_median
+
+    known = df.where(F.col(field).isNotNull() & F.col(by).isNotNull())
+    dev = known.join(group_median(known, by, field).drop("n"), by).withColumn("dev", F.abs(F.col(field) - F.col("med")))
+    mad = group_median(dev, by, "dev", "mad").drop("n")
     good = dev.join(mad, by).where("mad = 0 and dev = 0 or mad > 0 and 0.6745 * dev / mad <= 3")
     mean = good.groupBy(by).agg(F.avg(field).alias("predicted"), F.count("*").alias("n")).where("n >= 2")
     return df.where(F.col(field).isNull()).join(mean, by).select(F.col(key).alias("key"), "predicted", (F.col("n") / (F.col("n") + 1)).alias("confidence"))
+
+
+def spectrum(df: DataFrame, fields) -> DataFrame:
+    """(i, value, multiplicity): the whole spectrum of the normalised Laplacian of the shared-value
+    graph, from the distinct tuples: their quotient's values, and 1 + 1/degree for the alike
+    records of a tuple, once less than they are. Beyond MOST_TUPLES tuples it is refused."""
+    rows = [r for r in df.groupBy(*fields).agg(F.count("*").alias("__m")).limit(MOST_TUPLES + 1).collect() if any(r[f] is not None for f in fields)]
+    if len(rows) > MOST_TUPLES:
+        raise ValueError("too many distinct tuples")
+    m = np.array([r["__m"] for r in rows], float)
+    a = np.zeros((len(rows), len(rows)))
+    for f in fields:
+        codes: dict = {}
+        x = np.array([-1 if r[f] is None else codes.setdefault(r[f], len(codes)) for r in rows])
+        a[(x[:, None] == x[None, :]) & (x[:, None] >= 0)] = 1
+    degree = a @ m - 1
+    keep = degree > 0
+    a, m, degree = a[keep][:, keep], m[keep], degree[keep]
+    s = np.sqrt(m / degree)
+    values = [(float(v), 1) for v in 1 - np.linalg.eigvalsh(a * s[:, None] * s[None, :] - np.diag(1 / degree))] if len(m) else []
+    values += [(1 + 1 / float(d), int(n) - 1) for d, n in zip(degree, m) if n > 1]
+    values = sorted((round(v, 12) + 0.0, n) for v, n in values)
+    return df.sparkSession.createDataFrame([(i, v, n) for i, (v, n) in enumerate(values)], "i int, value double, multiplicity int")
+
+
+def mixing(df: DataFrame, fields) -> DataFrame:
+    """(gap, mixing, cheeger_low, cheeger_high): 1 / gap and the bounds gap / 2 and sqrt(2 gap) of
+    the bottleneck (Cheeger's inequality); null where there is no gap."""
+    g = spectral_gap(df, fields).select("gap")
+    return g.select("gap", (1 / F.col("gap")).alias("mixing"), (F.col("gap") / 2).alias("cheeger_low"), F.sqrt(2 * F.col("gap")).alias("cheeger_high"))
+
+
+def conductance(df: DataFrame, fields, inside) -> DataFrame:
+    """(cut, volume, conductance) of the records that meet the condition `inside`: edges to the
+    others over the lesser sum of degrees, from group sizes by inclusion and exclusion."""
+    t = df.withColumn("__in", inside)
+    base = t.groupBy(*fields).agg(F.sum(F.when(F.col("__in"), 1).otherwise(0)).alias("__a"), F.sum(F.when(F.col("__in"), 0).otherwise(1)).alias("__b"))
+    sums = None
+    for s in _subsets(fields):
+        sign = 1 if len(s) % 2 else -1
+        g = base.where(" and ".join(f"`{c}` is not null" for c in s)).groupBy(*s).agg(F.sum("__a").alias("a"), F.sum("__b").alias("b"))
+        one = g.agg((sign * F.sum(F.col("a") * F.col("b"))).alias("c"), (sign * F.sum(F.col("a") * (F.col("a") - 1))).alias("x"), (sign * F.sum(F.col("b") * (F.col("b") - 1))).alias("y"))
+        sums = one if sums is None else sums.unionByName(one)
+    total = sums.agg(F.sum("c").alias("cut"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    volume = F.least(F.col("x") + F.col("cut"), F.col("y") + F.col("cut"))
+    return total.select("cut", volume.alias("volume"), F.when(volume > 0, F.col("cut") / volume).alias("conductance"))
+
+
+def ricci(points: DataFrame, key: str, fields, a, b, most: int = 2_000) -> DataFrame:
+    """(distance, w1, curvature) between two records: 1 - W1 / distance, W1 the greedy transport of
+    the neighbourhoods (the record itself and the records no farther than the two are apart) at
+    equal weights; at most `most` rows in either, more are refused."""
+    x = F.array(*[F.col(f).cast("double") for f in fields])
+    rows = points.select(F.col(key).alias("k"), x.alias("x"))
+    ends = {r["k"]: np.array(r["x"]) for r in rows.where(F.col("k").isin(a, b)).collect()}
+    d = float(np.linalg.norm(ends[a] - ends[b]))
+    kind = "distance double, w1 double, curvature double"
+    if d < 1e-12:
+        return points.sparkSession.createDataFrame([(0.0, 0.0, 1.0)], kind)
+
+    def around(c):
+        at = F.array(*[F.lit(float(v)) for v in c])
+        far = F.sqrt(F.aggregate(F.zip_with("x", at, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+        got = rows.where(far <= d).orderBy("k").limit(most + 1).collect()
+        if len(got) > most:
+            raise ValueError(f"more than {most} rows in a neighbourhood")
+        return np.array([r["x"] for r in got])
+
+    p, q = around(ends[a]), around(ends[b])
+    cost = np.linalg.norm(p[:, None] - q[None], axis=2)
+    left, right, w1 = np.full(len(p), 1 / len(p)), np.full(len(q), 1 / len(q)), 0.0
+    for i, j in zip(*np.unravel_index(np.argsort(cost, axis=None, kind="stable"), cost.shape)):
+        moved = min(left[i], right[j])
+        if moved > 0:
+            w1 += moved * cost[i, j]
+            left[i] -= moved
+            right[j] -= moved
+    return points.sparkSession.createDataFrame([(d, float(w1), float(1 - w1 / d))], kind)

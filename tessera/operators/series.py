@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .relational import cut
+
 
 def prefix_kappa(df: DataFrame, by: str, order: str, field: str) -> DataFrame:
     """df with |v - mean| / range of the rows strictly before each row (0 with fewer than two)."""
@@ -61,15 +63,30 @@ def change_points(df: DataFrame, by: str, order: str, field: str, window: int =
     return s.select(by, "i", "stat").groupBy(by).applyInPandas(pick, f"{by} {kind}, i int, stat double")
 
 
-def texture(df: DataFrame, by: str, order: str, field: str, lags=(1, 2, 3, 4, 6, 8)) -> DataFrame:
-    """(by, n, hurst): half the slope of log mean squared increments over log lags; lags beyond a
-    sixteenth of the series or with fewer than 20 increments are left out, and four are needed."""
+def texture(df: DataFrame, by: str, order: str, field: str, q: float = 2.0, low: int = 1, high: int | None = None, least: int = 64) -> DataFrame:
+    """(by, n, hurst, r2, verdict): the slope of log mean |increment|**q over log lags, over q. Lags
+    are 12, evenly spaced in logarithms from `low` to n / 8 (`high`), rounded; those of fewer than 20
+    increments are left out, and four are needed. Within two null deviations, 2 * 0.29 * n**-0.267,
+    of 0.5 the verdict is DIFFUSIVE, beyond PERSISTENT or ANTIPERSISTENT. Series under `least` values
+    or of one value have no row. Increments are joins of positions: no task but the one that numbers
+    a series sees it whole."""
     w = Window.partitionBy(by).orderBy(order)
-    x = df.select(by, F.col(field).cast("double").alias("v"), *[(F.lead(field, g).over(w) - F.col(field)).alias(f"d{g}") for g in lags])
-    a = x.groupBy(by).agg(F.count("*").alias("n"), *[y for g in lags for y in (F.avg(F.pow(f"d{g}", 2)).alias(f"m{g}"), F.count(f"d{g}").alias(f"c{g}"))])
-    rows = F.array(*[F.struct(F.lit(math.log(g)).alias("x"), F.when((F.col(f"c{g}") >= 20) & (F.col(f"m{g}") > 0), F.log(f"m{g}")).alias("y")) for g in lags])
-    p = a.select(by, "n", F.inline(rows)).where("y is not null")
-    return p.groupBy(by, "n").agg(F.count("*").alias("__k"), (F.regr_slope("y", "x") / 2).alias("hurst")).where("__k >= 4").drop("__k")
+    x = df.where(F.col(field).isNotNull() & ~F.isnan(F.col(field).cast("double"))).select(by, (F.row_number().over(w) - 1).alias("i"), F.col(field).cast("double").alias("v"))
+    x = cut(x)
+    of = x.groupBy(by).agg(F.count("*").alias("n"), F.var_pop("v").alias("var")).where((F.col("n") >= least) & (F.col("var") > 0))
+    lo = F.lit(float(max(1, low)))
+    hi = F.least(F.greatest(F.expr("n div 8") if high is None else F.lit(high), F.lit(max(1, low) + 1)), F.expr("n div 2")).cast("double")
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.floor(F.exp(F.log(lo) + i / 11.0 * (F.log(hi) - F.log(lo))) + 0.5).cast("int"))
+    lags = of.where(hi > lo).select(by, "n", F.explode(F.array_distinct(F.filter(spaced, lambda g: (g >= lo) & (g <= hi)))).alias("lag"))
+    # A lag's increments: each position meets the one `lag` places on.
+    on = x.join(lags, by).select(by, "n", "lag", "v", (F.col("i") + F.col("lag")).alias("i"))
+    d = on.join(x.withColumnRenamed("v", "w"), [by, "i"])
+    m = d.groupBy(by, "n", "lag").agg(F.avg(F.pow(F.abs(F.col("w") - F.col("v")), q)).alias("m"), F.count("*").alias("c")).where("c >= 20 and m > 0")
+    lx, ly = F.log("lag"), F.log("m")
+    out = m.groupBy(by, "n").agg(F.count("*").alias("k"), (F.regr_slope(ly, lx) / q).alias("hurst"), F.regr_r2(ly, lx).alias("r2")).where("k >= 4")
+    band = 2 * 0.29 * F.pow(F.col("n").cast("double"), -0.267)
+    verdict = F.when(F.col("hurst") > 0.5 + band, "PERSISTENT").when(F.col("hurst") < 0.5 - band, "ANTIPERSISTENT").otherwise("DIFFUSIVE")
+    return out.select(by, "n", "hurst", "r2", verdict.alias("verdict"))
 
 
 def precedence(df: DataFrame, by: str, order: str, x: str, y: str, least: int = 32) -> DataFrame:
@@ -85,20 +102,43 @@ def precedence(df: DataFrame, by: str, order: str, x: str, y: str, least: int =
     return out.where(F.col("n") >= least)
 
 
-def cadence(df: DataFrame, by: str, at: str, least: int = 64) -> DataFrame:
-    """(by, n, cadence, z, verdict) of the gaps between distinct stamps: Greenwood's index
-    sqrt((n + 1) / (n - 1) * (n R - 1)), R the sum of squared shares; 1 for a memoryless clock."""
-    d = df.select(by, F.col(at).alias("t")).distinct()
-    gaps = d.withColumn("gap", (F.lead("t").over(Window.partitionBy(by).orderBy("t")) - F.col("t")).cast("double")).where("gap is not null")
-    g = gaps.groupBy(by).agg(F.count("*").alias("n"), (F.sum(F.pow("gap", 2)) / F.pow(F.sum("gap"), 2)).alias("r"), F.min("gap").alias("lo"), F.max("gap").alias("hi"))
-    g = g.where((F.col("n") + 1 >= least) & (F.col("lo") < F.col("hi")))
+def _greenwood(n, r):
+    return F.sqrt(F.greatest((n + 1) / (n - 1) * (n * r - 1), F.lit(0.0)))
+
+
+def cadence(df: DataFrame, by: str, at: str, least: int = 64, block: int = 64) -> DataFrame:
+    """(by, n, cadence, z, blocked, memory, memory_z, verdict, memory_verdict, refused) of the gaps
+    between distinct stamps: Greenwood's index sqrt((n + 1) / (n - 1) * (n R - 1)), R the sum of
+    squared shares, 1 for a memoryless clock, with its null deviation; the mean index over whole
+    blocks of gaps (null under two blocks); and the lag-one autocorrelation of the gaps' logarithms.
+
+    Clocks that cannot be measured have a reason in `refused` and nulls elsewhere: too few stamps,
+    equal gaps, gaps that are multiples of the least with a median under ten of it, or more than a
+    tenth of the gaps exactly equal."""
+    d = df.where(F.col(at).isNotNull()).select(by, F.col(at).alias("t")).distinct()
+    w = Window.partitionBy(by).orderBy("t")
+    gaps = d.select(by, (F.row_number().over(w) - 1).alias("i"), (F.lead("t").over(w) - F.col("t")).cast("double").alias("gap"))
+    gaps = cut(gaps.where("gap is not null").withColumn("ln", F.log("gap")).withColumn("next", F.lead("ln").over(Window.partitionBy(by).orderBy("i"))))
+    stamps = d.groupBy(by).agg(F.count("*").alias("stamps"))
+    g = gaps.groupBy(by).agg(F.count("*").alias("n"), (F.sum(F.pow("gap", 2)) / F.pow(F.sum("gap"), 2)).alias("r"), F.min("gap").alias("lo"), F.max("gap").alias("hi"), F.avg("ln").alias("m"))
+    ranked = gaps.withColumn("p", F.row_number().over(Window.partitionBy(by).orderBy("gap")) - 1).join(g, by)
+    share = F.col("gap") / F.col("lo")
+    more = ranked.groupBy(by).agg(F.max(F.when(F.col("p") == F.expr("n div 2"), F.col("gap"))).alias("mid"), F.max(F.abs(share - F.round(share))).alias("off"), (F.sum((F.col("ln") - F.col("m")) * (F.col("next") - F.col("m"))) / F.nullif(F.sum(F.pow(F.col("ln") - F.col("m"), 2)), F.lit(0.0))).alias("memory"))
+    modal = gaps.groupBy(by, "gap").agg(F.count("*").alias("c")).groupBy(by).agg(F.max("c").alias("modal"))
+    blocks = gaps.join(g.select(by, "n"), by).where(f"i < n div {block} * {block} and n >= {2 * block}").withColumn("b", F.expr(f"i div {block}"))
+    blocks = blocks.groupBy(by, "b").agg(_greenwood(F.lit(float(block)), F.sum(F.pow("gap", 2)) / F.pow(F.sum("gap"), 2)).alias("x")).groupBy(by).agg(F.avg("x").alias("blocked"))
+    t = stamps.join(g, by, "left").join(more, by, "left").join(modal, by, "left").join(blocks, by, "left")
     n = F.col("n").cast("double")
-    sq = (n + 1) / (n - 1) * (n * F.col("r") - 1)
-    sd = n / F.sqrt((n - 1) * (n + 2) * (n + 3))
-    null = 2 / (n + 1)
-    z = (F.col("r") - null) / (sd * 2 / n)
-    verdict = F.when(z > 2, "BURSTY").when(z < -2, "THROTTLED").otherwise("MEMORYLESS")
-    return g.select(by, "n", F.sqrt(F.greatest(sq, F.lit(0.0))).alias("cadence"), z.alias("z"), verdict.alias("verdict"))
+    index = _greenwood(n, F.col("r"))
+    z = (index - 1) / (n / F.sqrt((n - 1) * (n + 2) * (n + 3)))
+    memory_z = F.coalesce("memory", F.lit(0.0)) * F.sqrt(n)
+    refused = F.when(F.col("stamps") < least, "few stamps").when(F.col("lo") == F.col("hi"), "equal gaps").when((F.col("off") <= 1e-6) & (F.col("mid") < 10 * F.col("lo")), "coarse stamps").when(F.col("modal") / n > 0.1, "lattice")
+    label = lambda v, up, down, mid: F.when(v > 2, up).when(v < -2, down).otherwise(mid)
+    out = {
+        "n": F.col("n"), "cadence": index, "z": z, "blocked": F.col("blocked"), "memory": F.coalesce("memory", F.lit(0.0)), "memory_z": memory_z,
+        "verdict": label(z, "BURSTY", "THROTTLED", "STEADY"), "memory_verdict": label(memory_z, "PERSISTENT", "ALTERNATING", "MEMORYLESS"),
+    }
+    return t.withColumn("refused", refused).select(by, *[F.when(F.col("refused").isNull(), c).alias(k) for k, c in out.items()], "refused")
 
 
 def jackknife(df: DataFrame, by: str, order: str, field: str, skip: int = 0) -> DataFrame:
@@ -135,6 +175,22 @@ def coherence(df: DataFrame, by: str, order: str, x: str, y: str) -> DataFrame:
     return s.groupBy(by).agg(F.sqrt(F.pow(F.avg(F.cos("t")), 2) + F.pow(F.avg(F.sin("t")), 2)).alias("coherence"))
 
 
+def windowed_coherence(df: DataFrame, by: str, order: str, x: str, y: str, window: int = 8, threshold: float = 0.7) -> DataFrame:
+    """(by, start, coherence, laminar) of every window of `window` records of each path: the product
+    of the plane rotations from record to record, sliding along it, against none:
+    1 - |R - I| / (2 sqrt 2). In the plane rotations add up, so a window's product is a sum."""
+    if window < 2 or not 0 < threshold <= 1:
+        raise ValueError("window must be 2 or more and threshold in (0, 1]")
+    w = Window.partitionBy(by).orderBy(order)
+    turn = F.atan2(F.lead(y).over(w), F.lead(x).over(w)) - F.atan2(F.col(y), F.col(x))
+    p = df.select(by, F.col(order).alias("__o"), (F.row_number().over(w) - 1).alias("start"), turn.alias("turn"))
+    v = Window.partitionBy(by).orderBy("start").rowsBetween(0, window - 2)
+    p = p.withColumn("angle", F.sum("turn").over(v)).withColumn("c", F.count("turn").over(v)).where(F.col("c") == window - 1)
+    # |R - I| of a rotation by a is 2 sqrt(2) |sin(a / 2)|.
+    value = F.least(F.greatest(1 - F.abs(F.sin(F.col("angle") / 2)), F.lit(0.0)), F.lit(1.0))
+    return p.select(by, "start", value.alias("coherence")).withColumn("laminar", F.col("coherence") >= threshold)
+
+
 def rotations(pdf: pd.DataFrame, draws: int = 199, seed: int = 1) -> float:
     """Rotation-null p-value of a precedence area: shares of y's increments shifted in a ring."""
     x, y = pdf.x.to_numpy(float), pdf.y.to_numpy(float)

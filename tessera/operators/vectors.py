@@ -85,14 +85,71 @@ def mixture(df: DataFrame, key: str, field: str, k: int = 3, seed: int = 1) -> D
     return GaussianMixture(k=k, seed=seed, maxIter=20).fit(v).transform(v).select(key, F.col("prediction").alias("cluster"))
 
 
-def pca(df: DataFrame, key: str, field: str, k: int = 2) -> DataFrame:
-    """(key, reduced): coordinates on the k main axes of the centred vectors."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    v = df.select(key, array_to_vector(F.col(field).cast("array<double>")).alias("raw"))
-    v = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=False).fit(v).transform(v)
-    return PCA(k=k, inputCol="features", outputCol="p").fit(v).transform(v).select(key, vector_to_array("p").alias("reduced"))
+def moments(df: DataFrame, field: str, parts: int = 16):
+    """(n, mean, covariance over n) of the vectors of a column, of one length, by partial sums: at
+    most `parts` matrices of dim x dim reach the driver. Null vectors are left out."""
+    import numpy as np
+    import pandas as pd
+
+    v = df.select(F.col(field).cast("array<double>").alias("v")).where("v is not null")
+
+    def sums(batches):
+        n, s, g = 0, None, None
+        for pdf in batches:
+            if len(pdf):
+                x = np.vstack(pdf.v.to_numpy())
+                s = x.sum(0) if s is None else s + x.sum(0)
+                g = x.T @ x if g is None else g + x.T @ x
+                n += len(x)
+        if n:
+            yield pd.DataFrame({"n": [n], "s": [s], "g": [g.ravel()]})
+
+    def added(batches):
+        n, s, g = 0, None, None
+        for pdf in batches:
+            for r in pdf.itertuples():
+                n, s, g = n + r.n, r.s if s is None else s + r.s, r.g if g is None else g + r.g
+        if n:
+            yield pd.DataFrame({"n": [n], "s": [s], "g": [g]})
+
+    kind = "n long, s array<double>, g array<double>"
+    got = v.mapInPandas(sums, kind).repartition(parts).mapInPandas(added, kind).collect()
+    if not got:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    n, s = sum(r["n"] for r in got), sum(np.array(r["s"]) for r in got)
+    mean = s / n
+    return n, mean, sum(np.array(r["g"]) for r in got).reshape(len(s), len(s)) / n - np.outer(mean, mean)
+
+
+def axes(df: DataFrame, field: str, k: int = 2):
+    """(mean, axes (k x dim), variances of all axes, descending); an axis's largest part is positive."""
+    import numpy as np
+
+    _, mean, cov = moments(df, field)
+    lam, v = np.linalg.eigh(cov)
+    order = np.argsort(-lam, kind="stable")
+    v = v[:, order[:k]].T
+    v = v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:, None]
+    return mean, v, np.maximum(lam[order], 0.0)
+
+
+def pca(df: DataFrame, key: str, field: str, k: int = 2, whiten: bool = False) -> DataFrame:
+    """(key, reduced): coordinates on the k main axes of the centred vectors, with whiten over the
+    axes' deviations. The projection is one pass of array sums."""
+    mean, v, lam = axes(df, field, k)
+    if whiten:
+        v = v / (lam[: len(v), None] ** 0.5).clip(1e-12)
+    x = F.col(field).cast("array<double>")
+    return df.select(key, F.when(x.isNotNull(), F.array(*[dot(x, _array(a)) - float(a @ mean) for a in v])).alias("reduced"))
+
+
+def pca_report(df: DataFrame, field: str, k: int = 2) -> DataFrame:
+    """(axis, variance, share, rmse): of each of the k main axes its variance, its share of the whole,
+    and the root mean squared error per component of the rebuilt vectors with axes up to it."""
+    _, v, lam = axes(df, field, k)
+    total = float(lam.sum())
+    rows = [(i, float(lam[i]), float(lam[i] / total) if total else 0.0, float(lam[i + 1 :].sum() / len(lam)) ** 0.5) for i in range(len(v))]
+    return df.sparkSession.createDataFrame(rows, "axis int, variance double, share double, rmse double")
 
 
 def modes(df: DataFrame, fields, k: int = 3) -> DataFrame:

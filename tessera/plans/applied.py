@@ -124,13 +124,13 @@ def spectral_gap(spark, d):
     return GR.spectral_gap(_t(spark, d, "customer"), ["c_nationkey", "c_mktsegment"])
 
 
-def _flows(spark, d, orders="o_orderkey % 3 = 0"):
-    o, c = _t(spark, d, "orders").where(orders), _t(spark, d, "customer")
+def _flows(spark, d):
+    o, c = _t(spark, d, "orders"), _t(spark, d, "customer")
     e = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("src"), (F.col("o_orderkey") * 7 % 25).cast("int").alias("dst"), "o_totalprice")
     return e.groupBy("src", "dst").agg(F.sum("o_totalprice").alias("w"))
 
 
-_FLOWS = "(SELECT c_nationkey AS src, (o_orderkey * 7 % 25)::INT AS dst, sum(o_totalprice) AS w FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0 GROUP BY ALL)"
+_FLOWS = "(SELECT c_nationkey AS src, (o_orderkey * 7 % 25)::INT AS dst, sum(o_totalprice) AS w FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
 
 
 @register("net_flow", f"SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(sum(CASE WHEN src < dst THEN w ELSE -w END), 2) AS net FROM {_FLOWS} WHERE src <> dst GROUP BY ALL")
@@ -140,15 +140,18 @@ def net_flow(spark, d):
 
 @register("circulation")
 def circulation(spark, d):
-    return GR.circulation(_flows(spark, d, "true"))
+    return GR.circulation(_flows(spark, d))
 
 
 @register("geodesic", f"""
     WITH RECURSIVE e AS (SELECT src, dst, 1 AS w FROM {_FLOWS} WHERE dst = (src * 3 + 1) % 25 OR dst = (src + 2) % 25), r(node, n) AS (SELECT 0, 0 UNION SELECT dst, n + 1 FROM r JOIN e ON e.src = r.node WHERE n < 25)
     SELECT node, min(n)::DOUBLE AS distance FROM r GROUP BY node""")
 def geodesic(spark, d):
-    e = _flows(spark, d).where("dst = (src * 3 + 1) % 25 or dst = (src + 2) % 25").select("src", "dst", F.lit(1.0).alias("w"))
-    return GR.shortest(e, 0)
+    return GR.shortest(_ring(spark, d), 0).select("node", "distance")
+
+
+def _ring(spark, d):
+    return _flows(spark, d).where("dst = (src * 3 + 1) % 25 or dst = (src + 2) % 25").select("src", "dst", F.lit(1.0).alias("w"))
 
 
 @register("complete", """

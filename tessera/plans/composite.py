@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import advanced as X
 from ..operators import anomaly as A
 from .catalog import register, table
+from .geometric import HOLONOMY
 
 
 def _t(spark, d, name):
@@ -18,9 +19,12 @@ def horizon(spark, d):
     return X.horizon(_t(spark, d, "customer"), ["c_acctbal"], ["c_nationkey", "c_mktsegment"])
 
 
-@register("free_energy")
+@register("free_energy", """
+    WITH r AS (SELECT c_custkey AS k, c_nationkey AS g, c_acctbal AS v, row_number() OVER (ORDER BY c_custkey) - 1 AS i, greatest(count(*) OVER () // 50, 1) AS step FROM customer), p AS (SELECT * FROM r WHERE i % step = 0 AND i < 50 * step),
+    z AS (SELECT k, tau, sum(CASE WHEN c_custkey <> k THEN exp(-abs(v - c_acctbal) / 11000 / tau) ELSE 0 END) AS z FROM p JOIN customer ON c_nationkey = g, (SELECT unnest([0.1::DOUBLE, 0.5, 1.0]) AS tau) GROUP BY ALL)
+    SELECT tau, round(avg(-tau * ln(1 + z)), 8) AS f FROM z GROUP BY tau""")
 def free_energy(spark, d):
-    return X.free_energy(_t(spark, d, "customer"), "c_custkey", "c_nationkey", "c_acctbal", 11000.0)
+    return X.free_energy(_t(spark, d, "customer"), "c_custkey", "c_nationkey", "c_acctbal", 11000.0).withColumn("f", F.round("f", 8))
 
 
 @register("health", """
@@ -38,10 +42,12 @@ def invariant(spark, d):
     return X.invariant(_t(spark, d, "customer"), "k + 2 * confidence", "c_custkey", ["c_acctbal"], ["c_nationkey"]).select(F.round("value", 8).alias("value"))
 
 
-@register("gauge_test")
+@register("gauge_test", f"""
+    WITH {HOLONOMY.format("a", "")}, {HOLONOMY.format("b", " WHERE c_custkey % 2 = 0")}, x AS (SELECT abs(ha.deficit - hb.deficit) AS d FROM ha, hb)
+    SELECT round(least(d, 2 * pi() - d), 6) AS delta, least(d, 2 * pi() - d) < pi() / 10 AS invariant FROM x""")
 def gauge_test(spark, d):
     c = _t(spark, d, "customer")
-    return X.gauge_test(c, c.where("c_custkey % 2 = 0"), "c_acctbal", "c_custkey", "c_nationkey")
+    return X.gauge_test(c, c.where("c_custkey % 2 = 0"), "c_acctbal", "c_custkey", "c_nationkey").withColumn("delta", F.round("delta", 6))
 
 
 @register("transport_rotation")
@@ -49,10 +55,17 @@ def transport_rotation(spark, d):
     return X.transport(_t(spark, d, "orders"), "o_orderkey", 1, 7, ["o_custkey", "o_totalprice"])
 
 
-@register("propagate")
+@register("propagate", """
+    WITH h AS (SELECT w, c_custkey, c_nationkey, CASE WHEN w = 1 AND c_custkey % 20 = 0 THEN 5000 WHEN c_custkey % 10 <> 0 THEN c_acctbal END AS v FROM customer, (SELECT unnest([0, 1]) AS w)),
+    m AS (SELECT *, median(v) OVER (PARTITION BY w, c_nationkey) AS med FROM h WHERE v IS NOT NULL), a AS (SELECT *, median(abs(v - med)) OVER (PARTITION BY w, c_nationkey) AS mad FROM m),
+    p AS (SELECT w, c_nationkey, avg(v) AS predicted FROM a WHERE (mad = 0 AND v = med) OR (mad > 0 AND 0.6745 * abs(v - med) / mad <= 3) GROUP BY ALL HAVING count(*) >= 2),
+    c AS (SELECT w, c_custkey AS key, predicted FROM h JOIN p USING (w, c_nationkey) WHERE v IS NULL)
+    SELECT key, round(b.predicted, 6) AS before, round(a.predicted, 6) AS after FROM (SELECT * FROM c WHERE w = 0) b FULL JOIN (SELECT * FROM c WHERE w = 1) a USING (key)
+    WHERE b.predicted IS NULL OR a.predicted IS NULL OR abs(b.predicted - a.predicted) > 1e-9 * greatest(1, abs(b.predicted))""")
 def propagate(spark, d):
     h = _t(spark, d, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 10 != 0, F.col("c_acctbal")).alias("v"))
-    return X.propagate(h, "c_custkey", "v", "c_nationkey", h.where("c_custkey % 20 = 0").select("c_custkey", F.lit(5000.0).alias("v")))
+    out = X.propagate(h, "c_custkey", "v", "c_nationkey", h.where("c_custkey % 20 = 0").select("c_custkey", F.lit(5000.0).alias("v")))
+    return out.select("key", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
 
 
 @register("complete_across", """
@@ -63,7 +76,11 @@ def complete_across(spark, d):
     return out.select("key", F.round("predicted", 8).alias("predicted"), F.round("confidence", 8).alias("confidence"))
 
 
-@register("suggest_adjacency")
+_AGAINST = """SELECT '{0}' AS candidate, count(*) AS contradictions FROM (SELECT *, median(abs(c_acctbal - med)) OVER (PARTITION BY {0}) AS mad FROM (SELECT *, median(c_acctbal) OVER (PARTITION BY {0}) AS med, count(*) OVER (PARTITION BY {0}) AS n FROM customer))
+    WHERE n >= 3 AND CASE WHEN mad > 0 THEN 0.6745 * abs(c_acctbal - med) / mad WHEN c_acctbal <> med THEN 1e9 ELSE 0 END > 1.2"""
+
+
+@register("suggest_adjacency", " UNION ALL ".join(_AGAINST.format(c) for c in ("c_nationkey", "c_mktsegment")))
 def suggest_adjacency(spark, d):
     return X.suggest_adjacency(_t(spark, d, "customer"), "c_custkey", "c_acctbal", ["c_nationkey", "c_mktsegment"], 1.2)
 
@@ -94,24 +111,33 @@ def contradictions(spark, d):
     QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY array_distance(a.e, b.e), b.vec_id) <= 5""")
 def knn_join(spark, d):
     e = _t(spark, d, "embeddings")
-    return X.neighbours_of(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5, 4).select("query", "key", F.round("distance", 6).alias("distance"))
+    return X.neighbours_of(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5).select("query", "key", F.round("distance", 6).alias("distance"))
+
 
+_PAIRS = "(SELECT a.vec_id AS q, b.vec_id AS k, b.label AS label, array_distance(a.e, b.e) AS d FROM v a JOIN v b ON {0} QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY array_distance(a.e, b.e), b.vec_id) <= {1})"
+_VEC = "v AS (SELECT vec_id, label, embedding::DOUBLE[]::DOUBLE[64] AS e FROM embeddings)"
+_HELD = "a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0"
 
-@register("infer_knn")
+
+@register("infer_knn", f"""
+    WITH {_VEC}, n AS {_PAIRS.format(_HELD, 20)}, w AS (SELECT q, label, pow(1 - pow(least(d / greatest(max(d) OVER (PARTITION BY q) * 1.0001, 1e-12), 1), 3), 3) AS w FROM n), s AS (SELECT q, sum(w * label) / sum(w) AS p, pow(sum(w), 2) / sum(w * w) AS n FROM w GROUP BY q)
+    SELECT q AS key, round(p, 6) AS predicted, round(n / (n + 1), 6) AS confidence FROM s""")
 def infer_knn(spark, d):
     e = _t(spark, d, "embeddings")
-    return X.infer(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), "vec_id", "embedding", "label")
+    return X.infer(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), "vec_id", "embedding", "label").select("key", F.round("predicted", 6).alias("predicted"), F.round("confidence", 6).alias("confidence"))
 
 
-@register("knn_vote")
+@register("knn_vote", f"WITH {_VEC}, n AS {_PAIRS.format(_HELD, 10)} SELECT q AS key, label FROM n GROUP BY q, label QUALIFY row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, label) = 1")
 def knn_vote(spark, d):
     e = _t(spark, d, "embeddings")
     return X.vote(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), "vec_id", "embedding", "label")
 
 
-@register("density_lof")
+@register("density_lof", f"""
+    WITH {_VEC}, n AS {_PAIRS.format("a.vec_id <> b.vec_id", 10)}, kd AS (SELECT q, max(d) AS kd FROM n GROUP BY q), r AS (SELECT n.q, 1 / greatest(avg(greatest(d, kd.kd)), 1e-12) AS lrd FROM n JOIN kd ON kd.q = n.k GROUP BY n.q)
+    SELECT n.q AS key, round(avg(t.lrd) / any_value(o.lrd), 6) AS lof FROM n JOIN r t ON t.q = n.k JOIN r o ON o.q = n.q GROUP BY n.q""")
 def density_lof(spark, d):
-    return X.local_density(_t(spark, d, "embeddings"), "vec_id", "embedding")
+    return X.local_density(_t(spark, d, "embeddings"), "vec_id", "embedding").withColumn("lof", F.round("lof", 6))
 
 
 @register("dbscan")
@@ -200,12 +226,7 @@ def vector_ball(spark, d):
 
 @register("scan_supervised")
 def scan_supervised(spark, d):
-    """Lens weights learned from marked rows by logistic regression."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
+    """Lens weights learned from marked rows; the mark does not follow from any lens."""
     e = A.scan_velocity(A.scan_context(A.scan_global(_t(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value"), ["value"]), "event_type", ["value"]), "user_id", "ts", "day")
-    e = e.withColumn("velocity", F.col("velocity").cast("double")).withColumn("label", (F.col("value") > 300).cast("double"))
-    v = VectorAssembler(inputCols=["global", "context", "velocity"], outputCol="features").transform(e)
-    model = LogisticRegression(maxIter=50, regParam=0.01).fit(v)
-    return spark.createDataFrame([(n, float(w)) for n, w in zip(["global", "context", "velocity"], model.coefficients)], "lens string, weight double")
+    e = e.withColumn("label", (F.col("user_id") % 10 == 0).cast("int"))
+    return A.fitted_weights(e, "event_id", ["global", "context", "velocity"], "label")

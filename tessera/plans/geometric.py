@@ -171,9 +171,18 @@ def holonomy_points(spark, d):
     return _rounded(G.local_holonomy(o, "o_orderkey", 1, 7, ["o_totalprice", "o_custkey"]), 6)
 
 
-@register("holonomy_groups")
+#: The turning of the loop of nations' centroids; {0} names the parts, {1} may hold a condition.
+HOLONOMY = """c{0} AS (SELECT c_nationkey AS g, avg(c_acctbal) AS x, avg(c_custkey) AS y FROM customer{1} GROUP BY 1),
+    d{0} AS (SELECT g, atan2(coalesce(lead(y) OVER (ORDER BY g), first_value(y) OVER (ORDER BY g)) - y, coalesce(lead(x) OVER (ORDER BY g), first_value(x) OVER (ORDER BY g)) - x) AS t FROM c{0}),
+    u{0} AS (SELECT coalesce(lead(t) OVER (ORDER BY g), first_value(t) OVER (ORDER BY g)) - t AS u FROM d{0}),
+    h{0} AS (SELECT count(*) AS groups, fmod(abs(sum(atan2(sin(u), cos(u)))), 2 * pi()) AS deficit FROM u{0})"""
+
+
+@register("holonomy_groups", f"WITH {HOLONOMY.format('', '')} SELECT groups, round(least(deficit, 2 * pi() - deficit), 6) AS from_whole_turns FROM h")
 def holonomy_groups(spark, d):
-    return G.holonomy(_t(spark, d, "customer"), "c_acctbal", "c_custkey", "c_nationkey")
+    """A closed loop turns by whole turns; what is left of them may lie on either side."""
+    h = G.holonomy(_t(spark, d, "customer"), "c_acctbal", "c_custkey", "c_nationkey")
+    return h.select("groups", F.round(F.least("deficit", 2 * F.pi() - F.col("deficit")), 6).alias("from_whole_turns"))
 
 
 @register("mutual_information", """
@@ -267,20 +276,28 @@ def scan_text(spark, d):
     return _rounded(A.scan_text(names, "name"))
 
 
-@register("scan_fused")
+_SQUASH = "greatest({0}, 0) / (greatest({0}, 0) + 6)"
+
+
+@register("scan_fused", f"""
+    WITH k AS (SELECT event_id, abs(value - avg(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS kappa, abs(value - avg(value) OVER t) / stddev_pop(value) OVER t AS context, count(*) OVER (PARTITION BY user_id, date_trunc('day', ts)) AS velocity FROM events WINDOW t AS (PARTITION BY event_type)),
+    m AS (SELECT *, (kappa - avg(kappa) OVER ()) / stddev_pop(kappa) OVER () AS g, (SELECT median(velocity) FROM k) AS med, avg(velocity) OVER () AS mu, stddev_pop(velocity) OVER () AS sd FROM k),
+    r AS (SELECT *, 1.4826 * (SELECT median(abs(velocity - med)) FROM m) AS mad FROM m),
+    f AS (SELECT event_id, greatest({_SQUASH.format("g")}, {_SQUASH.format("context")}, {_SQUASH.format("(CASE WHEN mad > 1e-12 THEN (velocity - med) / mad WHEN sd > 1e-12 THEN (velocity - mu) / sd ELSE 0 END)")}) AS fused FROM r)
+    SELECT event_id, round(fused, 6) AS fused, fused > (SELECT quantile_cont(fused, 0.95) FROM f) AS flagged FROM f""")
 def scan_fused(spark, d):
     e = A.scan_velocity(A.scan_context(_t(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value"), "event_type", ["value"]), "user_id", "ts", "day")
     z = A.robust_z(e, "velocity").withColumnRenamed("z", "speed")
-    return A.fused(A.scan_global(z, ["value"]), ["global", "context", "speed"]).select("event_id", "fused", "flagged")
+    return A.fused(A.scan_global(z, ["value"]), ["global", "context", "speed"]).select("event_id", F.round("fused", 6).alias("fused"), "flagged")
 
 
 @register("episodic", """
-    WITH g AS (SELECT e AS "at", lead(e) OVER (ORDER BY e) - e AS gap FROM (SELECT epoch_us(ts) AS e FROM events WHERE user_id = 7)), k AS (SELECT * FROM g WHERE gap IS NOT NULL),
-    m AS (SELECT greatest(gap::DOUBLE, 1e-6 * (SELECT max(gap) FROM k)) AS mid FROM (SELECT gap, row_number() OVER (ORDER BY gap) AS r, count(*) OVER () AS n FROM k) WHERE r = n // 2 + 1)
-    SELECT "at", gap, round(gap / mid, 6) AS ratio FROM k, m WHERE gap / mid >= 3""")
+    WITH g AS (SELECT user_id, e AS "at", lead(e) OVER (PARTITION BY user_id ORDER BY e) - e AS gap FROM (SELECT user_id, epoch_us(ts) AS e FROM events)), k AS (SELECT * FROM g WHERE gap IS NOT NULL),
+    m AS (SELECT user_id, greatest(gap::DOUBLE, 1e-6 * top) AS mid FROM (SELECT user_id, gap, row_number() OVER (PARTITION BY user_id ORDER BY gap) AS r, count(*) OVER w AS n, max(gap) OVER w AS top FROM k WINDOW w AS (PARTITION BY user_id)) WHERE r = n // 2 + 1)
+    SELECT user_id, "at", gap, round(gap / mid, 6) AS ratio FROM k JOIN m USING (user_id) WHERE gap / mid >= 3""")
 def episodic(spark, d):
-    e = _t(spark, d, "events").where("user_id = 7").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("e"))
-    return _rounded(A.episodes(e, "e"), 6)
+    e = _t(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("e"))
+    return _rounded(A.episodes(e, "e", by="user_id"), 6)
 
 
 # -- Series ---------------------------------------------------------------------------------------
@@ -318,16 +335,15 @@ def changepoints(spark, d):
     return S.change_points(e, "event_type", "ts", "value", threshold=3.0)
 
 
-_LAGS = (1, 2, 3, 4, 6, 8)
-
-
-@register("texture", f"""
-    WITH x AS (SELECT event_type, {", ".join(f"lead(value, {g}) OVER w - value AS d{g}" for g in _LAGS)} FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
-    a AS (SELECT event_type, count(*) AS n, {", ".join(f"avg(d{g} * d{g}) AS m{g}" for g in _LAGS)} FROM x GROUP BY event_type),
-    p AS ({" UNION ALL ".join(f"SELECT event_type, n, ln({g}) AS x, ln(m{g}) AS y FROM a" for g in _LAGS)})
-    SELECT event_type, n, round(regr_slope(y, x) / 2, 6) AS hurst FROM p GROUP BY event_type, n""")
+@register("texture", """
+    WITH x AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS i, value AS v FROM events),
+    o AS (SELECT event_type, count(*) AS n FROM x GROUP BY event_type HAVING count(*) >= 64 AND var_pop(v) > 0), h AS (SELECT *, least(greatest(n // 8, 2), n // 2)::DOUBLE AS hi FROM o),
+    l AS (SELECT DISTINCT event_type, n, floor(exp(k / 11.0 * ln(hi)) + 0.5)::INT AS lag FROM h, range(0, 12) t(k)),
+    m AS (SELECT a.event_type, n, lag, avg(pow(b.v - a.v, 2)) AS m FROM l JOIN x a ON a.event_type = l.event_type JOIN x b ON b.event_type = l.event_type AND b.i = a.i + lag GROUP BY ALL HAVING count(*) >= 20),
+    s AS (SELECT event_type, n, regr_slope(ln(m), ln(lag)) / 2 AS hurst, regr_r2(ln(m), ln(lag)) AS r2, 2 * 0.29 * pow(n, -0.267) AS band FROM m GROUP BY event_type, n HAVING count(*) >= 4)
+    SELECT event_type, n, round(hurst, 6) AS hurst, round(r2, 6) AS r2, CASE WHEN hurst > 0.5 + band THEN 'PERSISTENT' WHEN hurst < 0.5 - band THEN 'ANTIPERSISTENT' ELSE 'DIFFUSIVE' END AS verdict FROM s""")
 def texture(spark, d):
-    return _rounded(S.texture(_t(spark, d, "events"), "event_type", "ts", "value", _LAGS), 6)
+    return _rounded(S.texture(_t(spark, d, "events"), "event_type", "ts", "value"), 6)
 
 
 @register("precedence_area", """
@@ -349,7 +365,7 @@ def precedence_null(spark, d):
     SELECT event_type, n, round(sqrt((n + 1) / (n - 1) * (n * r - 1)), 6) AS cadence FROM r""")
 def cadence_index(spark, d):
     e = _t(spark, d, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    return _rounded(S.cadence(e, "event_type", "t").select("event_type", "n", "cadence"), 6)
+    return _rounded(S.cadence(e, "event_type", "t").where("refused is null").select("event_type", "n", "cadence"), 6)
 
 
 @register("jackknife")
@@ -357,6 +373,8 @@ def jackknife(spark, d):
     return S.jackknife(_t(spark, d, "events"), "event_type", "ts", "value")
 
 
-@register("coherence")
+@register("coherence", """
+    WITH s AS (SELECT event_type, atan2(lead(user_id) OVER w - user_id, lead(value) OVER w - value) AS t FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts))
+    SELECT event_type, round(sqrt(pow(avg(cos(t)), 2) + pow(avg(sin(t)), 2)), 8) AS coherence FROM s WHERE t IS NOT NULL GROUP BY event_type""")
 def coherence(spark, d):
-    return S.coherence(_t(spark, d, "events"), "event_type", "ts", "value", "user_id")
+    return _rounded(S.coherence(_t(spark, d, "events"), "event_type", "ts", "value", "user_id"))

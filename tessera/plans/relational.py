@@ -166,9 +166,13 @@ def sort_multi(spark, d):
     return R.page(_t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), ["c_nationkey", F.desc("c_acctbal"), "c_custkey"])
 
 
-@register("limit_unsorted", "SELECT 20::BIGINT AS n")
+@register("limit_unsorted", "SELECT 20::BIGINT AS n, 20::BIGINT AS distinct_keys, 20::BIGINT AS known")
 def limit_unsorted(spark, d):
-    return _t(spark, d, "orders").limit(20).agg(F.count("*").alias("n"))
+    """Which rows come is free: twenty, of different keys, all of them rows of the table."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    known = o.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"))
+    some = o.limit(20).join(known, F.expr("o_orderkey = k and o_totalprice = p"), "left")
+    return some.agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("distinct_keys"), F.count("k").alias("known"))
 
 
 @register("overlay_merge", """
@@ -424,29 +428,29 @@ def generate_series(spark, d):
     return R.series(spark, 5, 100, 5, v=0)
 
 
-_SPARSE = "(SELECT event_type, (epoch_us(ts) // 43200000000 - 39447)::BIGINT AS t, round(avg(value), 6) AS v FROM events WHERE event_id % 9 = 0 GROUP BY ALL)"
+_SPARSE = "(SELECT event_type, (epoch_us(ts) // 600000000 - 2840112)::BIGINT AS t, avg(value) AS v FROM events GROUP BY ALL)"
 
 
 def _sparse(spark, d):
-    e = _t(spark, d, "events").where("event_id % 9 = 0")
-    t = F.expr("unix_seconds(cast(ts as timestamp)) div 43200 - 39447")
-    return e.groupBy("event_type", t.alias("t")).agg(F.round(F.avg("value"), 6).alias("v"))
+    """Means of ten-minute slots, many of them empty, of the thirty days from 2024-01-01."""
+    t = F.expr("unix_seconds(cast(ts as timestamp)) div 600 - 2840112")
+    return _t(spark, d, "events").groupBy("event_type", t.alias("t")).agg(F.avg("value").alias("v"))
 
 
 @register("fill_linear", f"""
-    WITH s AS {_SPARSE}, g AS (SELECT event_type, t FROM (SELECT DISTINCT event_type FROM s), (SELECT unnest(range(0, 60)) AS t)),
+    WITH s AS {_SPARSE}, g AS (SELECT event_type, t FROM (SELECT DISTINCT event_type FROM s), (SELECT unnest(range(0, 4320)) AS t)),
     j AS (SELECT g.event_type, g.t, s.v, max(s.t) OVER a AS ta, min(s.t) OVER b AS tb FROM g LEFT JOIN s ON g.event_type = s.event_type AND g.t = s.t
         WINDOW a AS (PARTITION BY g.event_type ORDER BY g.t ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY g.event_type ORDER BY g.t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT j.event_type, j.t, round(CASE WHEN ta = tb THEN x.v ELSE x.v + (y.v - x.v) / (tb - ta) * (j.t - ta) END, 6) AS v
+    SELECT j.event_type, j.t, round(CASE WHEN ta = tb THEN x.v ELSE x.v + (y.v - x.v) / (tb - ta) * (j.t - ta) END, 9) AS v
     FROM j LEFT JOIN s x ON x.event_type = j.event_type AND x.t = ta LEFT JOIN s y ON y.event_type = j.event_type AND y.t = tb""")
 def fill_linear(spark, d):
-    out = R.filled(_sparse(spark, d), "event_type", "t", "v", 0, 59)
-    return out.withColumn("v", F.round("v", 6))
+    out = R.filled(_sparse(spark, d), "event_type", "t", "v", 0, 4319)
+    return out.withColumn("v", F.round("v", 9))
 
 
 @register("fill_transport", f"""
-    WITH s AS {_SPARSE}, g AS (SELECT event_type, t FROM (SELECT DISTINCT event_type FROM s), (SELECT unnest(range(0, 60)) AS t))
-    SELECT g.event_type, g.t, last_value(v IGNORE NULLS) OVER (PARTITION BY g.event_type ORDER BY g.t ROWS UNBOUNDED PRECEDING) AS v
+    WITH s AS {_SPARSE}, g AS (SELECT event_type, t FROM (SELECT DISTINCT event_type FROM s), (SELECT unnest(range(0, 4320)) AS t))
+    SELECT g.event_type, g.t, round(last_value(v IGNORE NULLS) OVER (PARTITION BY g.event_type ORDER BY g.t ROWS UNBOUNDED PRECEDING), 9) AS v
     FROM g LEFT JOIN s ON g.event_type = s.event_type AND g.t = s.t""")
 def fill_transport(spark, d):
-    return R.filled(_sparse(spark, d), "event_type", "t", "v", 0, 59, "transport")
+    return R.filled(_sparse(spark, d), "event_type", "t", "v", 0, 4319, "transport").withColumn("v", F.round("v", 9))
