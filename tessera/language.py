@@ -17,8 +17,10 @@ from .operators import anomaly as A
 from .operators import geometry as G
 from .operators import patterns as PT
 from .operators import relational as R
+from .operators import vectors as V
 from .operators import writes as WR
 from .sources import catalog_views, files
+from .verbs import Verbs
 
 _WORDS = re.compile(r"\s*(?:(--[^\n]*)|('(?:[^'\\]|\\.|'')*')|([A-Za-z_][A-Za-z_0-9.]*)|(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(<=|>=|!=|<>|[-+*/%=<>(),;.:]))")
 _MEASURES = {
@@ -52,7 +54,7 @@ class Session:
         return out
 
 
-class _Parser:
+class _Parser(Verbs):
     def __init__(self, session: Session, text: str):
         self.s, self.at, self.tokens = session, 0, []
         text, i = text.rstrip(), 0
@@ -172,6 +174,8 @@ class _Parser:
             return p
         if self.take("NOT"):
             return ~self.atom(df)
+        if self.function_ahead():
+            return self.compared(df)
         f = self.field(df)
         if self.take("VOID"):
             return P.void(f)
@@ -200,6 +204,44 @@ class _Parser:
                 return p(f, self._literal(df, f, self.value()))
         raise LanguageError(f"no condition after {f}")
 
+    # -- Row functions: CURVATURE(f), CONFIDENCE(), ANOMALY(), Z_SCORE() --------------------------
+
+    _FUNCTIONS = ("CURVATURE", "CONFIDENCE", "ANOMALY", "Z_SCORE", "CAPACITY")
+
+    def function_ahead(self) -> bool:
+        return any(self.peek(w, "(") for w in self._FUNCTIONS)
+
+    def function(self, df: DataFrame) -> Column:
+        word = self.name().upper()
+        self.need("(")
+        f = self.field(df) if word == "CURVATURE" and not self.peek(")") else None
+        self.need(")")
+        name = {"CURVATURE": f"__k_{f}" if f else "__kappa", "CONFIDENCE": "__confidence", "ANOMALY": "__anomaly", "Z_SCORE": "__z", "CAPACITY": "__capacity"}[word]
+        if name not in df.columns:
+            raise LanguageError(f"{word}() is not known here")
+        return F.col(name)
+
+    def compared(self, df: DataFrame) -> Column:
+        c = self.function(df)
+        for sign, op in (("=", "__eq__"), ("!=", "__ne__"), ("<=", "__le__"), (">=", "__ge__"), ("<", "__lt__"), (">", "__gt__")):
+            if self.take(sign):
+                return getattr(c, op)(F.lit(self.value()))
+        raise LanguageError("a comparison is wanted")
+
+    def with_functions(self, n: str, df: DataFrame) -> DataFrame:
+        """df with the columns that row functions of the statement read; none if it has no such."""
+        ahead = self.tokens[self.at :]
+        if not any(k == "word" and str(v).upper() in self._FUNCTIONS and ahead[i + 1 : i + 2] == [("sign", "(")] for i, (k, v) in enumerate(ahead)):
+            return df
+        fields = self.numeric(n, df)
+        stats = G.field_stats(df, fields)
+        rows = df.join(F.broadcast(stats), F.lit(True)).withColumn("__kappa", G.kappa(fields))
+        rows = rows.withColumns({f"__k_{f}": F.abs(F.col(f) - F.col(f"m_{f}")) / F.col(f"r_{f}") for f in fields}).drop(*stats.columns)
+        of = rows.agg(F.avg("__kappa").alias("__mu"), F.stddev_pop("__kappa").alias("__sd"))
+        rows = rows.join(F.broadcast(of), F.lit(True))
+        z = F.when(F.col("__sd") > 0, (F.col("__kappa") - F.col("__mu")) / F.col("__sd")).otherwise(0.0)
+        return rows.withColumns({"__z": z, "__anomaly": z > 2, "__confidence": 1 / (1 + F.col("__kappa")), "__capacity": 1 / F.col("__kappa")}).drop("__mu", "__sd")
+
     def _literal(self, df: DataFrame, f: str, v):
         return P.at(v) if dict(df.dtypes)[f].startswith("timestamp") and isinstance(v, (str, int)) else v
 
@@ -292,6 +334,8 @@ class _Parser:
                 c = self.arithmetic(df)
                 self.need(")")
                 return c
+            if self.function_ahead():
+                return self.function(df)
             return F.col(self.field(df))
 
         c = one()
@@ -333,11 +377,23 @@ class _Parser:
         do = getattr(self, f"do_{verb.lower()}", None)
         if do is None:
             raise LanguageError(f"no statement {verb}")
-        return do()
+        try:
+            return do()
+        except ValueError as e:
+            raise e if isinstance(e, LanguageError) else LanguageError(str(e)) from e
 
     def do_cover(self):
         n, df = self.table()
+        df = self.with_functions(n, df)
+        if self.take("NEAR"):
+            at = {k: float(v) for k, v in self.listed(self.pair)}
+            self.need("WITHIN")
+            within = float(self.number())
+            metric = "cosine" if self.take("METRIC", "COSINE") else "euclid"
+            row = df.agg(*[(F.max(f) - F.min(f)).cast("double").alias(f) for f in at]).first()
+            df = V.near(df, at, within, {f: row[f] or 1.0 for f in at}, metric).orderBy("distance", self.s.keys.get(n))
         out = self.tail(self.filtered(df), self.s.keys.get(n))
+        out = out.drop(*[c for c in out.columns if c.startswith("__")])
         if self.take("EMIT"):
             kind = self.name().upper()
             if self.take("TO"):
@@ -466,6 +522,8 @@ class _Parser:
         return R.glued(a, b, a.columns[0]) if self.take("CHECK", "OVERLAP") else a.unionByName(b).distinct()
 
     def do_with(self):
+        if self.take("RECURSIVE"):
+            return self._recursive()
         n = self.name()
         self.need("AS")
         held, key = self.s.tables.get(n), self.s.keys.get(n)
@@ -478,6 +536,38 @@ class _Parser:
             else:
                 self.s.tables[n], self.s.keys[n] = held, key
 
+    def _recursive(self):
+        """WITH RECURSIVE n AS ((base) UNION (step)) statement: the step, which names n, runs over the
+        rows found last until it finds no new one."""
+        n = self.name()
+        self.need("AS")
+        self.need("(")
+        found = front = R.cut(self.query().distinct())
+        self.need("UNION")
+        start = self.at
+        key = found.columns[0]
+        while True:
+            self.at = start
+            held = self.s.tables.get(n), self.s.keys.get(n)
+            self.s.add(n, front, key)
+            new = self.query().toDF(*found.columns).distinct().exceptAll(found)
+            front = R.cut(new)
+            self.s.tables.pop(n), self.s.keys.pop(n)
+            if held[0] is not None:
+                self.s.tables[n], self.s.keys[n] = held
+            if front.isEmpty():
+                break
+            found = R.cut(found.unionByName(front))
+        self.need(")")
+        held = self.s.tables.get(n), self.s.keys.get(n)
+        self.s.add(n, found, key)
+        try:
+            return self.statement()
+        finally:
+            self.s.tables.pop(n), self.s.keys.pop(n)
+            if held[0] is not None:
+                self.s.tables[n], self.s.keys[n] = held
+
     def do_lens(self):
         n = self.name()
         self.need("AS")
@@ -503,7 +593,12 @@ class _Parser:
     def do_diff(self):
         _, a = self.table()
         self.need("AGAINST")
-        return R.difference(a, self.table()[1])
+        _, b = self.table()
+        if self.take("SHOW", "CURVATURE"):
+            fields = [c for c, k in a.dtypes if k in ("int", "bigint", "float", "double") and c in b.columns]
+            ka, kb = (G.curvature(x, fields).select(F.col("k").alias(f"k_{side}")) for x, side in ((a, "a"), (b, "b")))
+            return ka.join(F.broadcast(kb), F.lit(True)).withColumn("delta_k", F.col("k_b") - F.col("k_a"))
+        return R.difference(a, b)
 
     def do_iterate(self):
         _, df = self.table()
@@ -515,6 +610,11 @@ class _Parser:
         depth = 100 if self.take("VOID") else (self.need("DEPTH"), self.number())[1]
         if self.take("MAX", "DEPTH"):
             depth = min(depth, self.number())
+        if self.take("ACCUMULATE"):
+            self.need("SUM", "(")
+            total = self.field(df)
+            self.need(")")
+            return R.iterate(df, key, step, start, depth, total)
         return R.iterate(df, key, step, start, depth)
 
     def do_curvature(self):
@@ -588,6 +688,9 @@ class _Parser:
         return out
 
     def do_show(self):
+        more = self.show_more()
+        if more is not None:
+            return more
         self.need("BUNDLES")
         rows = [(n, self.s.keys[n], len(df.columns)) for n, df in sorted(self.s.tables.items())]
         return self.s.spark.createDataFrame(rows, "name string, key string, fields int")
@@ -596,6 +699,8 @@ class _Parser:
         return catalog_views.fields(self.table()[1])
 
     def do_explain(self):
+        if self.take("SECTION"):
+            return self.do_explain_section()
         df = self.statement()
         said = df._jdf.queryExecution().explainString(self.s.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         return self.s.spark.createDataFrame([(said,)], "plan string")
