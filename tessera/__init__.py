@@ -1,3 +1,3 @@
 """tessera: geometric, relational and corpus analytics expressed as Spark plans."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

@@ -117,3 +117,8 @@ def at(literal) -> Column:
     if not re.fullmatch(r"\d{4}-\d\d-\d\d(?:[ T]\d\d:\d\d(?::\d\d(?:\.\d{1,3})?)?Z?)?", text):
         raise ValueError(f"not a timestamp: {literal!r}")
     return F.lit(text.rstrip("Z").replace("T", " ")).cast("timestamp_ntz")
+
+
+def iso(field) -> Column:
+    """A timestamp as ISO 8601 text in UTC with milliseconds, as at() reads it."""
+    return F.date_format(field, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -56,7 +56,7 @@ class Session:
 
 class _Parser(Verbs):
     def __init__(self, session: Session, text: str):
-        self.s, self.at, self.tokens = session, 0, []
+        self.s, self.at, self.tokens, self.bundle = session, 0, [], None
         text, i = text.rstrip(), 0
         while i < len(text):
             m = _WORDS.match(text, i)
@@ -144,7 +144,7 @@ class _Parser(Verbs):
         return n, self.value()
 
     def table(self) -> tuple[str, DataFrame]:
-        n = self.name()
+        n = self.bundle = self.name()
         if n == "__bundles__":
             return n, catalog_views.bundles(self.s.spark)
         if n in self.s.lenses:
@@ -206,6 +206,7 @@ class _Parser(Verbs):
 
     # -- Row functions: CURVATURE(f), CONFIDENCE(), ANOMALY(), Z_SCORE() --------------------------
 
+    _SYSTEM = ("CURRENT_ROLE", "CURRENT_BUNDLE", "VERSION")
     _FUNCTIONS = ("CURVATURE", "CONFIDENCE", "ANOMALY", "Z_SCORE", "CAPACITY")
 
     def function_ahead(self) -> bool:
@@ -336,6 +337,12 @@ class _Parser(Verbs):
                 return c
             if self.function_ahead():
                 return self.function(df)
+            if any(self.peek(w, "(", ")") for w in self._SYSTEM):
+                word = self.name().upper()
+                self.need("(", ")")
+                from . import __version__
+
+                return {"CURRENT_ROLE": F.current_user(), "CURRENT_BUNDLE": F.lit(self.bundle), "VERSION": F.lit(__version__)}[word]
             return F.col(self.field(df))
 
         c = one()

@@ -257,3 +257,64 @@ def kappa_rank(df: DataFrame, fields) -> DataFrame:
 def sameness_rank(df: DataFrame, fields, reference: dict[str, float]) -> DataFrame:
     """df with same, dist and sameness_rank, 1 for the record most like the reference."""
     return ranks(sameness(df, fields, reference), "same", "sameness_rank")
+
+
+def shard_state(df: DataFrame, fields, shard: str) -> DataFrame:
+    """(shard, field, n, mean, m2, low, high): what a shard knows of each field."""
+    row = df.groupBy(shard).agg(*[F.struct(F.count(f).alias("n"), F.avg(f).alias("mean"), (F.var_pop(f) * F.count(f)).alias("m2"), F.min(f).cast("double").alias("low"), F.max(f).cast("double").alias("high")).alias(f) for f in fields])
+    return row.select(F.col(shard).alias("shard"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), *[F.col(f)[x].alias(x) for x in ("n", "mean", "m2", "low", "high")]) for f in fields])))
+
+
+def merged_curvature(states: DataFrame) -> DataFrame:
+    """(k): the whole table's curvature from the states of its shards alone."""
+    n, total = F.sum("n"), F.sum(F.col("n") * F.col("mean"))
+    m2 = F.sum("m2") + F.sum(F.col("n") * F.col("mean") * F.col("mean")) - total * total / n
+    per = states.where("n > 0").groupBy("field").agg((m2 / n / F.pow(F.max("high") - F.min("low"), 2)).alias("k"), n.alias("n")).where("n >= 2")
+    return per.agg(F.avg("k").alias("k"))
+
+
+def inpainted(df: DataFrame, key: str, fields) -> DataFrame:
+    """(key, fields): records with missing fields, these filled by their conditional means under the
+    Gaussian fitted to complete records. Only a matrix of fields reaches the driver."""
+    import numpy as np
+    import pandas as pd
+
+    from .vectors import moments
+
+    x = F.array(*[F.col(f).cast("double") for f in fields])
+    whole = df.dropna(subset=list(fields)).select(x.alias("v"))
+    n, mean, cov = moments(whole, "v")
+    if not n:
+        raise ValueError("no complete record")
+
+    def fill(batches):
+        for pdf in batches:
+            v = pdf[list(fields)].to_numpy(float)
+            for missing in {tuple(m) for m in np.isnan(v)}:
+                at, m = np.flatnonzero((np.isnan(v) == missing).all(1)), np.array(missing)
+                k = ~m
+                if k.any():
+                    v[np.ix_(at, m)] = mean[m] + (v[np.ix_(at, k)] - mean[k]) @ np.linalg.pinv(cov[np.ix_(k, k)]) @ cov[np.ix_(k, m)]
+                else:
+                    v[np.ix_(at, m)] = mean[m]
+            yield pd.DataFrame({key: pdf[key], **{f: v[:, i] for i, f in enumerate(fields)}})
+
+    gaps = df.where(" or ".join(f"`{f}` is null" for f in fields)).select(key, *[F.col(f).cast("double") for f in fields])
+    return gaps.mapInPandas(fill, f"{key} {dict(df.dtypes)[key]}, " + ", ".join(f"{f} double" for f in fields))
+
+
+def stepped(df: DataFrame, key: str, fields, rate: float = 0.1) -> DataFrame:
+    """(key, fields): each record moved one natural-gradient step up the fitted diagonal Gaussian:
+    v + rate (mean - v), the Fisher metric cancelling the variance."""
+    m = df.agg(*[F.avg(f).alias(f"__m_{f}") for f in fields])
+    return df.join(F.broadcast(m), F.lit(True)).select(key, *[(F.col(f) + rate * (F.col(f"__m_{f}") - F.col(f))).alias(f) for f in fields])
+
+
+def path_to_nearest(df: DataFrame, key: str, fields, at: dict[str, float], steps: int = 4) -> DataFrame:
+    """(step, key, fields): the straight path from a point to the nearest record, each field over
+    its range; ties to the lesser key."""
+    row = df.agg(*[_range(f).alias(f) for f in fields])
+    d = sum((F.pow((F.col(f) - float(at[f])) / F.col(f"__r_{f}"), 2) for f in fields), F.lit(0.0))
+    near = df.join(F.broadcast(row.select(*[F.col(f).alias(f"__r_{f}") for f in fields])), F.lit(True)).orderBy(d, key).limit(1)
+    step = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step")
+    return near.select(step, key, *fields).select("step", key, *[(F.lit(float(at[f])) + F.col("step") / steps * (F.col(f) - float(at[f]))).alias(f) for f in fields])

@@ -91,3 +91,59 @@ def belief_distances(p: DataFrame, q: DataFrame, on: str, weight: str) -> DataFr
     both = both.join(F.broadcast(total), F.lit(True)).select((F.col("a") / F.col("ta")).alias("p"), (F.col("b") / F.col("tb")).alias("q"))
     kl = F.when(F.sum(F.when((F.col("p") > 0) & (F.col("q") == 0), 1).otherwise(0)) == 0, F.sum(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("p") * F.log2(F.col("p") / F.col("q"))).otherwise(0.0)))
     return both.agg((F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("tv"), F.sqrt(F.sum(F.pow(F.sqrt("p") - F.sqrt("q"), 2)) / 2).alias("hellinger"), kl.alias("kl_bits"))
+
+
+def recovered_quantile(w: str, a: float, b: float, p: float) -> Column:
+    """The p-quantile of v from w = a v + b; a negative map turns the order round."""
+    return (F.percentile(w, p if a > 0 else 1 - p) - F.lit(b)) / F.lit(a)
+
+
+def recovered_extremes(w: str, a: float, key: str) -> dict[str, Column]:
+    """Keys of the least and the greatest v under w = a v + b, ties to the lesser key."""
+    first = F.min(F.struct(F.col(w), F.col(key)))[key]
+    last = F.min(F.struct((-F.col(w)).alias("w"), F.col(key)))[key]
+    return {"argmin": first if a > 0 else last, "argmax": last if a > 0 else first}
+
+
+def _levels(df: DataFrame, key: str) -> list[DataFrame]:
+    """All levels of the Merkle tree of df, (i, h) from the leaves to the root."""
+    leaf = F.sha2(F.to_json(F.struct(*sorted(df.columns))).cast("binary"), 256)
+    level = cut(numbered_rows(df.select(F.col(key).alias("k"), leaf.alias("h")), ["k", "h"]).select("i", "h"))
+    out, n = [level], level.count()
+    while n > 1:
+        level = level.groupBy((F.col("i") / 2).cast("long").alias("i")).agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("p"))
+        level = cut(level.select("i", F.when(F.size("p") == 2, F.sha2(F.concat(F.col("p")[0]["h"], F.col("p")[1]["h"]).cast("binary"), 256)).otherwise(F.col("p")[0]["h"]).alias("h")))
+        out.append(level)
+        n = (n + 1) // 2
+    return out
+
+
+def inclusion_proof(df: DataFrame, key: str, value) -> DataFrame:
+    """(level, side, hash): the siblings on the way from the record at `value` to the root of
+    merkle_root, one lookup a level; side says where the sibling stands. No rows for no record."""
+    kind = "level int, side string, hash string"
+    spark = df.sparkSession
+    before = df.where(F.col(key) < F.lit(value)).count()
+    if df.where(F.col(key) == F.lit(value)).limit(1).count() == 0:
+        return spark.createDataFrame([], kind)
+    i, rows = before, []
+    for n, level in enumerate(_levels(df, key)):
+        if (near := level.where(F.col("i") == (i ^ 1)).first()) is not None:
+            rows.append((n, "left" if i & 1 else "right", near["h"]))
+        i >>= 1
+    return spark.createDataFrame(rows, kind)
+
+
+def leaf_of(record: dict) -> str:
+    """The leaf of a record whose values JSON says as Spark does (integers, texts, booleans)."""
+    import json
+
+    said = json.dumps({k: record[k] for k in sorted(record) if record[k] is not None}, separators=(",", ":"), ensure_ascii=False)
+    return hashlib.sha256(said.encode()).hexdigest()
+
+
+def verify_proof(leaf: str, proof: list, root: str) -> bool:
+    """Whether the proof's rows (level, side, hash) lead from the leaf to the root."""
+    for _, side, other in sorted(proof):
+        leaf = hashlib.sha256(((other + leaf) if side == "left" else (leaf + other)).encode()).hexdigest()
+    return hmac.compare_digest(leaf, root)

@@ -180,6 +180,30 @@ def regression(df: DataFrame, y: str, xs, ridge: float = 0.0) -> DataFrame:
     return df.sparkSession.createDataFrame(list(zip(["intercept", *xs], map(float, beta))), "term string, coefficient double")
 
 
+def ridge_path(df: DataFrame, y: str, xs, ridges) -> DataFrame:
+    """(ridge, loo): for each ridge the root mean squared leave-one-out error, exactly, from the
+    leverages of one fit: a residual over 1 - h. The Gram matrix takes one pass and all errors a
+    second; rows with a null are left out."""
+    import numpy as np
+
+    rows = df.dropna(subset=[y, *xs])
+    terms = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
+    p = len(terms)
+    sums = {f"g{i}_{j}": F.sum(terms[i] * terms[j]) for i in range(p) for j in range(i, p)} | {f"y{i}": F.sum(t * F.col(y)) for i, t in enumerate(terms)}
+    row = rows.agg(*[s.alias(n) for n, s in sums.items()]).first()
+    g = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], float)
+    b = np.array([row[f"y{i}"] for i in range(p)], float)
+    errors = []
+    for n, ridge in enumerate(ridges):
+        inverse = np.linalg.inv(g + np.diag([0.0, *[float(ridge)] * (p - 1)]))
+        beta = inverse @ b
+        fit = sum((float(beta[i]) * terms[i] for i in range(p)), F.lit(0.0))
+        h = sum((float(inverse[i, j]) * terms[i] * terms[j] for i in range(p) for j in range(p)), F.lit(0.0))
+        errors.append(F.sqrt(F.avg(F.pow((F.col(y) - fit) / (1 - h), 2))).alias(f"e{n}"))
+    out = rows.agg(*errors)
+    return out.select(F.inline(F.array(*[F.struct(F.lit(float(r)).alias("ridge"), F.col(f"e{n}").alias("loo")) for n, r in enumerate(ridges)])))
+
+
 def factors(df: DataFrame, user: str, item: str, rating: str, rank: int = 4, seed: int = 1) -> DataFrame:
     """(rmse, n): fit of alternating least squares to ratings with the mean taken off."""
     from pyspark.ml.recommendation import ALS

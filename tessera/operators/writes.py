@@ -92,3 +92,25 @@ def apply_all(df: DataFrame, steps) -> DataFrame:
 
 def refuse_transaction(verb: str) -> None:
     raise NotImplementedError(f"{verb}: tables have no open transactions; apply_all changes them as a whole")
+
+
+def add_field(df: DataFrame, name: str, kind: str, default=None) -> DataFrame:
+    """df with a new field of a type, its default everywhere."""
+    if name in df.columns:
+        raise ValueError(f"field {name} is there")
+    return df.withColumn(name, F.lit(default).cast(kind))
+
+
+def drop_field(df: DataFrame, name: str, keys=()) -> DataFrame:
+    """df without a field; a key field, or one that is not there, is refused."""
+    if name not in df.columns or name in keys:
+        raise ValueError(f"field {name} cannot be dropped")
+    return df.drop(name)
+
+
+def collapsed(df: DataFrame, keys, branch: int) -> DataFrame:
+    """The rows of one branch, and of keys that it lacks those of branch 0, without the column."""
+    keys = list(keys)
+    own = df.where(F.col("branch") == branch)
+    rest = df.where("branch = 0").join(own.select(*keys), keys, "left_anti") if branch else df.limit(0)
+    return own.unionByName(rest).drop("branch")

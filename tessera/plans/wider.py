@@ -11,8 +11,10 @@ from ..operators import geometry as G
 from ..operators import graph as GR
 from ..operators import inference as I
 from ..operators import relational as R
+from ..operators import sealing as SE
 from ..operators import series as S
 from ..operators import vectors as V
+from ..operators import writes as WR
 from .catalog import register, table
 
 
@@ -222,3 +224,80 @@ def cadence_full(spark, d):
 @register("pca_report")
 def pca_report(spark, d):
     return V.pca_report(_t(spark, d, "embeddings"), "embedding", 5)
+
+
+@register("sharded_curvature", "SELECT round((var_pop(o_totalprice) / pow(max(o_totalprice) - min(o_totalprice), 2) + var_pop(o_custkey) / pow(max(o_custkey) - min(o_custkey), 2)) / 2, 8) AS k FROM orders")
+def sharded_curvature(spark, d):
+    return G.merged_curvature(G.shard_state(_t(spark, d, "orders"), ["o_totalprice", "o_custkey"], "o_orderpriority")).withColumn("k", F.round("k", 8))
+
+
+@register("ridge_loo")
+def ridge_loo(spark, d):
+    return V.ridge_path(_t(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_tax"], [0.0, 10.0, 1000.0])
+
+
+@register("inpaint", """
+    WITH h AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS p, o_custkey::DOUBLE AS c FROM orders), m AS (SELECT avg(p) AS mp, avg(c) AS mc, covar_pop(p, c) / var_pop(c) AS b FROM h WHERE p IS NOT NULL)
+    SELECT o_orderkey, round(mp + b * (c - mc), 4) AS o_totalprice, c AS o_custkey FROM h, m WHERE p IS NULL""")
+def inpaint(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")).alias("o_totalprice"), "o_custkey")
+    return G.inpainted(o, "o_orderkey", ["o_totalprice", "o_custkey"]).withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
+@register("predict_step", "SELECT c_custkey, round(c_acctbal + 0.1 * ((SELECT avg(c_acctbal) FROM customer) - c_acctbal), 6) AS c_acctbal FROM customer")
+def predict_step(spark, d):
+    return _rounded(G.stepped(_t(spark, d, "customer"), "c_custkey", ["c_acctbal"]))
+
+
+@register("path_to_nearest", """
+    WITH r AS (SELECT max(c_acctbal) - min(c_acctbal) AS ra, (max(c_nationkey) - min(c_nationkey))::DOUBLE AS rn FROM customer), n AS (SELECT c_custkey, c_acctbal, c_nationkey FROM customer, r ORDER BY pow((c_acctbal - 100) / ra, 2) + pow((c_nationkey - 3) / rn, 2), c_custkey LIMIT 1)
+    SELECT s::INT AS step, c_custkey, round(100 + s / 4 * (c_acctbal - 100), 6) AS c_acctbal, round(3 + s / 4 * (c_nationkey - 3), 6) AS c_nationkey FROM n, range(0, 5) t(s)""")
+def path_to_nearest(spark, d):
+    return _rounded(G.path_to_nearest(_t(spark, d, "customer"), "c_custkey", ["c_acctbal", "c_nationkey"], {"c_acctbal": 100.0, "c_nationkey": 3.0}))
+
+
+@register("affine_quantile_recovery", "SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.9), 4) AS q90, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS argmin, arg_min(o_orderkey, (-o_totalprice, o_orderkey)) AS argmax FROM orders GROUP BY o_orderstatus")
+def affine_quantile_recovery(spark, d):
+    o = _t(spark, d, "orders").select("o_orderstatus", "o_orderkey", SE.affine("o_totalprice", -2.0, 7.0).alias("w"))
+    ends = SE.recovered_extremes("w", -2.0, "o_orderkey")
+    return o.groupBy("o_orderstatus").agg(F.round(SE.recovered_quantile("w", -2.0, 7.0, 0.9), 4).alias("q90"), *[c.alias(n) for n, c in ends.items()])
+
+
+@register("inclusion_proof")
+def inclusion_proof(spark, d):
+    return SE.inclusion_proof(_t(spark, d, "nation"), "n_nationkey", 7)
+
+
+@register("returning", "SELECT s_suppkey, s_acctbal + 10 AS s_acctbal, s_acctbal AS old_s_acctbal FROM supplier WHERE s_nationkey < 5")
+def returning(spark, d):
+    s = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    after = WR.increment(s, F.col("s_nationkey") < 5, "s_acctbal", 10)
+    return WR.returning(s, after, ["s_suppkey"]).select("s_suppkey", "s_acctbal", "old_s_acctbal")
+
+
+@register("transplant", "SELECT n_nationkey, n_name, 9 AS n_regionkey FROM nation WHERE n_regionkey = 0 UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 1")
+def transplant(spark, d):
+    """Nations of region 1 go over to those of region 0, which came first and are renumbered."""
+    n = _t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    to = WR.update(n.where("n_regionkey = 0"), F.lit(True), n_regionkey=9)
+    source, target = WR.transplant(n, to, F.col("n_regionkey") == 1, retract=True)
+    return target.join(source.select("n_nationkey"), "n_nationkey", "left_anti").unionByName(target.where("n_regionkey = 9")).distinct()
+
+
+@register("schema_change", "SELECT r_regionkey, 'none' AS note FROM region")
+def schema_change(spark, d):
+    return WR.drop_field(WR.add_field(_t(spark, d, "region"), "note", "string", "none"), "r_name", ["r_regionkey"])
+
+
+@register("collapse_branch", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal + 100 ELSE s_acctbal END AS s_acctbal FROM supplier")
+def collapse_branch(spark, d):
+    s = _t(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    both = X.resolved(s, s.where("s_suppkey % 2 = 0").withColumn("s_acctbal", F.col("s_acctbal") + 100), "s_suppkey", "s_acctbal", 10.0, "branch")
+    return WR.collapsed(both, ["s_suppkey"], 1)
+
+
+@register("fn_iso", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS said, epoch_us(ts) // 1000 AS ms FROM events")
+def fn_iso(spark, d):
+    from ..functions import predicates as P
+
+    return _t(spark, d, "events").select("event_id", P.iso("ts").alias("said"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))

@@ -429,3 +429,55 @@ def test_medians_and_quantiles(spark):
     for share in (0, 0.5, 0.95, 1):
         assert A.quantile(df, "v", share) == pytest.approx(np.quantile(v, share))
     assert A.quantile(df.limit(0), "v", 0.5) is None and GR.completed(df.limit(0).selectExpr("1 as k", "g", "v"), "k", "v", "g").count() == 0
+
+
+def test_leave_one_out(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 2))
+    y = x @ [1.0, -2.0] + rng.normal(size=40)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)] + [(None, 1.0, 1.0)], "a double, b double, y double")
+    b = np.column_stack((np.ones(40), x))
+    for r in V.ridge_path(df, "y", ["a", "b"], [0.0, 3.0]).collect():
+        errors = []
+        for i in range(40):
+            k = np.arange(40) != i
+            beta = np.linalg.solve(b[k].T @ b[k] + np.diag([0, r["ridge"], r["ridge"]]), b[k].T @ y[k])
+            errors.append(y[i] - b[i] @ beta)
+        assert r["loo"] == pytest.approx(math.sqrt(np.mean(np.square(errors))))
+
+
+def test_inclusion_proofs(spark):
+    from tessera.operators import sealing as SE
+
+    for n in (1, 2, 7, 8):
+        df = spark.createDataFrame([(i, f"é{i}") for i in range(n)], "k int, v string")
+        root = SE.merkle_root(df, "k").first()["root"]
+        for i in (0, n - 1):
+            proof = [tuple(r) for r in SE.inclusion_proof(df, "k", i).collect()]
+            assert SE.verify_proof(SE.leaf_of({"k": i, "v": f"é{i}"}), proof, root)
+            assert not SE.verify_proof(SE.leaf_of({"k": i, "v": "x"}), proof, root)
+    assert SE.inclusion_proof(df, "k", 99).count() == 0
+
+
+def test_inpainting_patterns(spark):
+    from tessera.operators import geometry as G
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 3)) @ [[1, 0.5, 0], [0, 1, 0.3], [0, 0, 1]]
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)] + [(300, None, 1.0, None), (301, None, None, None), (302, 0.5, None, 2.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    got = {r["id"]: [r["a"], r["b"], r["c"]] for r in G.inpainted(df, "id", ["a", "b", "c"]).collect()}
+    m, c = x.mean(0), np.cov(x.T, bias=True)
+    assert set(got) == {300, 301, 302} and np.allclose(got[301], m)
+    assert np.allclose(got[300], [m[0] + c[0, 1] / c[1, 1] * (1 - m[1]), 1.0, m[2] + c[2, 1] / c[1, 1] * (1 - m[1])])
+    k = [0, 2]
+    assert got[302][1] == pytest.approx(m[1] + c[1, k] @ np.linalg.solve(c[np.ix_(k, k)], np.array([0.5, 2.0]) - m[k]))
+
+
+def test_schema_changes_are_checked(spark):
+    from tessera.operators import writes as WR
+
+    df = spark.createDataFrame([(1, 2)], "k int, v int")
+    for bad in (lambda: WR.add_field(df, "v", "int"), lambda: WR.drop_field(df, "k", ["k"]), lambda: WR.drop_field(df, "x")):
+        with pytest.raises(ValueError):
+            bad()
