@@ -17,9 +17,12 @@ BLOCK_CHARS = 1_000_000
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, as the cluster names it in spark.checkpoint.dir; where it
-    is unset (tests), a folder of the session's warehouse."""
+    is unset in a local session (tests), a folder of the session's warehouse. On a cluster it has to
+    be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,15 +35,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table made by stored() that no later plan reads."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
     """df, the session set to send Python workers batches of at most `most` bytes (or one row), as
     whole texts make large ones; a smaller setting stays."""
@@ -84,19 +78,21 @@ def blocks(texts: list, most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
 HOT_ROWS, MOST_HOT = 20_000, 1_000
 
 
-def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
+def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame | None:
     """(keys, salts) of the hot ones of counts (keys, rows), broadcast: fewer than MOST_HOT by
-    construction."""
+    construction. None if there are none, and joins need no salt."""
     counts = stored(counts, "counts")
     total = counts.agg(F.sum("rows")).first()[0] or 0
     least = max(HOT_ROWS if hot_rows is None else hot_rows, total // MOST_HOT)
     hot = counts.where(F.col("rows") > least).select(*keys, F.ceil(F.col("rows") / least).cast("int").alias("__salts"))
-    return F.broadcast(stored(hot, "hot"))
+    return None if hot.isEmpty() else F.broadcast(stored(hot, "hot"))
 
 
-def salts(df: DataFrame, hot: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+def salts(df: DataFrame, hot: DataFrame | None, keys: list[str], by: list[str] | None = None) -> DataFrame:
     """df with the column salt: a hot key's rows are dealt by the hash of `by` to as many parts as
     their number asks for; without `by`, they are repeated for each part."""
+    if hot is None:
+        return df.withColumn("salt", F.lit(0))
     n = F.coalesce("__salts", F.lit(1))
     salt = F.pmod(F.xxhash64(*by), n).cast("int") if by else F.explode(F.sequence(F.lit(0), n - 1))
     return df.join(hot, keys, "left").withColumn("salt", salt).drop("__salts")
@@ -108,6 +104,8 @@ def salted(left: DataFrame, right: DataFrame, key: str, by: list[str], counts: D
     counts: (key, rows) of left, if known; left must read stored tables, as it is also counted."""
     counts = left.groupBy(key).agg(F.count("*").alias("rows")) if counts is None else counts
     hot = hot_keys(counts, [key], hot_rows)
+    if hot is None:
+        return left.join(right, key)
     return salts(left, hot, [key], by).join(salts(right, hot, [key]), [key, "salt"]).drop("salt")
 
 
