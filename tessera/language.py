@@ -43,6 +43,13 @@ class Session:
         self.tables[name], self.keys[name] = df, key or df.columns[0]
         return self
 
+    def replace(self, name: str, df: DataFrame) -> None:
+        self.tables[name] = df
+
+    def generation(self) -> tuple:
+        """What changes whenever a table or lens does."""
+        return tuple(sorted((n, df._jdf.queryExecution().id()) for n, df in self.tables.items())), tuple(sorted(self.lenses.items()))
+
     def execute(self, text: str) -> DataFrame | None:
         """Runs the statements; the result of the last one."""
         out = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -89,3 +90,38 @@ def relaxation(df: DataFrame, pattern) -> DataFrame:
     v = violations(df, p.conjuncts).where("violated = 1")
     row = v.agg(*[F.count(F.when(~F.coalesce(F.expr(c), F.lit(False)), 1)).alias(f"c{i}") for i, c in enumerate(p.conjuncts)])
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("conjunct"), F.col(f"c{i}").alias("gained")) for i, c in enumerate(p.conjuncts)])))
+
+
+def explained(df: DataFrame, pattern, key: str, value) -> DataFrame:
+    """(depth, expression, value): the weight of one record, part by part: the expression and all
+    that it is made of, outermost first."""
+    p, spark = _pattern(pattern), df.sparkSession
+    parser = spark._jsparkSession.sessionState().sqlParser()
+    parts: list[tuple[int, str]] = []
+
+    def walk(node, depth):
+        parts.append((depth, node.sql()))
+        kids = node.children()
+        for i in range(kids.size()):
+            walk(kids.apply(i), depth + 1)
+
+    walk(parser.parseExpression(p.weight), 0)
+    row = df.where(F.col(key) == F.lit(value)).limit(1)
+    return row.select(F.inline(F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(e).alias("expression"), F.expr(e).cast("double").alias("value")) for d, e in parts])))
+
+
+def menu(df: DataFrame, pattern) -> DataFrame:
+    """(conjunct, gained, cost): what relaxing each conjunct alone would gain, and how far the nearest
+    of these rows is beyond a bound `field op number`, over the field's range (null for others)."""
+    p = _pattern(pattern)
+    v = violations(df, p.conjuncts).where("violated = 1")
+    rows = []
+    for i, c in enumerate(p.conjuncts):
+        m = re.fullmatch(r"\s*`?(\w+)`?\s*(<=|>=|<|>)\s*(-?[0-9.]+)\s*", c)
+        miss = ~F.coalesce(F.expr(c), F.lit(False))
+        cost = F.min(F.when(miss, F.abs(F.col(m[1]) - float(m[3])))) if m else F.lit(None).cast("double")
+        rows.append((c, F.count(F.when(miss, 1)).alias(f"n{i}"), cost.cast("double").alias(f"c{i}"), m))
+    spans = df.agg(F.lit(1).alias("one"), *[(F.max(m[1]) - F.min(m[1])).cast("double").alias(f"s{i}") for i, (_, _, _, m) in enumerate(rows) if m])
+    out = v.agg(*[x for _, n, c, _ in rows for x in (n, c)]).join(F.broadcast(spans), F.lit(True))
+    each = [F.struct(F.lit(c).alias("conjunct"), F.col(f"n{i}").alias("gained"), (F.col(f"c{i}") / F.col(f"s{i}") if m else F.lit(None).cast("double")).alias("cost")) for i, (c, _, _, m) in enumerate(rows)]
+    return out.select(F.inline(F.array(*each)))

@@ -45,13 +45,17 @@ def overlay(base: DataFrame, recent: DataFrame, keys, deleted: DataFrame | None
     return out.join(deleted.select(*keys), keys, "left_anti") if deleted is not None else out
 
 
-def pullback(left: DataFrame, right: DataFrame, along: str, onto: str | None = None, keep_left: bool = False) -> DataFrame:
+def pullback(left: DataFrame, right: DataFrame, along: str, onto: str | None = None, keep_left: bool = False, unique: bool = False) -> DataFrame:
     """Each left row with the right row its foreign key names, so there are at most as many rows as
     on the left: of right rows that repeat a key the least stands (rows are compared as structs).
     On equal names the left column stands. The right side is reduced to one row a key before the
-    join, on the key that the join shuffles by anyway."""
+    join, on the key that the join shuffles by anyway; `unique` says that it is one already, as a
+    table's own key is, and saves that step."""
     onto = onto or along
     fields = [c for c in right.columns if c not in left.columns and c != onto]
+    if unique:
+        r = right.select(F.col(onto).alias("__onto"), *fields)
+        return left.join(r, F.col(along) == F.col("__onto"), "left" if keep_left else "inner").drop("__onto")
     r = right.where(F.col(onto).isNotNull()).groupBy(F.col(onto).alias("__onto"))
     r = r.agg(F.min(F.struct(*fields)).alias("__r")).select("__onto", "__r.*") if fields else r.agg(F.lit(1).alias("__one")).drop("__one")
     return left.join(r, F.col(along) == F.col("__onto"), "left" if keep_left else "inner").drop("__onto")
@@ -117,10 +121,14 @@ def theta(left: DataFrame, right: DataFrame, condition: Column, equal=()) -> Dat
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut: written to the folder that the cluster names in spark.checkpoint.dir
-    and read back, which outlives lost executors; where that is unset (tests), to a folder of the
-    session's warehouse."""
-    conf = df.sparkSession.conf
-    folder = conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir').rstrip('/')}/_rounds"
+    and read back, which outlives lost executors; where that is unset in a local session (tests), to
+    a folder of the session's warehouse."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_rounds"
     path = f"{folder.rstrip('/')}/tessera-rounds/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

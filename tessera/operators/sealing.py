@@ -147,3 +147,55 @@ def verify_proof(leaf: str, proof: list, root: str) -> bool:
     for _, side, other in sorted(proof):
         leaf = hashlib.sha256(((other + leaf) if side == "left" else (leaf + other)).encode()).hexdigest()
     return hmac.compare_digest(leaf, root)
+
+
+def probabilistic(v, a: float, b: float, sigma: float, seed: int = 1) -> Column:
+    """a v + b with noise of deviation sigma: sums and means come back in expectation; with sigma
+    over 0 order statistics are refused by probabilistic_recovered."""
+    return F.lit(a) * F.col(v) + F.lit(b) + F.lit(sigma) * F.randn(seed)
+
+
+def probabilistic_recovered(w: str, a: float, b: float, sigma: float) -> dict[str, Column]:
+    r = recovered(w, a, b)
+    if sigma > 0:
+        return {k: r[k] for k in ("count", "sum", "avg")} | {"variance": (F.var_pop(w) - F.lit(sigma**2)) / F.lit(a * a)}
+    return r
+
+
+_PRIME = (1 << 521) - 1
+
+
+def split(secret: bytes, shares: int, needed: int, seed: bytes | None = None) -> list[tuple[int, int]]:
+    """Shamir's shares of a secret of up to 56 bytes, any `needed` of which give it back. Without a
+    seed the polynomial is drawn from the system's randomness."""
+    import secrets
+
+    if not 0 < needed <= shares or len(secret) > 56:
+        raise ValueError("0 < needed <= shares, and at most 56 bytes")
+
+    def draw(i: int) -> int:
+        return secrets.randbelow(_PRIME) if seed is None else int.from_bytes(hashlib.shake_256(seed + bytes([i])).digest(65), "big") % _PRIME
+
+    c = [int.from_bytes(b"\1" + secret + hashlib.sha256(secret).digest()[:7], "big"), *[draw(i) for i in range(1, needed)]]
+    return [(x, sum(k * pow(x, i, _PRIME) for i, k in enumerate(c)) % _PRIME) for x in range(1, shares + 1)]
+
+
+def joined(shares: list[tuple[int, int]]) -> bytes:
+    """The secret of enough shares."""
+    total = 0
+    for x, y in shares:
+        num = den = 1
+        for other, _ in shares:
+            if other != x:
+                num, den = num * -other % _PRIME, den * (x - other) % _PRIME
+        total += y * num * pow(den, -1, _PRIME)
+    whole = (total % _PRIME).to_bytes(66, "big").lstrip(b"\0")
+    secret = whole[1:-7]
+    if whole[:1] != b"\1" or hashlib.sha256(secret).digest()[:7] != whole[-7:]:
+        raise ValueError("not enough shares, or wrong ones")
+    return secret
+
+
+def ratchet(key: bytes, label: bytes = b"") -> tuple[bytes, bytes]:
+    """(next chain key, message key): neither leads back to the key."""
+    return hmac.new(key, b"\1" + label, hashlib.sha256).digest(), hmac.new(key, b"\2" + label, hashlib.sha256).digest()

@@ -43,7 +43,7 @@ def tpch_q3(spark, d) -> DataFrame:
     o = o.where(F.col("o_orderdate") < P.at("1998-03-15")).select("o_orderkey", "o_custkey", "o_orderdate")
     o = R.semi(o, c.where(P.eq("c_mktsegment", "BUILDING")), "o_custkey", "c_custkey")
     li = li.where(F.col("l_shipdate") > P.at("1998-03-15")).select("l_orderkey", "l_extendedprice", "l_discount")
-    joined = R.pullback(li, o, "l_orderkey", "o_orderkey")
+    joined = R.pullback(li, o, "l_orderkey", "o_orderkey", unique=True)
     out = R.integrate(joined, ["l_orderkey", "o_orderdate"], revenue=F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4))
     return R.page(out, [F.desc("revenue"), "o_orderdate", "l_orderkey"], 10).select("l_orderkey", "revenue", "o_orderdate")
 
@@ -64,7 +64,7 @@ def tpch_q14(spark, d) -> DataFrame:
     li, p = _t(spark, d, "lineitem", "part")
     li = li.where((F.col("l_shipdate") >= P.at("1995-09-01")) & (F.col("l_shipdate") < P.at("1995-10-01")))
     price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    joined = R.pullback(li.select("l_partkey", "l_extendedprice", "l_discount"), p.select("p_partkey", "p_type"), "l_partkey", "p_partkey")
+    joined = R.pullback(li.select("l_partkey", "l_extendedprice", "l_discount"), p.select("p_partkey", "p_type"), "l_partkey", "p_partkey", unique=True)
     promo = F.sum(F.when(F.col("p_type").startswith("PROMO"), price).otherwise(0.0))
     return R.integrate(joined, promo_revenue=F.round(100.0 * promo / F.sum(price), 8))
 
@@ -188,14 +188,14 @@ def overlay_merge(spark, d):
 @register("join_inner", "SELECT o_orderkey, o_custkey, c_name, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey")
 def join_inner(spark, d):
     o, c = _t(spark, d, "orders", "customer")
-    return R.pullback(o.select("o_orderkey", "o_custkey"), c.select("c_custkey", "c_name", "c_acctbal"), "o_custkey", "c_custkey")
+    return R.pullback(o.select("o_orderkey", "o_custkey"), c.select("c_custkey", "c_name", "c_acctbal"), "o_custkey", "c_custkey", unique=True)
 
 
 @register("join_left", "SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'MACHINERY') ON o_custkey = c_custkey")
 def join_left(spark, d):
     o, c = _t(spark, d, "orders", "customer")
     c = c.where(P.eq("c_mktsegment", "MACHINERY")).select("c_custkey", "c_name")
-    return R.pullback(o.select("o_orderkey", "o_custkey"), c, "o_custkey", "c_custkey", keep_left=True)
+    return R.pullback(o.select("o_orderkey", "o_custkey"), c, "o_custkey", "c_custkey", keep_left=True, unique=True)
 
 
 @register("join_chain", """
@@ -203,8 +203,8 @@ def join_left(spark, d):
     JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def join_chain(spark, d):
     o, c, n, r = _t(spark, d, "orders", "customer", "nation", "region")
-    out = R.pullback(o.select("o_orderkey", "o_custkey"), c.select("c_custkey", "c_nationkey"), "o_custkey", "c_custkey")
-    return R.pullback(R.pullback(out, n, "c_nationkey", "n_nationkey"), r, "n_regionkey", "r_regionkey")
+    out = R.pullback(o.select("o_orderkey", "o_custkey"), c.select("c_custkey", "c_nationkey"), "o_custkey", "c_custkey", unique=True)
+    return R.pullback(R.pullback(out, n, "c_nationkey", "n_nationkey", unique=True), r, "n_regionkey", "r_regionkey", unique=True)
 
 
 @register("join_self", """
