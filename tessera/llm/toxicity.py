@@ -205,7 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     fits = rows.select("doc_id", total.alias("total")).where(F.col("total") <= most_chars).select("doc_id")
     rows = sorted(rows.join(F.broadcast(fits), "doc_id").collect(), key=lambda r: r["doc_id"])
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit_subwords([r["text"] for r in rows], [r["mark"] for r in rows], prior)
+    model = fit_subwords([r["text"] for r in rows], [r["mark"] for r in rows], prior)
+    del rows
+    trim()
+    return model
 
 
 def score(df: DataFrame, model: Subwords, text: str = "text", out: str = "score") -> DataFrame:
