@@ -22,7 +22,6 @@ import heapq
 import pickle
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -415,8 +414,10 @@ def top_inner_products(df: DataFrame, k: int = 5, every: int = 50, id: str = "ve
     return best.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
 
 
-def brute_force(ids: list[int], vectors: list[list[int]], queries: list[int], k: int) -> pd.DataFrame:
-    """The same by all inner products; for tests."""
+def brute_force(ids: list[int], vectors: list[list[int]], queries: list[int], k: int):
+    """The same by all inner products, as a pandas frame; for tests."""
+    import pandas as pd
+
     x = np.array(vectors, np.int64)
     out = []
     for q in queries:

@@ -217,11 +217,9 @@ def score(df: DataFrame, model: Subwords, text: str = "text", out: str = "score"
     replaced. No shuffle; the model is one broadcast table of fixed size."""
     held = df.sparkSession.sparkContext.broadcast((model.row, model.bias))
 
-    @F.pandas_udf("double")
-    def run(texts):
-        import pandas as pd
-
-        found = pd.Series(Subwords(*held.value).scores([t if isinstance(t, str) else None for t in texts]))
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        found = pa.array(Subwords(*held.value).scores(texts.to_pylist()), pa.float64())
         trim()
         return found
 
