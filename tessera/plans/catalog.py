@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("relational", "geometric", "applied", "streams", "composite", "wider", "kernels")
+_MODULES = ("relational", "geometric", "applied", "streams", "composite", "wider", "kernels", "moved")
 
 
 def register(name: str, sql: str | None = None):
