@@ -7,28 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import geometry as G
-from .relational import numbered_rows
+from .relational import numbered_rows, ranked_values
 
 
 def quantile(df: DataFrame, column: str, q: float) -> float | None:
-    """The exact quantile of a column, interpolated, by a range-partitioned rank: no task sees more
-    than a partition of the values. None without values."""
-    rows = numbered_rows(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), ["v"])
-    n = rows.count()
+    """The exact quantile of a column, interpolated, by ranks over ranges of its distinct values: no
+    task sees more than a partition of them. None without values."""
+    rows = ranked_values(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), ["v"])
+    n = rows.agg(F.sum("times")).first()[0]
     if not n:
         return None
     low = int(q * (n - 1))
-    got = {r["i"]: r["v"] for r in rows.where(F.col("i").isin(low, min(low + 1, n - 1))).collect()}
-    return got[low] + (q * (n - 1) - low) * (got[min(low + 1, n - 1)] - got[low])
+    high = min(low + 1, n - 1)
+    got = [(r["first"], r["times"], r["v"]) for r in rows.where(f"first <= {high} and first + times > {low}").collect()]
+    at = {k: v for first, times, v in got for k in (low, high) if first <= k < first + times}
+    return at[low] + (q * (n - 1) - low) * (at[high] - at[low])
 
 
 def group_median(df: DataFrame, by: str, value: str, name: str = "med", size: str = "n") -> DataFrame:
-    """(by, name, size): exact medians of groups by ranks over the whole table, so that a hot group
-    is spread over tasks like any other range of values."""
-    rows = numbered_rows(df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("__v")), [by, "__v"])
-    g = rows.groupBy(by).agg(F.min("i").alias("__low"), F.count("*").alias(size))
-    at = F.array_distinct(F.array(F.expr(f"__low + ({size} - 1) div 2"), F.expr(f"__low + {size} div 2")))
-    return g.select(F.col(by).alias("__by"), size, F.explode(at).alias("i")).join(rows.select("i", "__v"), "i").groupBy(F.col("__by").alias(by), size).agg(F.avg("__v").alias(name)).select(by, name, size)
+    """(by, name, size): exact medians of groups by ranks of the distinct values over the whole
+    table, so that a hot group or value is spread over tasks like any other range."""
+    rows = ranked_values(df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("__v")), [by, "__v"])
+    g = rows.groupBy(by).agg(F.min("first").alias("__low"), F.sum("times").alias(size))
+    g = g.withColumn("__a", F.expr(f"__low + ({size} - 1) div 2")).withColumn("__b", F.expr(f"__low + {size} div 2"))
+    hit = rows.join(g, by).where("first <= __b and first + times > __a")
+    covers = lambda i: F.when((F.col("first") <= F.col(i)) & (F.col("first") + F.col("times") > F.col(i)), 1).otherwise(0)
+    weight = covers("__a") + covers("__b")
+    return hit.groupBy(by, size).agg((F.sum(F.col("__v") * weight) / F.sum(weight)).alias(name)).select(by, name, size)
 
 
 def anomalies(df: DataFrame, fields, n_sigma: float = 2.0, where: Column | None = None) -> DataFrame:
@@ -216,12 +221,12 @@ def scan_relational(df: DataFrame, fk: str, attribute: str, amount: str, other:
     return rows.withColumn("relational", F.when(differs, 0.4 + 0.6 * F.col("__i") / top).otherwise(0.0)).drop("__i", "__onto", "__theirs")
 
 
-def foreign_keys(df: DataFrame, other: DataFrame, onto: str, most: int = 64) -> DataFrame:
+def foreign_keys(df: DataFrame, other: DataFrame, onto: str) -> DataFrame:
     """(field, share): fields of df of the key's type whose values the other table's keys cover,
     by share; those that cover at least half of the distinct values."""
     kind, out = dict(other.dtypes)[onto], None
     same = {"int": "bigint", "smallint": "bigint", "tinyint": "bigint"}
-    for f, k in df.dtypes[:most]:
+    for f, k in df.dtypes:
         if same.get(k, k) != same.get(kind, kind):
             continue
         values = df.select(F.col(f).alias("v")).where("v is not null").distinct()

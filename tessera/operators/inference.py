@@ -146,14 +146,16 @@ def diffusion(df: DataFrame, k: int = 10, rounds: int = 30) -> DataFrame:
 
 def propagated_labels(df: DataFrame, k: int = 10, rounds: int = 30) -> DataFrame:
     """(key, label): missing labels by propagation over the neighbour graph: each label's share is
-    diffused, the largest wins (ties to the lesser label)."""
+    diffused, the largest wins (ties to the lesser label). More than 1,000 labels are refused."""
     edges = graph(df, k)
     known = df.where("y is not null").select("key", F.col("y").alias("label"))
     n = known.count()
+    if known.select("label").distinct().limit(1_001).count() > 1_000:
+        raise ValueError("more than 1,000 labels")
     prior = known.groupBy("label").agg((F.count("*") / F.lit(float(max(n, 1)))).alias("p"))
     free = df.where("y is null").select("key")
     fixed = cut(known.select("key", "label", F.lit(1.0).alias("p")))
-    state = cut(free.join(F.broadcast(prior.limit(1_000)), F.lit(True)).select("key", "label", "p"))
+    state = cut(free.join(F.broadcast(prior), F.lit(True)).select("key", "label", "p"))
     for _ in range(rounds):
         sums = edges.join(state.union(fixed).select(F.col("key").alias("dst"), "label", "p"), "dst").groupBy(F.col("src").alias("key"), "label").agg(F.sum(F.col("w") * F.col("p")).alias("p"))
         den = edges.groupBy(F.col("src").alias("key")).agg(F.sum("w").alias("den"))

@@ -143,20 +143,39 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def _offsets(rows: DataFrame, size: Column) -> DataFrame:
+    """(__part, __before): what stands before each partition of rows; one row a partition."""
+    got = sorted((r["__part"], r["n"]) for r in rows.groupBy("__part").agg(size.alias("n")).collect())
+    out, at = [], 0
+    for p, n in got:
+        out.append((p, at))
+        at += n
+    return rows.sparkSession.createDataFrame(out, "__part int, __before long")
+
+
 def numbered_rows(df: DataFrame, by, name: str = "i") -> DataFrame:
     """df with its row number from 0 in the order of `by`: rows are range-partitioned and stored
     once, partitions counted, and each row's number is its partition's offset plus its place there.
-    No task holds more than a partition; the driver sees one count for each."""
+    No task holds more than a partition; the driver sees one count for each. Rows that are equal in
+    `by` are spread by their other fields."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(parts, *by).withColumn("__part", F.spark_partition_id())
-    rows = cut(rows)
-    counts = {r["__part"]: r["n"] for r in rows.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    offset, at = {}, 0
-    for p in sorted(counts):
-        offset[p], at = at, at + counts[p]
-    start = F.create_map(*[F.lit(x) for p, o in offset.items() for x in (p, o)])[F.col("__part")] if offset else F.lit(0)
+    rest = [F.xxhash64(*[f"`{c}`" for c, k in df.dtypes if not k.startswith("map")])] if df.columns else []
+    rows = cut(df.repartitionByRange(parts, *by, *rest).withColumn("__part", F.spark_partition_id()))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*by)) - 1
-    return rows.withColumn(name, (place + start).cast("long")).drop("__part")
+    rows = rows.withColumn("__place", place).join(F.broadcast(_offsets(rows, F.count("*"))), "__part")
+    return rows.withColumn(name, F.col("__before") + F.col("__place")).drop("__part", "__before", "__place")
+
+
+def ranked_values(df: DataFrame, by) -> DataFrame:
+    """(by, first, times): the distinct tuples of `by` in order, with the row number from 0 of the
+    first row that holds each and how many do: rows are combined before the shuffle, so a value
+    that a third of all rows hold is one row."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.groupBy(*by).agg(F.count("*").alias("times"))
+    rows = cut(rows.repartitionByRange(parts, *by).withColumn("__part", F.spark_partition_id()))
+    before = F.sum("times").over(Window.partitionBy("__part").orderBy(*by)) - F.col("times")
+    rows = rows.withColumn("__in", before).join(F.broadcast(_offsets(rows, F.sum("times"))), "__part")
+    return rows.withColumn("first", F.col("__before") + F.col("__in")).drop("__part", "__before", "__in")
 
 
 def integrate(df: DataFrame, over=(), where: Column | None = None, having: Column | None = None, **measures: Column) -> DataFrame:
