@@ -79,7 +79,7 @@ class _Parser(Verbs):
             elif m[5]:
                 self.tokens.append(("sign", m[5]))
 
-    # -- Tokens -----------------------------------------------------------------------------------
+    # -- Tokens
 
     def done(self) -> bool:
         return self.at >= len(self.tokens)
@@ -172,7 +172,7 @@ class _Parser(Verbs):
         self.need(")")
         return out
 
-    # -- Predicates -------------------------------------------------------------------------------
+    # -- Predicates
 
     def atom(self, df: DataFrame) -> Column:
         if self.take("("):
@@ -211,7 +211,7 @@ class _Parser(Verbs):
                 return p(f, self._literal(df, f, self.value()))
         raise LanguageError(f"no condition after {f}")
 
-    # -- Row functions: CURVATURE(f), CONFIDENCE(), ANOMALY(), Z_SCORE() --------------------------
+    # -- Row functions: CURVATURE(f), CONFIDENCE(), ANOMALY(), Z_SCORE()
 
     _SYSTEM = ("CURRENT_ROLE", "CURRENT_BUNDLE", "VERSION")
     _FUNCTIONS = ("CURVATURE", "CONFIDENCE", "ANOMALY", "Z_SCORE", "CAPACITY")
@@ -384,7 +384,7 @@ class _Parser(Verbs):
             if not self.take(","):
                 return out
 
-    # -- Statements -------------------------------------------------------------------------------
+    # -- Statements
 
     def statement(self) -> DataFrame | None:
         verb = self.name().upper()

@@ -34,7 +34,7 @@ def _rows(df: DataFrame, most: int) -> list:
     return got
 
 
-# -- Geometry -------------------------------------------------------------------------------------
+# -- Geometry
 
 def horizon(df: DataFrame, fields, indexed, tolerance: float = 1.0) -> DataFrame:
     """(k, gap, length, horizon, depth): tolerance / (k * length), length 1 / sqrt(gap), and I-IV."""
@@ -130,7 +130,7 @@ def perceive(past: np.ndarray, now: np.ndarray) -> float:
     return float(np.clip(1 - np.linalg.norm(now @ past.T - np.eye(n)) / (2 * math.sqrt(n)), 0, 1))
 
 
-# -- Completion and provenance --------------------------------------------------------------------
+# -- Completion and provenance
 
 def propagate(df: DataFrame, key: str, field: str, by: str, changes: DataFrame) -> DataFrame:
     """(key, before, after): predictions of missing values that change, appear (before null) or go
@@ -189,7 +189,7 @@ def resolved(df: DataFrame, incoming: DataFrame, key: str, field: str, tolerance
     return out
 
 
-# -- Density, neighbours, clusters ------------------------------------------------------------------
+# -- Density, neighbours, clusters
 
 def neighbours_of(queries: DataFrame, rows: DataFrame, key: str, field: str, k: int) -> DataFrame:
     """(query, key, distance): the k nearest other rows of each query, exactly."""
@@ -320,7 +320,7 @@ def autochart(df: DataFrame, by: str, order: str, field: str, tau: float = 0.1,
     return df.select(by, order, field).groupBy(by).applyInPandas(walk, f"{by} {kind}, chart int, n int, mean double, k double")
 
 
-# -- Sampling, forecasts, lattices ----------------------------------------------------------------
+# -- Sampling, forecasts, lattices
 
 def sample(df: DataFrame, fields, n: int, seed: int = 1) -> DataFrame:
     """n records drawn from the diagonal Gaussian fit of the fields."""

@@ -116,7 +116,7 @@ def completed_near(df: DataFrame, key: str, field: str, vector: str, radius: flo
     return out.select(F.col("query").alias("key"), "predicted", (F.col("e") / (F.col("e") + 1)).alias("confidence"))
 
 
-# -- SU(2) as unit quaternions (a, b, c, d) -----------------------------------------------------
+# -- SU(2) as unit quaternions (a, b, c, d)
 
 def _times(p, q) -> list[Column]:
     a, b, c, d = p

@@ -19,7 +19,7 @@ def _t(spark, d, name):
     return table(spark, d, name)
 
 
-# -- Scalar functions -----------------------------------------------------------------------------
+# -- Scalar functions
 
 @register("fn_math", """
     SELECT o_orderkey, abs(o_custkey - 50) AS a, round(o_totalprice, 1) AS r, ceil(o_totalprice)::BIGINT AS c, floor(o_totalprice)::BIGINT AS f, round(pow(o_custkey, 2), 6) AS p, round(sqrt(o_totalprice), 8) AS sq,
@@ -90,7 +90,7 @@ def fn_trigram(spark, d):
     return _t(spark, d, "customer").select("c_custkey", F.round(s, 8).alias("s"), F.round(F.sqrt(1 - s), 8).alias("d"))
 
 
-# -- Graphs ---------------------------------------------------------------------------------------
+# -- Graphs
 
 @register("graph_degrees", """
     SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey) + count(*) OVER (PARTITION BY c_mktsegment) - count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) - 1 AS degree FROM customer""")
@@ -164,7 +164,7 @@ def complete(spark, d):
     return GR.completed(h, "c_custkey", "v", "c_nationkey").select("key", F.round("predicted", 6).alias("predicted"), F.round("confidence", 8).alias("confidence"))
 
 
-# -- Patterns -------------------------------------------------------------------------------------
+# -- Patterns
 
 _CHEAP = PT.Pattern("cheap", ("o_totalprice < 60000", "o_orderstatus = 'F'", "o_custkey < 100"), "greatest(100000 - o_totalprice, 0) / 1000")
 
@@ -198,7 +198,7 @@ def relaxation(spark, d):
     return PT.relaxation(_t(spark, d, "orders"), _CHEAP)
 
 
-# -- Vectors and models ---------------------------------------------------------------------------
+# -- Vectors and models
 
 _QUERY = [math.sin(i + 1) for i in range(64)]
 _LIST = "[" + ", ".join(repr(x) for x in _QUERY) + "]::DOUBLE[64]"
@@ -283,7 +283,7 @@ def als(spark, d):
     return V.factors(e, "user_id", "item", "r")
 
 
-# -- Writes ---------------------------------------------------------------------------------------
+# -- Writes
 
 @register("upsert_merge", """
     SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 4 = 0 THEN 1.5 ELSE s_acctbal END AS s_acctbal FROM supplier UNION ALL SELECT 9999999, 'new', 1.5""")
@@ -323,7 +323,7 @@ def auto_increment(spark, d):
     return WR.numbered(n, _t(spark, d, "region").select("r_name"), "n_nationkey", ["r_name"])
 
 
-# -- Sealing --------------------------------------------------------------------------------------
+# -- Sealing
 
 @register("affine_sum_recovery", "SELECT o_orderstatus, count(*) AS count, round(sum(o_totalprice), 2) AS sum, round(avg(o_totalprice), 4) AS avg, round(min(o_totalprice), 4) AS min, round(max(o_totalprice), 4) AS max FROM orders GROUP BY o_orderstatus")
 def affine_sum_recovery(spark, d):

@@ -198,7 +198,7 @@ def gauge_invariance(spark, d):
     return _rounded(G.curvature(G.affine(_t(spark, d, "lineitem"), {f: (3.0 + i, -7.0 * i) for i, f in enumerate(LINE)}), LINE).select("k"))
 
 
-# -- Anomalies ------------------------------------------------------------------------------------
+# -- Anomalies
 
 @register("anomalies", """
     WITH s AS (SELECT avg(value) AS m, max(value) - min(value) AS r FROM events), k AS (SELECT event_id, abs(value - m) / r AS kappa FROM events, s WHERE user_id % 2 = 0),
@@ -300,7 +300,7 @@ def episodic(spark, d):
     return _rounded(A.episodes(e, "e", by="user_id"), 6)
 
 
-# -- Series ---------------------------------------------------------------------------------------
+# -- Series
 
 @register("kappa_prefix", """
     SELECT event_id, round(CASE WHEN count(value) OVER w >= 2 AND max(value) OVER w > min(value) OVER w THEN abs(value - avg(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0 END, 6) AS kappa

@@ -117,7 +117,7 @@ def defined_pattern(spark, d):
         PT.drop("dear_orders")
 
 
-# -- Streams, run over the table's file to the end --------------------------------------------------
+# -- Streams, run over the table's file to the end
 
 def _stream(spark, d, name):
     rows = _t(spark, d, name)

@@ -15,7 +15,7 @@ def _t(spark, d, *names):
     return out if len(out) > 1 else out[0]
 
 
-# -- The four published benchmark queries, their dates moved into the tables' range ------------
+# -- The four published benchmark queries, their dates moved into the tables' range
 
 @register("tpch_q1", """
     SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
@@ -69,7 +69,7 @@ def tpch_q14(spark, d) -> DataFrame:
     return R.integrate(joined, promo_revenue=F.round(100.0 * promo / F.sum(price), 8))
 
 
-# -- Predicates -----------------------------------------------------------------------------------
+# -- Predicates
 
 _HOLED = "(SELECT event_id, user_id, event_type, ts, CASE WHEN value < 5 THEN NULL ELSE value END AS value FROM events)"
 
@@ -111,7 +111,7 @@ _predicate("pred_timestamp_literal", "events", "event_id, ts", "ts >= TIMESTAMP
 _predicate("free_text_search", "customer", "c_custkey", "contains(lower(c_name), '12') OR contains(lower(c_mktsegment), '12') OR contains(lower(c_mktsegment), 'mach')", lambda: P.any_of(P.search(["c_name", "c_mktsegment"], "12"), P.search(["c_mktsegment"], "MACH")))
 
 
-# -- Scans, point reads, projections --------------------------------------------------------------
+# -- Scans, point reads, projections
 
 @register("scan_all", "SELECT r_regionkey, r_name FROM region")
 def scan_all(spark, d):
@@ -183,7 +183,7 @@ def overlay_merge(spark, d):
     return R.overlay(o, recent, ["o_orderkey"], o.where(F.col("o_orderkey") % 10 == 7))
 
 
-# -- Joins ----------------------------------------------------------------------------------------
+# -- Joins
 
 @register("join_inner", "SELECT o_orderkey, o_custkey, c_name, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey")
 def join_inner(spark, d):
@@ -260,7 +260,7 @@ def range_join(spark, d):
     return _t(spark, d, "events").join(F.broadcast(bands), F.expr("value >= lo and value < hi")).select("event_id", "label")
 
 
-# -- Aggregation ----------------------------------------------------------------------------------
+# -- Aggregation
 
 @register("agg_global", "SELECT count(*) AS n, round(sum(value), 2) AS total, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM events")
 def agg_global(spark, d):
@@ -342,7 +342,7 @@ def agg_approx_distinct(spark, d):
     return _t(spark, d, "orders").agg(F.approx_count_distinct("o_custkey", 0.02).alias("customers"))
 
 
-# -- Windows --------------------------------------------------------------------------------------
+# -- Windows
 
 def _window(name, sql, make):
     @register(name, sql)
@@ -369,7 +369,7 @@ def win_delta(spark, d):
     return out.select("event_type", "day", F.round(F.col("v") - F.col("before"), 4).alias("delta"))
 
 
-# -- Sets, subqueries, series ---------------------------------------------------------------------
+# -- Sets, subqueries, series
 
 def _nations(spark, d):
     c, s = _t(spark, d, "customer", "supplier")

@@ -104,7 +104,7 @@ def profile(df: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*parts)))
 
 
-# -- Compact text codec: a header line of field rules, then one line a record -----------------------
+# -- Compact text codec: a header line of field rules, then one line a record
 #
 # Rules after a field's name: '@start+step' arithmetic, left out of the lines; '|value' a default,
 # written as an empty cell; '&' interned, numbers into the list in the header; '^' difference from

@@ -22,7 +22,7 @@ _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 class Verbs:
-    # -- What statements share --------------------------------------------------------------------
+    # -- What statements share
 
     def numeric(self, n: str, df) -> list[str]:
         return [c for c, k in df.dtypes if k in _NUMERIC and c != self.s.keys.get(n)]
@@ -58,7 +58,7 @@ class Verbs:
                     break
         return out
 
-    # -- Geometry ---------------------------------------------------------------------------------
+    # -- Geometry
 
     def do_capacity(self):
         n, df = self.table()
@@ -165,7 +165,7 @@ class Verbs:
         text = re.sub(r"capacity \( ([0-9.e+-]+) \)", r"(\1 / k)", text).replace("capacity", "(1 / k)")
         return h.select(F.expr(text).cast("double").alias("value"))
 
-    # -- Graphs -----------------------------------------------------------------------------------
+    # -- Graphs
 
     def _indexed(self):
         n, df = self.table()
@@ -223,7 +223,7 @@ class Verbs:
         self.need("AND")
         return GR.ricci(df, self.s.keys[n], self.numeric(n, df), a, self.value())
 
-    # -- Series -----------------------------------------------------------------------------------
+    # -- Series
 
     def _along(self, df):
         self.need("ALONG")
@@ -278,7 +278,7 @@ class Verbs:
         df, by = self.series_of(df)
         return S.change_points(df, by, order, f, self.number_after("WINDOW", default=40), float(self.number_after("THRESHOLD", default=6.0))).drop("__series")
 
-    # -- Anomalies, completion, models ------------------------------------------------------------
+    # -- Anomalies, completion, models
 
     def do_anomalies(self):
         n, df = self.table()
@@ -399,7 +399,7 @@ class Verbs:
         row = df.agg(*[(F.max(f) - F.min(f)).cast("double").alias(f) for f in at]).first()
         return X.attend_partition(df, self.s.keys[n], at, {f: row[f] or 1.0 for f in at}, float(self.number()))
 
-    # -- Patterns ---------------------------------------------------------------------------------
+    # -- Patterns
 
     def do_define(self):
         replace = self.take("OR", "REPLACE")
@@ -446,7 +446,7 @@ class Verbs:
         self.need("IN")
         return PT.relaxation(self.table()[1], p)
 
-    # -- Gaps, moves, files, streams --------------------------------------------------------------
+    # -- Gaps, moves, files, streams
 
     def do_fill(self):
         """FILL b ON f ALONG at OVER g USING TRANSPORT | INTERPOLATE LINEAR | CONSTANT (v)."""
