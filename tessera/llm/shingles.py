@@ -29,9 +29,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def runs(data: np.ndarray, blank: np.ndarray, hashes: int = 1) -> tuple[np.ndarray, ...]:
-    """Start, end and `hashes` (1 or 2) independent 64-bit hashes of each run of bytes for which the
-    table `blank` is false. A run goes in eight bytes at a time, each step mixing all bits, so that
-    no family of runs collides by its form; runs of up to eight bytes of one length never collide."""
+    """Start, end and `hashes` (1 or 2) 64-bit hashes of each run of bytes for which the table
+    `blank` is false. A run goes in eight bytes at a time, each step mixing all bits, so that no
+    family of runs collides by its form; runs of up to eight bytes of one length never collide. The
+    second is of other seeds for runs of over 16 bytes; of shorter ones it holds the last eight
+    bytes, so that both together tell runs of one length apart."""
     inside = np.empty(len(data) + 2, np.int8)
     inside[0] = inside[-1] = 0
     inside[1:-1] = ~blank[data]
@@ -41,16 +43,31 @@ def runs(data: np.ndarray, blank: np.ndarray, hashes: int = 1) -> tuple[np.ndarr
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     wide = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    values = [mix(size.astype(np.uint64) * seed) for seed in _SEEDS[:hashes]]
-    live, at = np.flatnonzero(size <= _LONG), 0
-    while len(live):
-        part, left = wide[start[live] + at], size[live] - at
-        ends = left < 8
-        part[ends] &= _MASKS[left[ends]]
-        for value in values:
+
+    def mixed(seed: np.uint64, of: np.ndarray) -> np.ndarray:
+        begin, left = start[of], size[of]
+        value, live = mix(left.astype(np.uint64) * seed), np.arange(len(of))
+        while len(live):
+            part, n = wide[begin[live]], left[live]
+            ends = n < 8
+            part[ends] &= _MASKS[n[ends]]
             value[live] = mix(value[live] ^ part)
-        at += 8
-        live = live[left > 8]
+            begin[live] += 8
+            left[live] -= 8
+            live = live[n > 8]
+        return value
+
+    short = np.flatnonzero(size <= _LONG)
+    values = [np.zeros(len(size), np.uint64)]
+    values[0][short] = mixed(_SEEDS[0], short)
+    if hashes == 2:
+        few = size < 8
+        other = wide[np.where(few, start, end - 8)]
+        other[few] &= _MASKS[size[few]]
+        other ^= size.astype(np.uint64) * _SEEDS[1]
+        middle = short[size[short] > 16]
+        other[middle] = mixed(_SEEDS[1], middle)
+        values.append(other)
     for i in np.flatnonzero(size > _LONG).tolist():
         whole = xxhash.xxh3_128_intdigest(data[start[i] : end[i]].tobytes())
         for value, part in zip(values, (whole & (1 << 64) - 1, whole >> 64)):
