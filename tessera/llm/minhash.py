@@ -9,11 +9,16 @@ the threshold is let go. All others are compared on their full sets.
 A group of copies never meets in one task: texts with equal sets become one representative (the
 hash of the set is the key, combined before the shuffle); each representative is first compared
 with the one it seems closest to among the smallest of its buckets; and only representatives that
-then lie in different components of a bucket are paired with each other, in chunks that bound
-what a task holds. No bucket is capped."""
+then lie in different components of a bucket are compared with each other. Many variants of one
+text are many such pairs that the estimate cannot refuse, so pairs are never listed: estimates of a
+bucket, or of two chunks of it, are tiles of one array, and tell only which representatives of
+which two blocks have to meet; the full sets of two blocks are then read once and all their
+intersections counted by matrix products. No bucket is capped."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,8 +35,13 @@ LONGS = HASHES * BITS // 64
 _RNG = np.random.Generator(np.random.PCG64(971))
 _TIMES = _RNG.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BAND = _RNG.integers(1, 1 << 62, (ROWS + 1,), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Most members of a chunk of a bucket whose components still have to be compared.
-CHUNK = 256
+#: Most members of a chunk of a bucket whose components still have to be compared, on average, and
+#: of a group that is compared together with other groups.
+CHUNK, SMALL = 4096, 32
+#: Shingles and texts of a block whose full sets meet those of another one, on average.
+BLOCK_SHINGLES, BLOCK_ROWS = 400_000, 1_000
+#: Columns of a product and pairs counted one by one at a time; how much cheaper a cell of a product is than such a pair.
+COLUMNS, COUNTED, CHEAPER = 1_024, 4_000_000, 50
 #: Pairs of one text that a task compares.
 HOT_PAIRS = 2_000
 
@@ -144,6 +154,210 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return stored(small_batches(both.select("a", "b", "ta", "tb")).mapInArrow(run, "a long, b long"), "links")
 
 
+def places(shared_rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, bits, block) of each representative in a bucket: those with the same smallest one in
+    any of their buckets are dealt to blocks of a bounded size on average."""
+    place = shared_rows.groupBy("rep").agg(F.min("low").alias("home")).join(reps.select("rep", "n", "bits"), "rep")
+    place = stored(place, "places")
+    parts = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
+    homes = stored(place.groupBy("home").agg(F.count("*").alias("rows"), parts.alias("parts")), "homes")
+    place = salted(place, homes.select("home", "parts"), "home", ["rep"], homes.select("home", "rows"))
+    return place.select("rep", "bits", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"))
+
+
+def whole_groups(batches, keys: int) -> Iterator[pa.Table]:
+    """The rows of batches, sorted by their first `keys` columns, in tables that cut no group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(keys)]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+        if len(cuts):
+            yield pa.Table.from_batches([*held, batch.slice(0, cuts[-1] + 1)])
+            held = [batch.slice(cuts[-1] + 1)]
+        elif held and any(held[-1].column(i)[-1].as_py() != c[0] for i, c in enumerate(columns)):
+            yield pa.Table.from_batches(held)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def edges_of(*columns: np.ndarray) -> np.ndarray:
+    """Where groups of equal values of sorted columns begin, and the end of the last."""
+    change = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.concatenate(([0], np.flatnonzero(change) + 1, [len(columns[0])]))
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of how many minima the kept bits agree; packed longs (unsigned) on the first axis."""
+    differing: np.ndarray | int = 0
+    for x, y in zip(a, b):
+        x = x ^ y
+        y = x.copy()
+        for s in range(1, BITS):
+            y |= x >> np.uint64(s)
+        y &= np.uint64(int("1" * 16, 16))
+        differing = differing + np.bitwise_count(y)
+    return HASHES - differing
+
+
+def small_pairs(group: np.ndarray, chunk: np.ndarray, one: np.ndarray, comp: np.ndarray, bits: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of rows within small groups, all groups at once; one: the group is one chunk."""
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    live = np.arange(len(group))
+    for d in range(1, SMALL):
+        live = live[live + d < len(group)]
+        live = live[group[live] == group[live + d]]
+        if not len(live):
+            break
+        p = live[(comp[live] != comp[live + d]) & (one[live] | (chunk[live] != chunk[live + d]))]
+        p = p[agreeing(bits[:, p], bits[:, p + d]) >= least]
+        first.append(p)
+        second.append(p + d)
+    return np.concatenate(first), np.concatenate(second)
+
+
+def large_hits(left: np.ndarray, right: np.ndarray, comp: np.ndarray, block: np.ndarray, bits: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, block of a candidate partner) of rows left and right, both sorted by block; they may be the same rows."""
+    same = left is right
+    at, to = edges_of(block[left])[:-1], edges_of(block[right])[:-1]
+    rows, columns = np.zeros((len(left), len(to)), bool), np.zeros((len(at), len(right)), bool)
+    number = np.searchsorted(at, np.arange(len(left)), "right") - 1
+    theirs = np.ascontiguousarray(bits[:, right])
+    for a in range(0, len(left), 64):
+        own = left[a : a + 64]
+        mask = np.zeros((len(own), len(right)), bool)
+        for b in range(a if same else 0, len(right), 1024):
+            part = agreeing(bits[:, own][:, :, None], theirs[:, None, b : b + 1024]) >= least
+            mask[:, b : b + 1024] = part & (comp[own][:, None] != comp[right[b : b + 1024]][None])
+        rows[a : a + 64] = np.logical_or.reduceat(mask, to, axis=1)
+        for k in np.unique(number[a : a + 64]):
+            columns[k] |= mask[number[a : a + 64] == k].any(axis=0)
+    p, k = np.nonzero(rows)
+    yield left[p], block[right[to[k]]]
+    k, q = np.nonzero(columns)
+    yield right[q], block[left[at[k]]]
+
+
+def candidates(rows: DataFrame, least: int) -> DataFrame:
+    """(x, y, rep, comp, block), repeated: representatives that have a candidate partner of another
+    component where blocks x and y meet. rows: key, i, j, chunk, rep, comp, block, bits, all
+    members of a key with chunk i or j under (key, i, j)."""
+
+    def run(batches):
+        for t in whole_groups(batches, 3):
+            key, i, j, chunk, rep, comp, block = (t.column(c).to_numpy() for c in range(7))
+            bits = t.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONGS).T
+            cut = edges_of(key, i, j)
+            size = np.diff(cut)
+            group = np.repeat(np.arange(len(size)), size)
+            few = np.flatnonzero(size[group] <= SMALL)
+            p, q = small_pairs(group[few], chunk[few], (i == j)[few], comp[few], np.ascontiguousarray(bits[:, few]), least)
+            p, q = few[p], few[q]
+            found = [(p, block[q]), (q, block[p])]
+            for g in np.flatnonzero(size > SMALL).tolist():
+                of = np.arange(cut[g], cut[g + 1])
+                of = of[np.argsort(block[of], kind="stable")]
+                k, m = i[of[0]], j[of[0]]
+                left = of if k == m else of[chunk[of] == k]
+                right = of if k == m else of[chunk[of] == m]
+                if len(left) and len(right):
+                    found.extend(large_hits(left, right, comp, block, bits, least))
+            row, partner = (np.concatenate(c) for c in zip(*found))
+            own = block[row]
+            out = [np.minimum(own, partner), np.maximum(own, partner), rep[row], comp[row], own]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["x", "y", "rep", "comp", "block"])
+        trim()
+
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j")
+    return small_batches(rows.sortWithinPartitions("key", "i", "j")).mapInArrow(run, "x long, y long, rep long, comp long, block long")
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left x right) sizes of the intersections of sets of distinct numbers. Numbers in many sets
+    are columns of a matrix product, those in few are counted pair by pair."""
+    nl, nr = len(left), len(right)
+    out = np.zeros((nl, nr), np.int64)
+    _, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    held = sum(map(len, left))
+    lc, rc = column[:held], column[held:]
+    lr, rr = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right))
+    most = int(column.max()) + 1 if len(column) else 0
+    ln, rn = np.bincount(lc, minlength=most), np.bincount(rc, minlength=most)
+    dense = ln * rn * CHEAPER > nl * nr
+    place, sides = np.cumsum(dense) - 1, []
+    for n, r, c in ((nl, lr, lc), (nr, rr, rc)):
+        r, c = r[dense[c]], place[c[dense[c]]]
+        order = np.argsort(c, kind="stable")
+        sides.append((n, r[order], c[order]))
+    for a in range(0, int(dense.sum()), COLUMNS):
+        parts = []
+        for n, r, c in sides:
+            s, e = np.searchsorted(c, (a, a + COLUMNS))
+            part = np.zeros((n, COLUMNS), np.float32)
+            part[r[s:e], c[s:e] - a] = 1
+            parts.append(part)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    rare = (ln > 0) & (rn > 0) & ~dense
+    lc, lr, rc, rr = lc[rare[lc]], lr[rare[lc]], rc[rare[rc]], rr[rare[rc]]
+    rr = rr[np.argsort(rc, kind="stable")]
+    begin = np.cumsum(rn * rare) - rn * rare
+    times = rn[lc]
+    ends = np.cumsum(times)
+    a = 0
+    while a < len(lc):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + COUNTED, "right")))
+        n = times[a:b]
+        of = np.repeat(begin[lc[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out += np.bincount(np.repeat(lr[a:b], n) * nr + rr[of], minlength=nl * nr).reshape(nl, nr)
+        a = b
+    return out
+
+
+def meetings(meeting: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between the representatives that meet under each (x, y), a stored table: of
+    those that a has in one component, one."""
+    rows = salted(meeting, texts.select(F.col("doc_id").alias("rep"), "text"), "rep", ["x", "y"], hot_rows=HOT_PAIRS)
+    rows = rows.select("x", "y", "rep", "comp", "block", "text")
+
+    def run(batches):
+        for t in whole_groups(batches, 2):
+            x, y, rep, comp, block = (t.column(c).to_numpy() for c in range(5))
+            cut, found = edges_of(x, y).tolist(), [(rep[:0], rep[:0])]
+            sets: list[np.ndarray] = []
+            texts = t.column(5).cast(pa.binary()).to_pylist()
+            for a, b in blocks(texts):
+                sets += shingle_sets(texts[a:b], shingle)
+            for s, e in zip(cut, cut[1:]):
+                own = np.arange(s, e)
+                right = own[block[s:e] == y[s]]
+                for a in range(0, e - s, BLOCK_ROWS):
+                    left = own[a : a + BLOCK_ROWS]
+                    left = left[block[left] == x[s]]
+                    if not len(left) or not len(right):
+                        continue
+                    if len(left) * len(right) <= 4:
+                        both = np.array([[shared(sets[i], sets[k]) for k in right] for i in left])
+                    else:
+                        both = intersections([sets[i] for i in left], [sets[k] for k in right])
+                    n, m = (np.array([len(sets[i]) for i in side]) for side in (left, right))
+                    linked = (both > 0) & (100 * both >= percent * (n[:, None] + m - both)) & (comp[left][:, None] != comp[right])
+                    p, q = np.nonzero(linked)
+                    if len(p):
+                        p, q = left[p], right[q]
+                        _, one = np.unique(np.stack((p, comp[q])), axis=1, return_index=True)
+                        found.append((rep[p[one]], rep[q[one]]))
+            a, b = (np.concatenate(c) for c in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+        trim()
+
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y")
+    return stored(small_batches(rows.sortWithinPartitions("x", "y")).mapInArrow(run, "a long, b long").distinct(), "links")
+
+
 def _groups(df: DataFrame, id: str, text: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The result of near_duplicates, and the signatures of all rows (a stored table)."""
     docs = narrowed(df, doc_id=id, text=text).where("doc_id is not null")
@@ -177,16 +391,12 @@ def _groups(df: DataFrame, id: str, text: str, shingle: int, percent: int) -> tu
     rows = stored(rows, "members")
     mixed = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     mixed = stored(mixed.where("x <> y").select("key", "rows", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks")), "mixed")
-    rows = salted(rows, mixed.select("key", "chunks"), "key", ["rep"], mixed.select("key", "rows")).join(bits, "rep")
+    rows = salted(rows, mixed.select("key", "chunks"), "key", ["rep"], mixed.select("key", "rows")).join(places(shared_rows, reps), "rep")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    left = rows.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("bits").alias("pa"), F.col("chunk").alias("i"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("j"))
-    right = rows.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("bits").alias("pb"), F.explode(F.sequence(F.lit(0), "chunk")).alias("i"), F.col("chunk").alias("j"))
-    # What a task pairs grows as the square of what it reads, so parts are many and stay apart.
-    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left, right = (x.repartition(parts, "key", "i", "j") for x in (left, right))
-    cross = left.join(right, ["key", "i", "j"]).where("ca <> cb and (i < j or a < b)")
-    cross = cross.where(matches("pa", "pb") >= least).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = confirmed(stored(cross, "cross"), texts, shingle, percent)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "comp", "block", "bits")
+    meeting = stored(candidates(rows, least).distinct(), "cross")
+    more = meetings(meeting, texts, shingle, percent)
 
     comp = stored(connected_components(links.union(more)), "components")
     classes = reps.select("n", "h1", "h2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import _common, minhash, shingles
 
@@ -105,3 +106,67 @@ def test_words_that_collide_by_form():
     words = {bytes(rng.choices(range(1, 9), k=rng.randrange(1, 80))) for _ in range(20_000)}
     words |= {w + b"\0" for w in list(words)[:2000]} | {b"\0" * i for i in range(1, 70)}
     assert len(shingles.shingle_sets([b" ".join(words)], 1)[0]) == len(words)
+
+
+def variants(rng, texts, edits):
+    """Texts of 300 words whose words are replaced by own ones at so many places."""
+    base = [f"v{i}" for i in range(300)]
+    out = []
+    for _ in range(texts):
+        words = base[:]
+        for at in rng.sample(range(300), rng.choice(edits)):
+            words[at] = f"own{rng.randrange(40)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_many_variants_of_one_text_list_no_pairs(spark, monkeypatch):
+    # Unlike each other, but more alike than the estimate can refuse: all pairs were listed and confirmed one by one.
+    docs = dict(enumerate(variants(random.Random(8), 400, (8, 9, 10, 11, 12))))
+    rows, stored = {}, minhash.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, shingle=4).collect()}
+    assert got == brute(docs, 4)
+    assert len({c for _, c in got.values()}) > 100
+    assert rows["cross"] <= 4 * len(docs)
+
+
+def test_variants_in_many_chunks_and_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = dict(enumerate(variants(rng, 120, (0, 3, 5, 7, 8, 9, 10, 12)) + [" ".join(rng.choices(["a", "b", "c", "d"], k=rng.randrange(3, 60))) for _ in range(60)]))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    want = brute(docs, 4)
+    for chunk, small, shingles_of, rows_of, columns, counted in ((4096, 32, 400_000, 1_000, 1_024, 4_000_000), (7, 3, 900, 2, 50, 10), (40, 2, 3_000, 1_000, 7, 100)):
+        for name, value in (("CHUNK", chunk), ("SMALL", small), ("BLOCK_SHINGLES", shingles_of), ("BLOCK_ROWS", rows_of), ("COLUMNS", columns), ("COUNTED", counted)):
+            monkeypatch.setattr(minhash, name, value)
+        got = minhash.near_duplicates(df, shingle=4).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_intersections_equal_plain_ones(monkeypatch):
+    rng = np.random.default_rng(2)
+    for cheaper in (0, 3, 50, 10**6):
+        monkeypatch.setattr(minhash, "CHEAPER", cheaper)
+        for columns, counted in ((5, 7), (1_024, 4_000_000)):
+            monkeypatch.setattr(minhash, "COLUMNS", columns)
+            monkeypatch.setattr(minhash, "COUNTED", counted)
+            left, right = ([np.unique(rng.integers(0, 60, rng.integers(0, 30), dtype=np.uint64) ** np.uint64(7)) for _ in range(n)] for n in (9, 13))
+            want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+            assert minhash.intersections(left, right).tolist() == want
+
+
+def test_whole_groups_across_batches():
+    rng = random.Random(6)
+    keys = sorted((rng.randrange(4), rng.randrange(3)) for _ in range(60))
+    for size in (1, 2, 7, 60):
+        batches = [pa.RecordBatch.from_pylist([{"x": x, "y": y} for x, y in keys[i : i + size]]) for i in range(0, 60, size)]
+        tables = [[(r["x"], r["y"]) for r in t.to_pylist()] for t in minhash.whole_groups([batches[0].slice(0, 0), *batches], 2)]
+        assert [k for t in tables for k in t] == keys
+        assert all(not set(a) & set(b) for i, a in enumerate(tables) for b in tables[i + 1 :])
