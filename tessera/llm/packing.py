@@ -93,12 +93,33 @@ class Words:
 
     def reset(self) -> None:
         """Forgets all chunks. keys, place: sorted hashes and their chunks' numbers, older and
-        newer ones apart; the other half of each chunk's hash; start and size of its ids in flat."""
+        newer ones apart; the other half of each chunk's hash; start and size of its ids in flat;
+        seen: in how many blocks of texts it stood."""
         self.keys = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
         self.place = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.other = np.zeros(0, np.uint64)
+        self.other, self.seen = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.size, self.start, self.flat, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
+    def thin(self) -> None:
+        """Forgets chunks that stood in one block only, and of others the rarer if they are over half
+        of those that may be kept; what is forgotten is learned again when it comes."""
+        most = MOST_CHUNKS // 2
+        stay = np.flatnonzero(self.seen > 1)
+        if len(stay) > most:
+            stay = np.sort(stay[np.argsort(-self.seen[stay], kind="stable")[:most]])
+        keys, place = np.concatenate(self.keys), np.concatenate(self.place)
+        number = np.full(len(self.size), -1, np.int64)
+        number[stay] = np.arange(len(stay))
+        number = number[place]
+        keys, number = keys[number >= 0], number[number >= 0]
+        order = np.argsort(keys, kind="stable")
+        size, start, flat, other, seen = self.size[stay], self.start[stay], self.flat, self.other[stay], self.seen[stay]
+        self.reset()
+        self.keys[0], self.place[0], self.other, self.seen = keys[order], number[order], other, seen // 2
+        ends = np.cumsum(size)
+        self.size, self.start, self.n = size, ends - size, int(size.sum())
+        self.flat = np.concatenate((flat[np.repeat(start - self.start, size) + np.arange(self.n)], np.zeros(1 << 16, np.uint32)))
+
     def encoded(self, tokenizer, texts: list[str]) -> list[list[int]]:
         encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         return [e.ids for e in encode(texts, add_special_tokens=False)]
@@ -133,6 +154,7 @@ class Words:
         self.start = np.concatenate((self.start, self.n + np.cumsum(size) - size))
         self.size = np.concatenate((self.size, size))
         self.other = np.concatenate((self.other, other))
+        self.seen = np.concatenate((self.seen, np.zeros(len(ids), np.int64)))
         self.n += total
         for level in (1, 0):
             keys, at = np.concatenate((self.keys[level], keys)), np.concatenate((self.place[level], place if level else self.place[1]))
@@ -170,12 +192,13 @@ class Words:
             start, stop, value, other = runs(np.frombuffer(joined, np.uint8), _BLANKS, 2)
             keys, one, back = np.unique(value, return_index=True, return_inverse=True)
             if len(self.size) > MOST_CHUNKS:
-                self.reset()
+                self.thin()
             number = self.numbers(keys)
             new = np.flatnonzero(number < 0)
             if len(new):
                 s, e = start[one[new]].tolist(), stop[one[new]].tolist()
                 number[new] = self.learn(keys[new], other[one[new]], [joined[i:j].decode() for i, j in zip(s, e)])
+            self.seen[number] += 1
             at = number[back]
             if not np.array_equal(self.other[at], other):
                 yield from self.plain_ids(texts[a:b])

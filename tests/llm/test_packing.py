@@ -98,3 +98,15 @@ def test_colliding_halves_go_through_the_tokenizer(monkeypatch):
     monkeypatch.setattr(packing, "runs", lambda *a: (lambda s, e, v, o: (s, e, v % np.uint64(7), o))(*runs(*a)))
     words, texts = packing.Words(tokenizer_path(), 2), [f"some words of a text {i}" for i in range(30)]
     assert [w.tolist() for t in texts for w in words.ids([t.encode()])] == whole(texts)
+
+
+def test_frequent_chunks_stay_when_too_many_are_known(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_CHUNKS", 400)
+    words, plain, learned = packing.Words(tokenizer_path(), 2), packing.Words(tokenizer_path(), 2), []
+    chunk_ids = words.chunk_ids
+    monkeypatch.setattr(words, "chunk_ids", lambda chunks: learned.extend(chunks) or chunk_ids(chunks))
+    for block in range(40):
+        text = " ".join(f"often{i} once{block}x{i}" for i in range(30)).encode()
+        assert np.array_equal(next(words.ids([text])), next(plain.plain_ids([text])))
+        assert len(words.size) <= 400 + 60
+    assert len(learned) == 40 * 30 + 30  # once each; before, the frequent ones were learned again and again
