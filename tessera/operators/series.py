@@ -3,12 +3,16 @@ parallel; a series is ordered within its own window partition."""
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from .relational import cut
@@ -191,26 +195,60 @@ def windowed_coherence(df: DataFrame, by: str, order: str, x: str, y: str, windo
     return p.select(by, "start", value.alias("coherence")).withColumn("laminar", F.col("coherence") >= threshold)
 
 
-def rotations(pdf: pd.DataFrame, draws: int = 199, seed: int = 1) -> float:
-    """Rotation-null p-value of a precedence area: shares of y's increments shifted in a ring."""
-    x, y = pdf.x.to_numpy(float), pdf.y.to_numpy(float)
-    dx, dy = np.diff(x), np.diff(y)
+def in_order(df: DataFrame, by: str, order: str, fields, take, kinds: str) -> DataFrame:
+    """Rows of kinds that take(by, batches) yields, as record batches, for each series: its batches of
+    (fields) come in order (nulls last, ties by the fields), never more of them at once. A series is
+    read by one worker."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(by).alias("__by"), F.col(order).alias("__o"), *[F.col(f).cast("double").alias(f"__f{i}") for i, f in enumerate(fields)])
+    names = [f"__f{i}" for i in range(len(fields))]
+    rows = rows.repartition(parts, "__by").sortWithinPartitions("__by", F.col("__o").asc_nulls_last(), *names).select("__by", *names)
 
-    def area(dy):
-        px, py = np.concatenate(([0], dx.cumsum()[:-1])), np.concatenate(([0], dy.cumsum()[:-1]))
-        return abs((px * dy - py * dx).sum())
+    def runs(batches):
+        """(by, batch) with one series in a batch."""
+        for b in batches:
+            if b.num_rows:
+                ends = pc.run_end_encode(b["__by"]).run_ends.to_pylist()
+                for s, e in zip([0, *ends[:-1]], ends):
+                    yield b["__by"][s].as_py(), b.slice(s, e - s)
 
-    rng, own = np.random.default_rng(seed), area(dy)
-    return (1 + sum(area(np.roll(dy, int(k))) >= own for k in rng.integers(1, len(dy), draws))) / (draws + 1)
+    def read(batches):
+        for who, own in itertools.groupby(runs(batches), lambda r: r[0]):
+            yield from take(who, ([b[n].to_numpy(zero_copy_only=False) for n in names] for _, b in own))
+
+    return rows.mapInArrow(read, kinds)
+
+
+def rotations(x: np.ndarray, y: np.ndarray, draws: int = 199, seed: int = 1, step: int = 1 << 18) -> float:
+    """Rotation-null p-value of a precedence area: shares of y's increments shifted in a ring. The area
+    of a shift is summed over `step` places at a time: besides the path nothing of its length is held."""
+    m = len(y) - 1
+
+    def area(k):
+        total = 0.0
+        # y's increments from m - k on come first, then those before; `more` is where their path begins.
+        for begin, end, back, more in ((0, k, k - m, -y[m - k]), (k, m, k, y[m] - y[m - k] - y[0])):
+            for s in range(begin, end, step):
+                e = min(s + step, end)
+                px, own = x[s : e + 1] - x[0], y[s - back : e + 1 - back]
+                total += float((px[:-1] * np.diff(own) - (own[:-1] + more) * np.diff(px)).sum())
+        return abs(total)
+
+    rng, own = np.random.default_rng(seed), area(0)
+    return (1 + sum(area(int(k)) >= own for k in rng.integers(1, m, draws))) / (draws + 1)
 
 
 def precedence_p(df: DataFrame, by: str, order: str, x: str, y: str, least: int = 32) -> DataFrame:
-    """(by, p): the rotation-null p-value of each series' precedence."""
+    """(by, p): the rotation-null p-value of each series' precedence. A worker holds the two fields of
+    one series."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < least:
-            return pd.DataFrame(columns=[by, "p"])
-        return pd.DataFrame([(pdf[by].iloc[0], rotations(pdf.sort_values("o")))], columns=[by, "p"])
+    kind = df.schema[by].dataType
 
-    kind = dict(df.dtypes)[by]
-    return df.select(by, F.col(order).alias("o"), F.col(x).alias("x"), F.col(y).alias("y")).groupBy(by).applyInPandas(one, f"{by} {kind}, p double")
+    def one(who, batches):
+        held = list(batches)
+        if sum(len(b[0]) for b in held) >= least:
+            path = [np.concatenate([b[i] for b in held]) for i in (0, 1)]
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([who], to_arrow_type(kind)), pa.array([rotations(*path)])], names=[by, "p"])
+
+    return in_order(df, by, order, [x, y], one, f"`{by}` {kind.simpleString()}, p double")
