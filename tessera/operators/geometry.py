@@ -152,16 +152,33 @@ def fisher(df: DataFrame, fields) -> DataFrame:
 def wasserstein(df: DataFrame, cohort: str, a, b, field: str) -> DataFrame:
     """W2 between the field's values in two cohorts: merged quantile steps of both orders.
 
-    Each value owns the quantiles ((i-1)/n, i/n]; the merged breakpoints are integrated by filling
-    both step functions over them. One sorted pass of the two cohorts together."""
-    x = df.where(F.col(cohort).isin(a, b)).select(F.col(cohort).eqNullSafe(F.lit(a)).alias("first"), F.col(field).cast("double").alias("v")).where("v is not null")
-    by = Window.partitionBy("first")
-    x = x.withColumn("q", F.row_number().over(by.orderBy("v")) / F.count("*").over(by))
+    A value owns the quantiles up to its last row's i / n; the merged ends of steps are integrated by
+    filling both step functions over them. Steps are of distinct values, in ranges of quantiles: no task
+    orders all, and what a range needs of the others is a row for each range."""
+    from .relational import cut, ranked_values
+
+    x = df.where(F.col(cohort).isin(a, b)).select(F.col(cohort).eqNullSafe(F.lit(a)).alias("first_of"), F.col(field).cast("double").alias("v")).where("v is not null")
+    # The second cohort stands before the first in the order.
+    x = ranked_values(x, ["first_of", "v"])
+    n = x.agg(F.sum(F.when(F.col("first_of"), F.col("times"))).alias("na"), F.sum(F.when(~F.col("first_of"), F.col("times"))).alias("nb"))
+    end = F.col("first") + F.col("times")
+    q = F.when(F.col("first_of"), (end - F.coalesce("nb", F.lit(0))) / F.col("na")).otherwise(end / F.col("nb"))
+    x = x.join(F.broadcast(n), F.lit(True)).withColumn("q", q)
+    x = x.groupBy("q").agg(F.min(F.when(F.col("first_of"), F.col("v"))).alias("va"), F.min(F.when(~F.col("first_of"), F.col("v"))).alias("vb"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = cut(x.repartitionByRange(parts, "q").withColumn("__part", F.spark_partition_id()))
+    # Where a range ends: the next values of both cohorts after it, and the last end before it.
+    ends = sorted(tuple(r) for r in x.groupBy("__part").agg(F.min("va"), F.min("vb"), F.max("q")).collect())
+    rows, after, before = [], (None, None), [0.0, *[e[3] for e in ends]]
+    for i in range(len(ends) - 1, -1, -1):
+        rows.append((ends[i][0], *after, before[i]))
+        after = tuple(after[j] if ends[i][1 + j] is None else ends[i][1 + j] for j in (0, 1))
+    x = x.join(F.broadcast(df.sparkSession.createDataFrame(rows, "__part int, __a double, __b double, __q double")), "__part")
     # A breakpoint q is where a step ends: the value of the other cohort there is its next one.
-    on = Window.orderBy("q").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    x = x.withColumn("va", F.min(F.when(F.col("first"), F.col("v"))).over(on)).withColumn("vb", F.min(F.when(~F.col("first"), F.col("v"))).over(on))
-    x = x.groupBy("q").agg(F.first("va").alias("va"), F.first("vb").alias("vb"))
-    x = x.withColumn("w", F.col("q") - F.coalesce(F.lag("q").over(Window.orderBy("q")), F.lit(0.0)))
+    by = Window.partitionBy("__part")
+    on = by.orderBy(F.desc("q")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("va", F.coalesce(F.last("va", ignorenulls=True).over(on), "__a")).withColumn("vb", F.coalesce(F.last("vb", ignorenulls=True).over(on), "__b"))
+    x = x.withColumn("w", F.col("q") - F.coalesce(F.lag("q").over(by.orderBy("q")), "__q"))
     return x.agg(F.sqrt(F.sum(F.col("w") * F.pow(F.col("va") - F.col("vb"), 2))).alias("w2"))
 
 
