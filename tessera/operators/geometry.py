@@ -54,9 +54,18 @@ def kappa(fields) -> Column:
     return F.when(n > 0, sum((F.coalesce(t, F.lit(0.0)) for t in terms), F.lit(0.0)) / n).otherwise(0.0)
 
 
-def record_kappa(df: DataFrame, fields, ranges=None) -> DataFrame:
-    """df with kappa; the statistics are one broadcast row."""
+def record_kappa(df: DataFrame, fields, ranges=None, fine: bool = False) -> DataFrame:
+    """df with kappa; the statistics are one broadcast row. fine: means from sums without rounding, as a
+    sum of many doubles loses its last digits: whole multiples of a power of two are added as decimals,
+    and only what is left of each value as doubles."""
     stats = field_stats(df, fields, ranges)
+    if fine:
+        unit = {f: F.pow(F.lit(2.0), F.lit(40) - F.ceil(F.log2(F.greatest(F.col(f"__b_{f}"), F.lit(1e-200))))) for f in fields}
+        rows = df.join(F.broadcast(df.agg(*[F.max(F.abs(F.col(f).cast("double"))).alias(f"__b_{f}") for f in fields])), F.lit(True))
+        scaled = {f: F.col(f).cast("double") * unit[f] for f in fields}
+        total = {f: F.sum(F.floor(scaled[f]).cast("decimal(19,0)")).cast("double") + F.sum(scaled[f] - F.floor(scaled[f])) for f in fields}
+        means = rows.agg(*[(total[f] / (F.first(unit[f]) * F.count(f))).alias(f"m_{f}") for f in fields])
+        stats = stats.drop(*means.columns).join(F.broadcast(means), F.lit(True))
     return df.join(F.broadcast(stats), F.lit(True)).withColumn("kappa", kappa(fields)).drop(*stats.columns)
 
 
@@ -268,7 +277,7 @@ def ranks(df: DataFrame, score: str, name: str = "rank") -> DataFrame:
 
 def kappa_rank(df: DataFrame, fields) -> DataFrame:
     """df with kappa and kappa_rank, 1 for the most curved record."""
-    return ranks(record_kappa(df, fields), "kappa", "kappa_rank")
+    return ranks(record_kappa(df, fields, fine=True), "kappa", "kappa_rank")
 
 
 def sameness_rank(df: DataFrame, fields, reference: dict[str, float]) -> DataFrame:

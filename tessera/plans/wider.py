@@ -31,9 +31,11 @@ _K = "(SELECT o_orderkey, (abs(o_totalprice - avg(o_totalprice) OVER ()) / (max(
 
 @register("kappa_rank", f"SELECT o_orderkey, round(kappa, 8) AS kappa, rank() OVER (ORDER BY round(kappa, 10) DESC)::BIGINT AS kappa_rank FROM {_K}")
 def kappa_rank(spark, d):
-    o = G.record_kappa(_t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey"), ["o_totalprice", "o_custkey"])
-    o = G.ranks(o.withColumn("k", F.round("kappa", 10)), "k", "kappa_rank")
-    return o.select("o_orderkey", F.round("kappa", 8).alias("kappa"), "kappa_rank")
+    o = G.record_kappa(_t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey"), ["o_totalprice", "o_custkey"], fine=True)
+    # As SQL rounds: the scaled double, not its decimal digits, half up.
+    scaled = lambda n: F.floor(F.col("kappa") * 10.0**n + 0.5) / 10.0**n
+    o = G.ranks(o.withColumn("k", scaled(10)), "k", "kappa_rank")
+    return o.select("o_orderkey", scaled(8).alias("kappa"), "kappa_rank")
 
 
 @register("sameness", """
