@@ -103,16 +103,16 @@ def completed_near(df: DataFrame, key: str, field: str, vector: str, radius: flo
     column, weighed 1 - d / radius, outliers (modified z over 3) left out; two neighbours needed,
     confidence n_eff / (n_eff + 1) with n_eff = (sum w)**2 / sum w**2."""
     known, asked = df.where(F.col(field).isNotNull()), df.where(F.col(field).isNull())
-    n = Index(known, key, vector).within(asked, key, vector, radius).where(F.col("distance") < radius)
-    n = n.join(known.select(F.col(key).alias("key"), F.col(field).cast("double").alias("y")), "key").withColumn("w", 1 - F.col("distance") / radius)
-    n = cut(n.select("query", "y", "w"))
-    # Neighbourhoods are as large as the radius makes them; each is ordered in one task.
-    med = n.groupBy("query").agg(F.median("y").alias("med"))
+    values = known.select(F.col(key).alias("key"), F.col(field).cast("double").alias("y"))
+    n = Index(known, key, vector).sums_within(asked, key, vector, radius, values)
+    # One row for each value in a neighbourhood, however many records hold it.
+    n = cut(n.groupBy("query", "y").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("w2").alias("w2")))
+    med = n.groupBy("query").agg(F.percentile("y", 0.5, F.col("n")).alias("med"))
     dev = n.join(med, "query").withColumn("dev", F.abs(F.col("y") - F.col("med")))
-    mad = dev.groupBy("query").agg(F.median("dev").alias("mad"))
+    mad = dev.groupBy("query").agg(F.percentile("dev", 0.5, F.col("n")).alias("mad"))
     good = dev.join(mad, "query").where("mad = 0 and dev = 0 or mad > 0 and 0.6745 * dev / mad <= 3")
-    n_eff = F.pow(F.sum("w"), 2) / F.sum(F.pow("w", 2))
-    out = good.groupBy("query").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("predicted"), n_eff.alias("e"), F.count("*").alias("n")).where("n >= 2")
+    n_eff = F.pow(F.sum("w"), 2) / F.sum("w2")
+    out = good.groupBy("query").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("predicted"), n_eff.alias("e"), F.sum("n").alias("n")).where("n >= 2")
     return out.select(F.col("query").alias("key"), "predicted", (F.col("e") / (F.col("e") + 1)).alias("confidence"))
 
 
